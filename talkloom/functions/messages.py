@@ -14,6 +14,10 @@ PLACEHOLDER_PROMPT = "..."
 GENERIC_PREFIX = "write a"
 REPOST_PREFIX = "rt"
 MODEL_ROLE = "model"
+# Role initials of dialogs that can be repaired: an optional system message,
+# then user and assistant by turns. The opening prompt may be missing before an
+# assistant, and one trailing run of another role is dropped.
+REPAIRABLE = "^(?:a+|s*u+a+)(?:u+a+)*+(?:u+|s+)?$"
 
 
 def message(role: Column | str, content: Column) -> Column:
@@ -31,9 +35,19 @@ def is_model_role(role: Column) -> Column:
     return F.lower(F.coalesce(role, F.lit(""))).isin("assistant", "model")
 
 
+def filled_messages(messages: Column) -> Column:
+    """Messages with any content; one of spaces only counts as filled."""
+    return F.filter(messages, lambda m: F.coalesce(m["content"], F.lit("")) != "")
+
+
+def role_shape(messages: Column) -> Column:
+    """Initials of the mapped roles in order."""
+    return F.array_join(F.transform(messages, lambda m: F.substring(map_role(m["role"]), 1, 1)), "")
+
+
 def clean_messages(messages: Column) -> Column:
     """Drop messages without content, map roles, normalise texts."""
-    filled = F.filter(messages, lambda m: F.coalesce(m["content"], F.lit("")) != "")
+    filled = filled_messages(messages)
     texts = norm_text_each(F.transform(filled, lambda m: m["content"]))
     return F.zip_with(filled, texts, lambda m, text: message(map_role(m["role"]), text))
 
@@ -77,28 +91,6 @@ def merge_runs(messages: Column) -> Column:
     return F.when(size > 0, F.transform(spans, merged)).otherwise(F.array().cast(MESSAGES))
 
 
-def alternates(
-    size: Column, systems: Column, first: Column, last: Column, before_last: Column
-) -> tuple[Column, Column, Column]:
-    """Decide a merged dialog from counts and edge roles alone.
-
-    Neighbouring roles differ after merging, so what is left once a leading
-    system message is set aside, a missing opening prompt is supplied and one
-    trailing non-assistant message is dropped alternates user/assistant exactly
-    when it holds no system message, ends with the assistant, and is even.
-    Returns (keep, prompt is missing, last is dropped).
-    """
-    as_int = lambda c: c.cast("int")
-    prompt_missing = first == "assistant"
-    drop_last = last != "assistant"
-    leading_system = (first == "system") & ((size > 1) | ~drop_last)
-    rest = size + as_int(prompt_missing) - as_int(drop_last) - as_int(leading_system)
-    inner_systems = systems - as_int(leading_system) - as_int(drop_last & (last == "system"))
-    closing = F.when(drop_last, before_last).otherwise(last)
-    keep = (rest > 0) & (rest % 2 == 0) & (inner_systems == 0) & (closing == "assistant")
-    return F.coalesce(keep, F.lit(False)), prompt_missing, drop_last
-
-
 def user_turns(messages: Column) -> Column:
     return F.filter(messages, lambda m: m["role"] == "user")
 

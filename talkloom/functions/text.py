@@ -41,7 +41,9 @@ def _charref_decoder():
         inner = pa.ListArray.from_arrays(offsets(texts), chars.take(coded.indices))
         return pa.ListArray.from_arrays(offsets(refs), inner)
 
-    return decode
+    # Declared nondeterministic so that no filter above is pushed below it,
+    # which would evaluate it a second time.
+    return decode.asNondeterministic()
 
 
 _decode_charrefs = _charref_decoder()

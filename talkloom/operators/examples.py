@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from talkloom.functions.messages import (
-    MESSAGES, PLACEHOLDER_PROMPT, alternates, clean_messages, dialog_key, has_generic_prompt,
-    is_repost, merge_runs, message,
+    MESSAGES, PLACEHOLDER_PROMPT, REPAIRABLE, clean_messages, dialog_key, filled_messages,
+    has_generic_prompt, is_repost, merge_runs, message, role_shape,
 )
 from talkloom.operators.lookup import keep_first
 
@@ -16,37 +16,43 @@ DEFAULT_KEEP = ("messages", "created_at")
 INTERNAL = ("source_file", "ord")
 
 
+def repairable(df: DataFrame, filled: Column) -> DataFrame:
+    """Dialogs whose roles can be made to alternate, told from the roles alone."""
+    return df.where(F.rlike(role_shape(filled), F.lit(REPAIRABLE)))
+
+
 def repair_roles(df: DataFrame) -> DataFrame:
     """Merge same-role runs and keep the dialogs that alternate system?, user, assistant, …"""
+    return merge_and_trim(repairable(df, F.col("messages")))
+
+
+def merge_and_trim(df: DataFrame) -> DataFrame:
+    """Merge same-role runs, supply a missing opening prompt, drop a trailing non-answer."""
     m = F.col("_merged")
-    size = F.size(m)
     role_at = lambda i: F.get(m, i)["role"]
-    systems = F.size(F.filter(m, lambda x: x["role"] == "system"))
-    keep, prompt_missing, drop_last = alternates(
-        size, systems, role_at(F.lit(0)), role_at(size - 1), role_at(size - 2)
-    )
     prompt = F.array(message("user", F.lit(PLACEHOLDER_PROMPT)))
-    opening = F.when(prompt_missing, prompt).otherwise(F.array().cast(MESSAGES))
-    body = F.slice(m, F.lit(1), size - drop_last.cast("int"))
+    opening = F.when(role_at(F.lit(0)) == "assistant", prompt).otherwise(F.array().cast(MESSAGES))
+    trailing = (role_at(F.size(m) - 1) != "assistant").cast("int")
     return (
         df.withColumn("_merged", merge_runs(F.col("messages")))
-        .where(keep)
-        .withColumn("messages", F.concat(opening, body))
+        .withColumn("messages", F.concat(opening, F.slice(m, F.lit(1), F.size(m) - trailing)))
         .drop("_merged")
     )
 
 
 def normalize_examples(df: DataFrame, keep: Sequence[str] = DEFAULT_KEEP) -> DataFrame:
-    """Clean messages, drop reposts, repair roles, keep the asked-for columns."""
+    """Clean messages, drop reposts, repair roles, keep the asked-for columns.
+
+    Dialogs beyond repair go first: their roles tell before any text is cleaned.
+    """
     columns = ["messages", *[k for k in keep if k != "messages" and k in df.columns]]
     columns += [c for c in INTERNAL if c in df.columns]
     cleaned = (
-        df.select(*columns)
-        .where(F.col("messages").isNotNull())
+        repairable(df.select(*columns).where(F.col("messages").isNotNull()), filled_messages(F.col("messages")))
         .withColumn("messages", clean_messages(F.col("messages")))
         .where(~is_repost(F.col("messages")))
     )
-    return repair_roles(cleaned)
+    return merge_and_trim(cleaned)
 
 
 def dedup_examples(df: DataFrame, order: str | Column = "ord") -> DataFrame:

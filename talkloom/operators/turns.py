@@ -9,9 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from talkloom.functions.messages import (
-    PLACEHOLDER_PROMPT, REPOST_PREFIX, alternates, is_model_role, map_role,
-)
+from talkloom.functions.messages import PLACEHOLDER_PROMPT, REPOST_PREFIX, is_model_role, map_role
 from talkloom.functions.text import norm_text, strip
 from talkloom.operators.lookup import lookup
 
@@ -19,18 +17,24 @@ BLOCK = 4096
 
 
 def clean_turns(df: DataFrame) -> DataFrame:
-    """Drop empty messages, map roles, normalise texts; columns conv_id, turn, role, content."""
-    return df.where(F.coalesce(F.col("content"), F.lit("")) != "").select(
+    """Drop empty messages, map roles, normalise texts, mark texts that begin like a repost.
+
+    Later steps read the result more than once; write it first (``materialise``).
+    """
+    cleaned = df.where(F.coalesce(F.col("content"), F.lit("")) != "").select(
         "conv_id", "turn", map_role(F.col("role")).alias("role"), norm_text(F.col("content")).alias("content")
     )
+    return cleaned.withColumn("repost", F.startswith(F.lower("content"), F.lit(REPOST_PREFIX)))
 
 
 def merge_turns(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """Merge same-role runs: one row per run, ``turn`` being its first turn.
 
-    Adds ``prev_role`` (role of the run before) and ``closing_repost`` (the
-    run's last message begins like a repost).
+    Adds ``prev_role`` (role of the run before) and ``repost`` (the mark of the
+    run's last message).
     """
+    if "repost" not in df.columns:
+        df = df.withColumn("repost", F.lit(False))
     rows = df.withColumn("_block", F.floor(F.col("turn") / block))
     in_block = Window.partitionBy("conv_id", "_block").orderBy("turn")
     so_far = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -60,7 +64,6 @@ def merge_turns(df: DataFrame, block: int = BLOCK) -> DataFrame:
         .select("conv_id", "_block", "_entry_role", "_entry_run")
     )
 
-    repost = F.startswith(F.lower(strip(F.col("content"))), F.lit(REPOST_PREFIX))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "content"))), lambda x: x["content"])
     several = F.count(F.lit(1)) > 1
     merged = strip(F.array_join(F.filter(texts, lambda t: t != ""), "\n\n"))
@@ -73,40 +76,51 @@ def merge_turns(df: DataFrame, block: int = BLOCK) -> DataFrame:
             F.min_by("role", "turn").alias("role"),
             F.when(several, merged).otherwise(F.get(texts, F.lit(0))).alias("content"),
             F.min_by("_before", "turn").alias("prev_role"),
-            F.max_by(repost, "turn").alias("closing_repost"),
+            F.max_by("repost", "turn").alias("repost"),
         )
     )
 
 
-def dialog_verdicts(runs: DataFrame, drop_reposts: bool = True) -> DataFrame:
-    """Per kept dialog: is the opening prompt missing, is the last run dropped."""
+def dialog_verdicts(runs: DataFrame) -> DataFrame:
+    """Per kept dialog: the turn of a missing opening prompt, the turn of a dropped last run.
+
+    Decided from counts and edge roles, which Spark aggregates partially, so
+    that no dialog has to be gathered. Neighbouring runs differ in role. What is
+    left without a leading system run and a trailing non-answer alternates
+    exactly when it holds no system run, ends with the assistant and, with a
+    missing prompt supplied, is even.
+    """
     edges = runs.groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("_runs"),
-        F.count_if(F.col("role") == "system").alias("_systems"),
-        F.min_by("role", "turn").alias("_first_role"),
-        F.max_by(F.struct("role", "prev_role", "closing_repost"), "turn").alias("_last"),
-        F.min("turn").alias("_first_turn"),
-        F.max("turn").alias("_last_turn"),
-    )
-    keep, prompt_missing, drop_last = alternates(
-        F.col("_runs"), F.col("_systems"), F.col("_first_role"), F.col("_last.role"), F.col("_last.prev_role")
+        F.count(F.lit(1)).alias("runs"),
+        F.count_if(F.col("role") == "system").alias("systems"),
+        F.min_by("role", "turn").alias("first_role"),
+        F.max_by(F.struct("role", "prev_role", "repost"), "turn").alias("last"),
+        F.min("turn").alias("first_turn"),
+        F.max("turn").alias("last_turn"),
     )
-    if drop_reposts:
-        keep = keep & ~((F.col("_last.role") == "assistant") & F.col("_last.closing_repost"))
-    return edges.where(keep).select(
+    as_int = lambda c: c.cast("int")
+    no_prompt = F.col("first_role") == "assistant"
+    trailing = F.col("last.role") != "assistant"
+    leading_system = (F.col("first_role") == "system") & ((F.col("runs") > 1) | ~trailing)
+    rest = F.col("runs") + as_int(no_prompt) - as_int(trailing) - as_int(leading_system)
+    inner_systems = F.col("systems") - as_int(leading_system) - as_int(F.col("last.role") == "system")
+    closing = F.when(trailing, F.col("last.prev_role")).otherwise(F.col("last.role"))
+    keep = (rest > 0) & (rest % 2 == 0) & (inner_systems == 0) & (closing == "assistant")
+    is_repost = ~trailing & F.col("last.repost")
+    return edges.where(keep & ~is_repost).select(
         "conv_id",
-        F.when(prompt_missing, F.col("_first_turn") - 1).alias("_prompt_turn"),
-        F.when(drop_last, F.col("_last_turn")).alias("_dropped_turn"),
+        F.when(no_prompt, F.col("first_turn") - 1).alias("_prompt_turn"),
+        F.when(trailing, F.col("last_turn")).alias("_dropped_turn"),
     )
 
 
-def repair_turns(df: DataFrame, drop_reposts: bool = True, block: int = BLOCK) -> DataFrame:
+def repair_turns(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """Repaired dialogs as rows conv_id, turn, role, content.
 
     A supplied opening prompt gets the turn before the first one.
     """
     runs = merge_turns(df, block)
-    verdicts = dialog_verdicts(runs, drop_reposts)
+    verdicts = dialog_verdicts(runs)
     kept = lookup(runs, verdicts, "conv_id", "inner").where(
         F.col("_dropped_turn").isNull() | (F.col("turn") != F.col("_dropped_turn"))
     )

@@ -25,7 +25,12 @@ def read_post_archive(spark: SparkSession, path: str) -> DataFrame:
     its array cannot be split; posts are spread by the exploding stage's output.
     Malformed files and paths without any file raise an error.
     """
-    files = spark.read.text(archive_pattern(path), wholetext=True).select("value", file_path().alias("path"))
+    files = spark.read.text(archive_pattern(path), wholetext=True)
+    return parse_archive(files.select("value", file_path().alias("path")))
+
+
+def parse_archive(files: DataFrame) -> DataFrame:
+    """Posts of archive files (path, value): from the first bracket to the last, envelopes removed."""
     array = F.regexp_extract("value", r"(?s)\[.*\]", 0)
     payload = F.when(array != "", array).otherwise(F.col("value"))
     schema = f"array<struct<tweet: struct<{_fields()}>, {_fields()}>>"
