@@ -14,6 +14,10 @@ ENTITIES = {
 STYLE_PROMPT = "Write a tweet in my style."
 
 
+# Names that count without a semicolon even when letters follow.
+PREFIXES = {"&quot": '"', "&copy": "©", "&middot": "·", "&eacute": "é", "&amp": "&", "&lt": "<", "&gt": ">"}
+
+
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -23,9 +27,10 @@ def sub(c: str, pattern: str, to: str = "") -> str:
 
 
 def unescape(c: str) -> str:
-    cases = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in ENTITIES.items())
+    cases = " ".join(f"WHEN ref = {q(k)} THEN {q(v)}" for k, v in ENTITIES.items())
+    cases += "".join(f" WHEN starts_with(ref, {q(k)}) THEN {q(v)} || substr(ref, {len(k) + 1})" for k, v in PREFIXES.items())
     return (
-        f"(SELECT string_agg(piece || coalesce(CASE ref {cases} ELSE ref END, ''), '' ORDER BY i) FROM "
+        f"(SELECT string_agg(piece || CASE {cases} ELSE ref END, '' ORDER BY i) FROM "
         f"(SELECT unnest(string_split_regex({c}, {q(CHARREF)})) AS piece, "
         f"unnest(list_concat(regexp_extract_all({c}, {q(CHARREF)}), [''])) AS ref, "
         f"unnest(range(len(string_split_regex({c}, {q(CHARREF)})))) AS i))"

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from talkloom.functions.messages import message
 from talkloom.operators.threads import map_threads
+from talkloom.session import spread
 
 EPOCH_2020 = 1577836800
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _iso(at: Column, form: str = "yyyy-MM-dd'T'HH:mm:ss'Z'") -> Column:

@@ -21,7 +21,7 @@ URL = rf"https?://{NOT_WS}+"
 TAG = r"<[^>]+>"
 HANDLE_OR_HASHTAG = rf"[#@]{WORD}+"
 EDIT_NOTICE = rf"(?i)this tweet was edited at{WS}[^\n]*\n?\z"
-DIRECTION_MARKS = "[\u200e\u200f]"
+DIRECTION_MARKS = ("\u200e", "\u200f")
 ANCHOR_TEXT = r">([^<]+)<"
 TOPIC_WORD = "[A-Za-z\u0590-\u05FF][\\p{L}\\p{N}_\u2019\u05f3\u05f4'-]{2,}"
 CHARREF = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
@@ -92,8 +92,10 @@ def collapse_ws(c: Column) -> Column:
 def clean_text(c: Column) -> Column:
     """Post text: decode, drop links, handles, hashtags and the edit notice, tidy spaces."""
     text = unescape(c)
-    for pattern in (URL, HANDLE_OR_HASHTAG, EDIT_NOTICE, DIRECTION_MARKS):
+    for pattern in (URL, HANDLE_OR_HASHTAG, EDIT_NOTICE):
         text = F.regexp_replace(text, pattern, "")
+    for mark in DIRECTION_MARKS:
+        text = F.replace(text, F.lit(mark), F.lit(""))
     return collapse_ws(text)
 
 
@@ -114,7 +116,7 @@ def norm_text_each(texts: Column) -> Column:
 
 
 def unix_newlines(c: Column) -> Column:
-    return F.regexp_replace(c, r"\r\n?", "\n")
+    return F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def norm_ws(c: Column) -> Column:

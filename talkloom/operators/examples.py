@@ -33,10 +33,12 @@ def merge_and_trim(df: DataFrame) -> DataFrame:
     prompt = F.array(message("user", F.lit(PLACEHOLDER_PROMPT)))
     opening = F.when(role_at(F.lit(0)) == "assistant", prompt).otherwise(F.array().cast(MESSAGES))
     trailing = (role_at(F.size(m) - 1) != "assistant").cast("int")
-    return (
-        df.withColumn("_merged", merge_runs(F.col("messages")))
-        .withColumn("messages", F.concat(opening, F.slice(m, F.lit(1), F.size(m) - trailing)))
-        .drop("_merged")
+    repaired = F.concat(opening, F.slice(m, F.lit(1), F.size(m) - trailing))
+    merged = df.withColumn("_merged", merge_runs(F.col("messages")))
+    # Exploding an array of one keeps later filters from being pushed below the
+    # merge, where they would repeat it in every reference.
+    return merged.select(
+        *[c for c in df.columns if c != "messages"], F.explode_outer(F.array(repaired)).alias("messages")
     )
 
 
