@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from talkloom.functions.text import norm_text, norm_text_each, strip
+from talkloom.functions.text import decode_each, norm_text, norm_text_each, strip, untag
 
 # Message type, prompts, role names.
 MESSAGES = "array<struct<role:string,content:string>>"
@@ -45,11 +45,20 @@ def role_shape(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.substring(map_role(m["role"]), 1, 1)), "")
 
 
+def untagged_messages(messages: Column) -> Column:
+    """Messages with content, roles mapped, tags taken out of the texts."""
+    return F.transform(filled_messages(messages), lambda m: message(map_role(m["role"]), untag(m["content"])))
+
+
+def decoded_messages(untagged: Column) -> Column:
+    """Untagged messages with their texts decoded and tidied."""
+    texts = decode_each(F.transform(untagged, lambda m: m["content"]))
+    return F.zip_with(untagged, texts, lambda m, text: message(m["role"], text))
+
+
 def clean_messages(messages: Column) -> Column:
     """Drop messages without content, map roles, normalise texts."""
-    filled = filled_messages(messages)
-    texts = norm_text_each(F.transform(filled, lambda m: m["content"]))
-    return F.zip_with(filled, texts, lambda m, text: message(map_role(m["role"]), text))
+    return decoded_messages(untagged_messages(messages))
 
 
 def last_message(messages: Column) -> Column:
@@ -66,16 +75,16 @@ def is_repost(messages: Column) -> Column:
 def merge_runs(messages: Column) -> Column:
     """Join neighbouring messages of the same role with a blank line between them.
 
-    Works on positions (run starts, then slices), so it stays linear in the
-    number of messages.
+    Most dialogs have no such neighbours, as their role initials tell, and stay
+    as they are. The others are cut by position (run starts, then slices), which
+    is linear in the number of messages.
     """
     size = F.size(messages)
+    initials = F.array_join(F.transform(messages, lambda m: F.substring(m["role"], 1, 1)), "")
+    has_runs = F.rlike(initials, F.lit(r"(.)\1"))
     role_at = lambda i: F.get(messages, i)["role"]
-    starts = F.filter(
-        F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: (i == 0) | (role_at(i) != role_at(i - 1)),
-    )
-    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(1))), F.array(size))
+    starts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (role_at(i) != role_at(i - 1)))
+    ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(size))
     spans = F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), e.alias("end")))
 
     def merged(span: Column) -> Column:
@@ -88,7 +97,7 @@ def merge_runs(messages: Column) -> Column:
             F.when(several, strip(F.array_join(parts, "\n\n"))).otherwise(first["content"]),
         )
 
-    return F.when(size > 0, F.transform(spans, merged)).otherwise(F.array().cast(MESSAGES))
+    return F.when(has_runs, F.transform(spans, merged)).otherwise(messages)
 
 
 def user_turns(messages: Column) -> Column:

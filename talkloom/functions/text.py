@@ -41,9 +41,7 @@ def _charref_decoder():
         inner = pa.ListArray.from_arrays(offsets(texts), chars.take(coded.indices))
         return pa.ListArray.from_arrays(offsets(refs), inner)
 
-    # Declared nondeterministic so that no filter above is pushed below it,
-    # which would evaluate it a second time.
-    return decode.asNondeterministic()
+    return decode
 
 
 _decode_charrefs = _charref_decoder()
@@ -58,10 +56,8 @@ def _with_charrefs(c: Column, decoded: Column) -> Column:
     """Put the decoded references back between the pieces of ``c``."""
     pieces = F.split(c, CHARREF, -1)
     fill = F.concat(decoded, F.array(F.lit("")))
-    return F.when(
-        F.size(decoded) > 0,
-        F.array_join(F.zip_with(pieces, fill, lambda piece, char: F.concat(piece, char)), ""),
-    ).otherwise(c)
+    filled = F.array_join(F.zip_with(pieces, fill, lambda piece, char: F.concat(piece, char)), "")
+    return F.when(F.contains(c, F.lit("&")), filled).otherwise(c)
 
 
 def unescape(c: Column) -> Column:
@@ -104,15 +100,23 @@ def post_dedup_key(c: Column) -> Column:
     return F.sha2(F.lower(clean_text(c)), 256)
 
 
+def untag(c: Column) -> Column:
+    return F.regexp_replace(F.coalesce(c, F.lit("")), TAG, " ")
+
+
 def norm_text(c: Column) -> Column:
     """Message text: tags to spaces, then decode, then tidy spaces (not idempotent)."""
-    return collapse_ws(unescape(F.regexp_replace(F.coalesce(c, F.lit("")), TAG, " ")))
+    return collapse_ws(unescape(untag(c)))
+
+
+def decode_each(untagged: Column) -> Column:
+    """The rest of ``norm_text`` for every element of an array of untagged texts."""
+    return F.transform(unescape_each(untagged), collapse_ws)
 
 
 def norm_text_each(texts: Column) -> Column:
     """``norm_text`` for every element of an array."""
-    untagged = F.transform(texts, lambda t: F.regexp_replace(F.coalesce(t, F.lit("")), TAG, " "))
-    return F.transform(unescape_each(untagged), collapse_ws)
+    return decode_each(F.transform(texts, untag))
 
 
 def unix_newlines(c: Column) -> Column:

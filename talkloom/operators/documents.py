@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from talkloom.functions.messages import MODEL_ROLE, paragraph_prompt, style_example
 from talkloom.functions.text import chunk_hash, norm_ws, paragraphs, topic_words
 from talkloom.operators.lookup import lookup
+from talkloom.operators.once import compute_once
 
 MANIFEST = "path string, mtime timestamp, size bigint, chunks array<string>"
 
@@ -21,10 +22,9 @@ def split_documents(docs: DataFrame, min_chars: int = 80, max_chars: int = 1200,
     indexed = F.transform(parts, lambda p, i: F.struct(i.alias("pos"), p.alias("paragraph")))
     fitting = F.filter(indexed, lambda x: F.length(x["paragraph"]).between(min_chars, max_chars))
     carried = [c for c in ("path", "mtime", "size") if c in docs.columns]
+    tidied = compute_once(docs.where(F.col("text") != ""), "_text", norm_ws(F.col("text")))
     return (
-        docs.where(F.col("text") != "")
-        .withColumn("_text", norm_ws(F.col("text")))
-        .select(*carried, F.explode_outer(fitting).alias("_part"))
+        tidied.select(*carried, F.explode_outer(fitting).alias("_part"))
         .select(*carried, "_part.pos", "_part.paragraph")
         .withColumn("chunk_hash", F.when(F.col("paragraph").isNotNull(), chunk_hash(F.col("paragraph"))))
     )

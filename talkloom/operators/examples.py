@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from talkloom.functions.messages import (
-    MESSAGES, PLACEHOLDER_PROMPT, REPAIRABLE, clean_messages, dialog_key, filled_messages,
-    has_generic_prompt, is_repost, merge_runs, message, role_shape,
+    MESSAGES, PLACEHOLDER_PROMPT, REPAIRABLE, decoded_messages, dialog_key, filled_messages,
+    has_generic_prompt, is_repost, merge_runs, message, role_shape, untagged_messages,
 )
 from talkloom.operators.lookup import keep_first
+from talkloom.operators.once import compute_once
 
 DEFAULT_KEEP = ("messages", "created_at")
 INTERNAL = ("source_file", "ord")
@@ -34,12 +35,8 @@ def merge_and_trim(df: DataFrame) -> DataFrame:
     opening = F.when(role_at(F.lit(0)) == "assistant", prompt).otherwise(F.array().cast(MESSAGES))
     trailing = (role_at(F.size(m) - 1) != "assistant").cast("int")
     repaired = F.concat(opening, F.slice(m, F.lit(1), F.size(m) - trailing))
-    merged = df.withColumn("_merged", merge_runs(F.col("messages")))
-    # Exploding an array of one keeps later filters from being pushed below the
-    # merge, where they would repeat it in every reference.
-    return merged.select(
-        *[c for c in df.columns if c != "messages"], F.explode_outer(F.array(repaired)).alias("messages")
-    )
+    merged = compute_once(df, "_merged", merge_runs(F.col("messages")))
+    return compute_once(merged, "messages", repaired).drop("_merged")
 
 
 def normalize_examples(df: DataFrame, keep: Sequence[str] = DEFAULT_KEEP) -> DataFrame:
@@ -49,12 +46,10 @@ def normalize_examples(df: DataFrame, keep: Sequence[str] = DEFAULT_KEEP) -> Dat
     """
     columns = ["messages", *[k for k in keep if k != "messages" and k in df.columns]]
     columns += [c for c in INTERNAL if c in df.columns]
-    cleaned = (
-        repairable(df.select(*columns).where(F.col("messages").isNotNull()), filled_messages(F.col("messages")))
-        .withColumn("messages", clean_messages(F.col("messages")))
-        .where(~is_repost(F.col("messages")))
-    )
-    return merge_and_trim(cleaned)
+    rows = repairable(df.select(*columns).where(F.col("messages").isNotNull()), filled_messages(F.col("messages")))
+    untagged = compute_once(rows, "messages", untagged_messages(F.col("messages")))
+    cleaned = compute_once(untagged, "messages", decoded_messages(F.col("messages")))
+    return merge_and_trim(cleaned.where(~is_repost(F.col("messages"))))
 
 
 def dedup_examples(df: DataFrame, order: str | Column = "ord") -> DataFrame:

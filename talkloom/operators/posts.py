@@ -8,6 +8,7 @@ from talkloom.functions.messages import MODEL_ROLE, POST_PROMPT, roles_by_distan
 from talkloom.functions.text import clean_text, post_dedup_key, source_app
 from talkloom.functions.times import parse_ts
 from talkloom.operators.lookup import keep_first, lookup
+from talkloom.operators.once import compute_once
 
 # Marker of a repost, fields of a raw post.
 REPOST_MARK = "RT @"
@@ -36,8 +37,7 @@ def unify_posts(df: DataFrame, on_raw: bool = False) -> DataFrame:
     quote = F.col("is_quote_status") if "is_quote_status" in df.columns else F.lit(False)
     extra = [c for c in ("ord",) if c in df.columns]
     return (
-        df.withColumn("_raw_text", raw_text)
-        .withColumn("_clean", clean_text(F.col("_raw_text")))
+        compute_once(df.withColumn("_raw_text", raw_text), "_clean", clean_text(F.col("_raw_text")))
         .select(
             F.coalesce(_filled(field("id_str")), field("id"), F.lit("")).alias("id_str"),
             F.col("_clean").alias("text"),

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from talkloom.functions.messages import PLACEHOLDER_PROMPT, REPOST_PREFIX, is_model_role, map_role
 from talkloom.functions.text import norm_text, strip
 from talkloom.operators.lookup import lookup
+from talkloom.operators.once import compute_once
 
 BLOCK = 4096
 
@@ -21,9 +22,9 @@ def clean_turns(df: DataFrame) -> DataFrame:
 
     Later steps read the result more than once; write it first (``materialise``).
     """
-    cleaned = df.where(F.coalesce(F.col("content"), F.lit("")) != "").select(
-        "conv_id", "turn", map_role(F.col("role")).alias("role"), norm_text(F.col("content")).alias("content")
-    )
+    filled = df.where(F.coalesce(F.col("content"), F.lit("")) != "")
+    mapped = filled.select("conv_id", "turn", map_role(F.col("role")).alias("role"), "content")
+    cleaned = compute_once(mapped, "content", norm_text(F.col("content")))
     return cleaned.withColumn("repost", F.startswith(F.lower("content"), F.lit(REPOST_PREFIX)))
 
 
