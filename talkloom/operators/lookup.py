@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -21,12 +23,14 @@ def lookup(probe: DataFrame, build: DataFrame, on: str | list[str], how: str = "
 
     ``build`` has one row per key, usually out of an aggregation on that key.
     Joining on the key and its hash gives both sides an exchange of their own;
-    reusing the aggregation's partitioning would rule out the skew split.
+    reusing the aggregation's partitioning would rule out the skew split. Probe
+    rows without a key match nothing; the hash of the whole row spreads them.
     """
     keys = [on] if isinstance(on, str) else on
-    hashed = F.xxhash64(*keys)
-    joined = probe.withColumn("_key_hash", hashed).join(
-        build.withColumn("_key_hash", hashed), [*keys, "_key_hash"], how
+    has_key = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    spread = F.when(has_key, F.xxhash64(*keys)).otherwise(F.xxhash64(*probe.columns))
+    joined = probe.withColumn("_key_hash", spread).join(
+        build.withColumn("_key_hash", F.xxhash64(*keys)), [*keys, "_key_hash"], how
     )
     return joined.drop("_key_hash")
 

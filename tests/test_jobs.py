@@ -186,6 +186,7 @@ def small_skew(spark):
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
     }
     before = {k: spark.conf.get(k) for k in settings}
     for k, v in settings.items():
@@ -225,3 +226,12 @@ def test_keep_first_cuts_hot_keys_before_the_shuffle(spark):
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert [r.id for r in kept.collect()] == [0]
     assert plan.index("Partial") > plan.index("Exchange")  # below the exchange in the tree
+
+
+def test_rows_without_a_key_are_spread_and_kept(spark, small_skew):
+    probe = spark.range(40000, numPartitions=8).withColumn("k", F.when(F.col("id") < 100, F.col("id")))
+    build = spark.range(50).select(F.col("id").alias("k"), F.lit(1).alias("hit"))
+    joined = lookup(probe, build, "k")
+    assert joined.count() == 40000 and joined.where("hit = 1").count() == 50
+    sizes = [r[0] for r in joined.select(F.spark_partition_id().alias("p")).groupBy("p").count().select("count").collect()]
+    assert max(sizes) < 20000, sizes
