@@ -12,6 +12,7 @@ from talkloom.functions.messages import dialog_key, render_chat, style_example
 from talkloom.operators import documents as D, examples as E, posts as P, quality as Q, ranks as R, sync as S
 from talkloom.operators import threads as T, turns as W
 from talkloom.operators.lookup import unseen
+from talkloom.operators.once import compute_once
 from talkloom.plans import jobs
 from talkloom.session import materialise, new_folder
 from talkloom.sources import api_pages, archive, documents as files, jsonl, state
@@ -49,10 +50,8 @@ def forum_text_pages(spark, sf_dir):
 
 
 def html_to_paragraphs(spark, sf_dir):
-    pages = V.table(spark, sf_dir, "pages").select(
-        F.col("page_id").alias("path"), X.html_to_text(F.col("html")).alias("text")
-    )
-    return D.document_chunks(pages)
+    pages = V.table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), "html")
+    return D.document_chunks(compute_once(pages, "text", X.html_to_text(F.col("html"))))
 
 
 def parse_timestamps(spark, sf_dir):
