@@ -344,7 +344,6 @@ parts AS (
 
 
 LATIN1 = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
-CP1255 = bytes(LATIN1, "latin-1").decode("cp1255", "ignore")
 _pairs = [(c, c.encode("latin-1").decode("cp1255", "ignore")) for c in LATIN1]
 AS_CP1255 = (
     f"translate(text, {q(''.join(c for c, d in _pairs if d) + ''.join(c for c, d in _pairs if not d))}, "

@@ -1,4 +1,4 @@
-"""Inputs in the reference shapes, derived by Spark from the given tables."""
+"""Posts, forum tables, documents and dialogs derived by Spark from the given tables."""
 
 from __future__ import annotations
 

@@ -7,7 +7,6 @@ from talkloom.functions.messages import MESSAGES
 from talkloom.operators import posts as P, sync as S
 from talkloom.operators.lookup import keep_first, lookup, unseen
 from talkloom.plans import jobs
-from talkloom.sources import jsonl
 from talkloom.sources.state import load_state, open_state
 from talkloom.streaming.sync import start_post_sync
 

@@ -2,7 +2,6 @@ import json
 import sqlite3
 
 import pytest
-from pyspark.sql import functions as F
 
 from talkloom.operators.posts import unify_posts
 from talkloom.sources import jsonl
