@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from talkloom.llm import language_id, topk, toxicity, urls
+from talkloom.llm import bpe, language_id, mixing, quality, topk, toxicity, urls
 from talkloom.llm.folds import fold
+from talkloom.session import materialise
 
 #: Rows that go to a Python worker at once; texts can be long.
 BATCH = "512"
@@ -16,6 +18,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path())
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    described = mixing.describe(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(materialise(described, "described"))
+    return mixed.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
+
+
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -51,6 +75,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_bpe_roundtrip": op2_bpe_roundtrip,
+    "op3_mix_weights": op3_mix_weights,
     "op4_topk_search": op4_topk_search,
     "op6_toxicity": op6_toxicity,
     "op9_url_filter": op9_url_filter,
