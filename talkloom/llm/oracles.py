@@ -19,6 +19,37 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 10
 """
 
+_HALVES = """[
+  (m, 0, left(line, m // 2)), (m, 1, right(line, m - m // 2)),
+  (m - 1, 0, left(line, (m - 1) // 2)), (m - 1, 1, right(line, m - 1 - (m - 1) // 2))]"""
+SQL["op8_line_dedup"] = f"""
+WITH pieces AS (
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS raw
+  FROM documents WHERE text IS NOT NULL
+), l AS (
+  SELECT *, trim(raw, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS line FROM pieces
+), long_lines AS (SELECT * FROM l WHERE length(line) >= 20
+), firsts AS (
+  SELECT line, length(line) AS m, min((doc_id, line_no)) AS place FROM long_lines GROUP BY line
+), halves AS (SELECT line, m, place, unnest({_HALVES}) AS half FROM firsts
+), pairs AS (
+  SELECT DISTINCT a.line AS earlier, a.m AS m0, b.line, b.m AS m1
+  FROM halves a JOIN halves b ON a.half = b.half AND a.place < b.place AND abs(a.m - b.m) <= 1
+), near AS (
+  SELECT DISTINCT line FROM pairs WHERE len(list_filter(range(1, greatest(m0, m1) + 1), lambda i: CASE
+    WHEN m0 = m1 THEN left(earlier, i - 1) = left(line, i - 1) AND substr(earlier, i + 1) = substr(line, i + 1)
+    WHEN m0 > m1 THEN left(earlier, i - 1) || substr(earlier, i + 1) = line
+    ELSE left(line, i - 1) || substr(line, i + 1) = earlier END)) > 0
+), judged AS (
+  SELECT l.doc_id, l.line_no, l.raw, coalesce((l.doc_id, l.line_no) <> f.place OR n.line IS NOT NULL, false) AS gone
+  FROM l LEFT JOIN firsts f ON l.line = f.line LEFT JOIN near n ON l.line = n.line
+)
+SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (NOT gone), '') AS text,
+  CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped
+FROM judged GROUP BY doc_id
+UNION ALL SELECT doc_id, NULL, 0 FROM documents WHERE text IS NULL
+"""
+
 # The given pages hold no canonical links or redirects, so that the SQL has rules only;
 # links are tested on a fixture.
 SQL["op9_url_filter"] = r"""

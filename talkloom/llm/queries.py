@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from talkloom.llm import bpe, language_id, mixing, quality, topk, toxicity, urls
+from talkloom.llm import bpe, jaccard, language_id, lines, mixing, quality, topk, toxicity, urls
 from talkloom.llm.folds import fold
 from talkloom.session import materialise
 
@@ -52,6 +52,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup(documents).select("doc_id", "text", "n_dropped")
+
+
 RULES = [
     urls.Rule("allow", "org", "/"),
     urls.Rule("block", "example.org", "/es/"),
@@ -80,6 +89,8 @@ QUERIES = {
     "op3_mix_weights": op3_mix_weights,
     "op4_topk_search": op4_topk_search,
     "op6_toxicity": op6_toxicity,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
 }
