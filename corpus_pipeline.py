@@ -6,11 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkloom.llm.stages import toxic
+from talkloom.llm.stages import encode, mix, near_duplicates, repeated_lines, toxic
 from talkloom.session import shared_folder
 
 STAGES = [
     ("toxicity", toxic),
+    ("line dedup", repeated_lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", mix),
+    ("BPE encoding and decoding", encode),
 ]
 
 #: The first stage fits a classifier, which SQL cannot express.

@@ -51,10 +51,10 @@ def linked(overlap, a, b):
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text to doc_id, n, class, leaf and keys; without shingles, class and leaf are null."""
+    """doc_id, version, text to doc_id, version, n, class, leaf and keys; without shingles, class and leaf are null."""
     for batch in batches:
         rows: dict[str, list] = {"n": [], "class": [], "leaf": [], "keys": []}
-        for text in batch.column(1):
+        for text in batch.column("text"):
             tokens = shingle_set(text.as_py())
             n = len(tokens)
             keys = np.zeros(0, np.uint64)
@@ -68,10 +68,10 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows["keys"].append(keys.view(np.int64))
         offsets = np.concatenate([[0], np.cumsum([len(k) for k in rows["keys"]])]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array(rows["n"], pa.int64()), pa.array(rows["class"], pa.binary()),
+            batch.column("doc_id"), batch.column("version"), pa.array(rows["n"], pa.int64()), pa.array(rows["class"], pa.binary()),
             pa.array(rows["leaf"], pa.int64()),
             pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows["keys"]), pa.int64())),
-        ], names=["doc_id", "n", "class", "leaf", "keys"])
+        ], names=["doc_id", "version", "n", "class", "leaf", "keys"])
 
 
 def _leaf_pairs(described: DataFrame) -> DataFrame:
@@ -255,17 +255,18 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (documents it links with) for every row.
+    """doc_id, n_shingles, component_id, n_links (documents it links with) and version for every row.
 
     component_id is the smallest doc_id that links lead to, the row's own included. Texts
     without a word, and null, have no shingles and no links. Rows with the same id and
     text are copies of each other; rows with the same id and other texts are judged each
     by its text. Rows without an id link with nothing, and their component is null.
-    Shingles are compared by 64-bit hashes.
+    version is a hash of the row's text. Shingles are compared by 64-bit hashes.
     """
-    named = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    named = documents.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("version"))
     described = materialise(
-        named.mapInArrow(_describe, "doc_id long, n long, class binary, leaf long, keys array<long>"), "jaccard_sets")
+        named.mapInArrow(_describe, "doc_id long, version long, n long, class binary, leaf long, keys array<long>"), "jaccard_sets")
     taking_part = described.where("class IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialise(taking_part.groupBy("class").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("leaf").alias("leaf"), F.min("n").alias("n")),
@@ -305,8 +306,8 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     first = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = lookup(placed.drop("doc_id"), first, "component").select("class", "component_id", "n_links")
-    joined = lookup(described.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class")),
+    joined = lookup(described.select("doc_id", "version", "n", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class")),
                     of_class, "class")
     return joined.select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "version")

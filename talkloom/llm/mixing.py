@@ -77,15 +77,23 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     return raked
 
 
+def with_cells(documents: DataFrame, names: Sequence[str] = ("source", "lang", "topic"), text: str = "text",
+               source: str = "source", lang: str = "lang", topic_of: Column | None = None) -> DataFrame:
+    """``documents`` with the source, language and topic that count, under the given names; null is ``(none)``."""
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
+    subject = topic(F.col(text)) if topic_of is None else topic_of
+    values = (named(source), named(lang), F.coalesce(subject, F.lit(OTHER_TOPIC)))
+    return documents.withColumns(dict(zip(names, values)))
+
+
 def describe(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
              lang: str = "lang", topic_of: Column | None = None) -> DataFrame:
-    """doc_id, source, lang, topic, tokens of every row; null values are named ``(none)``, words count as tokens."""
+    """doc_id, source, lang, topic, tokens of every row; words count as tokens."""
+    cells = with_cells(documents, ("_source", "_lang", "_topic"), text, source, lang, topic_of)
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
-    subject = topic(F.col(text)) if topic_of is None else topic_of
-    return documents.select(
-        F.col(doc_id).alias("doc_id"), named(source).alias("source"), named(lang).alias("lang"),
-        F.coalesce(subject, F.lit(OTHER_TOPIC)).alias("topic"), words.alias("tokens"))
+    return cells.select(
+        F.col(doc_id).alias("doc_id"), F.col("_source").alias("source"), F.col("_lang").alias("lang"),
+        F.col("_topic").alias("topic"), words.alias("tokens"))
 
 
 def rates(described: DataFrame, dimensions: Sequence[str] = ("source", "lang", "topic"),

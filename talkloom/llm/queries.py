@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from talkloom.llm import bpe, jaccard, language_id, lines, mixing, quality, topk, toxicity, urls
+from talkloom.llm import bpe, jaccard, language_id, lines, mixing, quality, token_counts, topk, toxicity, urls
 from talkloom.llm.folds import fold
 from talkloom.session import materialise
 
@@ -44,6 +44,12 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, ranks = table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    trees = materialise(token_counts.build(documents, ranks), "token_trees")
+    return token_counts.counts_after(trees, token_counts.scrubbing(documents), ranks)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(documents, labels, training=fold("doc_id", 5) != 0)
@@ -53,7 +59,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"))
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("version")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +94,7 @@ QUERIES = {
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op3_mix_weights": op3_mix_weights,
     "op4_topk_search": op4_topk_search,
+    "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_line_dedup": op8_line_dedup,

@@ -1,15 +1,63 @@
-"""The stages of the corpus pipeline: each applies one operator to what its predecessor kept."""
+"""The stages of the corpus pipeline: each applies one operator to what its predecessor kept.
+
+All but the last return the columns of ``docs`` as they came, extra ones included.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from talkloom.llm import toxicity
+from talkloom.llm import bpe, jaccard, lines, mixing, toxicity
 from talkloom.llm.folds import fold
-from talkloom.llm.queries import table
+from talkloom.llm.queries import table, tokenizer_path
+from talkloom.operators.lookup import lookup
+from talkloom.session import materialise
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic, with the columns of ``docs``."""
+    """Documents that the classifier does not call toxic; those without text stay."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), training=fold("doc_id", 5) != 0)
-    return toxicity.score(docs, model, into="_toxicity").where(F.col("_toxicity") < 0.5).drop("_toxicity")
+    return toxicity.score(docs, model, into="_toxicity").where(F.col("_toxicity") < 0.5).select(*docs.columns)
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat earlier ones; those of which no word is left go.
+
+    Where lines were taken out, ``n_chars`` is the length of the rest.
+    """
+    changed = lines.dedup(docs, dropped="_dropped")
+    rest = changed.where("_dropped = 0 OR text RLIKE '[^ \\\\t-\\\\r]'")
+    size = F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long")) \
+        if "n_chars" in docs.columns else None
+    return rest.select(*[size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that with the smallest id. Rows without an id stay."""
+    key = ["_doc", "_version"]
+    joined = jaccard.join(docs).where("doc_id IS NOT NULL")
+    # Only what is not first in its group, or there more than once, has to be looked up.
+    judged = joined.groupBy(F.col("doc_id").alias("_doc"), F.coalesce("version", F.lit(0)).alias("_version")).agg(
+        (F.min("component_id") == F.first("doc_id")).alias("_first"), F.count("*").alias("_n")).where("NOT _first OR _n > 1")
+    keyed = docs.withColumn("_doc", F.col("doc_id").cast("long")).withColumn("_version", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    found = lookup(keyed, materialise(judged, "near_duplicates"), key)
+    alone = found.where("_first IS NULL")
+    # The same id and text several times: one row stays.
+    repeated = found.where("_first").dropDuplicates(key)
+    return alone.unionByName(repeated).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample of the documents with the source, language and topic shares that raking arrives at."""
+    dimensions = ["source", "lang", "topic"]
+    rated = mixing.rates(materialise(mixing.describe(docs), "described"), dimensions)
+    named = [f"_{d}" for d in dimensions]
+    marked = mixing.with_cells(docs, named)
+    chosen = lookup(marked, rated.select(*[F.col(d).alias(f"_{d}") for d in dimensions], F.col("probability").alias("_p")), named)
+    return chosen.where(mixing.uniform(F.col("doc_id"), "mix") < F.col("_p")).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and decoded of each document."""
+    encoded = bpe.encode(docs, tokenizer_path())
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
