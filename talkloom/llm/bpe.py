@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -31,19 +33,23 @@ from talkloom.session import new_folder
 #: The byte-level tokenizer's pattern (fixed values).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of the texts that share one numbering of words; a longer text is a block of its own.
-BLOCK = 12_000_000
+BLOCK = 6_000_000
 #: Words handed to the tokenizer at once.
 BATCH = 4_096
 
 _PACKED = "block long, part int, first binary, second binary, third binary"
 
 
-def _unassigned() -> str:
-    """A character class of the code points without a meaning so far."""
-    missing = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
-    starts = [c for i, c in enumerate(missing) if not i or missing[i - 1] != c - 1]
-    ends = [c for i, c in enumerate(missing) if i + 1 == len(missing) or missing[i + 1] != c + 1]
-    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends)) + "]"
+@cache
+def _unassigned() -> regex.Pattern:
+    """Finds code points without a meaning so far."""
+    ranges, before = [], -2
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c)) == "Cn":
+            if c != before + 1:
+                ranges.append([c, c])
+            ranges[-1][1] = before = c
+    return regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]")
 
 
 class Splitter:
@@ -59,11 +65,10 @@ class Splitter:
         self.tokenizer = tokenizer
         self.words = regex.compile(PATTERN).findall
         self.beyond = regex.compile("[^\x00-\u052f]").search
-        self.unassigned = regex.compile(_unassigned()).search
         self.specials = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if specials else None
 
     def _split(self, text: str) -> list[str]:
-        if not text.isascii() and self.beyond(text) and self.unassigned(text):
+        if not text.isascii() and self.beyond(text) and _unassigned().search(text):
             return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
         return self.words(text)
 
@@ -209,45 +214,50 @@ def _assemble(content: str):
     """A block's numbers and the ids of its words to the ids and the decoded text of each document."""
     table: list[list[bytes]] = []
 
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def assemble(numbered: pa.Table, words: pa.Table) -> pa.Table:
         if not table:
             table.append(pieces(tokenizer_of(content)))
-        rows = pa.Table.from_batches(list(batches)).to_pylist()
-        docs = next(r for r in rows if r["part"] < 0)
+        docs = numbered.to_pylist()[0]
         counts, codes = _unpack(docs["second"]).astype(np.int64), _unpack(docs["third"])
-        ids = np.frombuffer(docs["first"], np.int64, len(counts))
-        missing = docs["first"][8 * len(counts):]
-
-        order, sizes, flat = [], [], []
-        for row in rows:
-            if row["part"] >= 0:
-                order.append(np.cumsum(_unpack(row["first"]), dtype=np.uint32))
-                sizes.append(_unpack(row["second"]))
-                flat.append(_unpack(row["third"]))
-        number = np.concatenate(order) if order else np.zeros(0, np.uint32)
-        size_of = np.zeros(len(number), np.int64)
-        start_of = np.zeros(len(number), np.int64)
-        if order:
-            size = np.concatenate(sizes).astype(np.int64)
-            size_of[number], start_of[number] = size, np.cumsum(size) - size
-        flat_ids = np.concatenate(flat).astype(np.int32) if flat else np.zeros(0, np.int32)
-
-        first = 0
-        for doc, gone, count in zip(ids.tolist(), missing, counts.tolist()):
-            words, first = codes[first:first + count], first + count
-            size = size_of[words]
+        doc_ids = np.frombuffer(docs["first"], np.int64, len(counts))
+        missing = np.frombuffer(docs["first"], np.uint8, offset=8 * len(counts)).astype(bool)
+
+        # Where the ids of each numbered word are, and how many.
+        rows = [[_unpack(row[c]) for c in ("first", "second", "third")] for row in words.to_pylist()]
+        number = np.concatenate([np.cumsum(steps, dtype=np.uint32) for steps, _, _ in rows] or [np.zeros(0, np.uint32)])
+        size = np.concatenate([sizes for _, sizes, _ in rows] or [np.zeros(0, np.uint32)]).astype(np.int64)
+        of_words = np.concatenate([ids for _, _, ids in rows] or [np.zeros(0, np.uint32)]).astype(np.int32)
+        size_of, start_of = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        size_of[number], start_of[number] = size, np.cumsum(size) - size
+
+        ids, ends, texts, first = [], [0], [], 0
+        for count in counts.tolist():
+            own, first = codes[first:first + count], first + count
+            size = size_of[own]
             # The ids of the words one after the other: each word's start, plus 0, 1, 2 ... within the word.
             within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            found = flat_ids[np.repeat(start_of[words], size) + within]
-            text = b"".join(map(table[0].__getitem__, found.tolist())).decode("utf-8", "replace")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([None if gone else doc], pa.int64()),
-                 pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(found, pa.int32())),
-                 pa.array([text], pa.string())], names=["doc_id", "ids", "decoded"])
+            found = of_words[np.repeat(start_of[own], size) + within]
+            ids.append(found)
+            ends.append(ends[-1] + len(found))
+            texts.append(b"".join(map(table[0].__getitem__, found.tolist())).decode("utf-8", "replace"))
+        return pa.table({
+            "doc_id": pa.array(doc_ids, pa.int64(), mask=missing),
+            "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32())),
+            "decoded": pa.array(texts, pa.string())})
 
     return assemble
 
 
+def _bucketed(df: DataFrame, column: str, buckets: int, path: str) -> DataFrame:
+    """``df`` written to ``path`` with the rows of each value in one bucket, so that a later join finds them there."""
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).option("path", path).option("compression", "uncompressed").saveAsTable(name)
+    stored = spark.table(name)
+    # The table is external: its files stay, only the name goes.
+    spark.sql(f"DROP TABLE {name}")
+    return stored
+
+
 def encode(documents: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text",
            parts: int | None = None) -> DataFrame:
     """doc_id, ids (array<int>) and decoded (string) for every row.
@@ -261,11 +271,9 @@ def encode(documents: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", te
     spark = documents.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     content = read_tokenizer(tokenizer_path)
-    path = new_folder(spark, "bpe_blocks")
     named = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    named.mapInArrow(_number(content, parts), _PACKED).write.option("compression", "uncompressed").parquet(path)
-    packed = spark.read.schema(_PACKED).parquet(path)
+    packed = _bucketed(named.mapInArrow(_number(content, parts), _PACKED), "block", parts, new_folder(spark, "bpe_blocks"))
     words = packed.where("part >= 0").repartition(parts, "part").sortWithinPartitions("part")
     encoded = words.mapInPandas(_encode_words(content), _PACKED)
-    blocks = packed.where("part < 0").unionByName(encoded)
-    return blocks.groupBy("block").applyInArrow(_assemble(content), "doc_id long, ids array<int>, decoded string")
+    return packed.where("part < 0").groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(
+        _assemble(content), "doc_id long, ids array<int>, decoded string")
