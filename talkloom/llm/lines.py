@@ -5,17 +5,17 @@ one edit: a character inserted, removed or exchanged. Of all such lines the earl
 stays, in the order of doc_id and line number.
 
 Equal lines are counted first, and only distinct lines go on. Lines within one edit of
-each other have one half in common, so that lines without such a partner are out. What
-remains of a line besides the common half emits its deletion neighbourhood as hashed
-keys: itself, and itself without one character, for each of its characters. Lines meet at
-equal keys; each is compared with the earliest line there, never with all.
+each other have one half in common, so that lines without such a partner are out. The
+others emit their deletion neighbourhood as hashed keys: the line itself, and the line
+without one character, for each of its characters. Lines meet at equal keys; each is
+compared with the earliest line there, never with all.
 
 Only built-in expressions; lines move as hashes, but for those with a possible partner.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from talkloom.llm.bitmaps import may_be_in
 from talkloom.operators.lookup import lookup
@@ -37,14 +37,13 @@ def _identity(line: Column) -> tuple[Column, Column]:
     return F.xxhash64(line).alias("ha"), F.xxhash64(F.lit(1), line).alias("hb")
 
 
-def _halves(line: Column) -> list[tuple[Column, Column]]:
-    """(key of one half, the rest) for the line cut as lines of its length are, and as those one shorter are."""
+def _halves(line: Column) -> list[Column]:
+    """Keys of the line's halves, cut as lines of its length are, and as those one shorter are."""
     found = []
     for length in (F.length(line), F.length(line) - 1):
         front, back = F.floor(length / 2).cast("int"), F.ceil(length / 2).cast("int")
-        size = F.length(line)
-        found.append((F.xxhash64(length, F.lit(0), F.left(line, front)), F.right(line, size - front)))
-        found.append((F.xxhash64(length, F.lit(1), F.right(line, back)), F.left(line, size - back)))
+        found.append(F.xxhash64(length, F.lit(0), F.left(line, front)))
+        found.append(F.xxhash64(length, F.lit(1), F.right(line, back)))
     return found
 
 
@@ -55,6 +54,38 @@ def _numbered(documents: DataFrame) -> DataFrame:
     return compute_once(lines, "line", _bare(F.col("raw"))).drop("raw").where(F.length("line") >= MIN_CHARS)
 
 
+def _xor(hashes: Column) -> Column:
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda total, h: total.bitwiseXOR(h))
+
+
+def _variants(texts: DataFrame) -> DataFrame:
+    """ha, hb, place, position, variant: the deletion neighbourhood of each line.
+
+    Position 0 is the line itself, position i the line without its i-th character. A
+    variant is the exclusive or of a hash for each of its characters with its place, so
+    that all of a line's variants come out of one running sum, however long it is.
+    """
+    characters = F.split("line", "")
+    at_place = F.transform(characters, lambda c, i: F.xxhash64(i, c))
+    one_before = F.transform(characters, lambda c, i: F.xxhash64(i - 1, c))
+    # All characters of a line are made and summed in the task that has the line.
+    dealt = texts.repartition(*_ID).select(
+        *_ID, F.struct("doc", "line_no").alias("place"), F.length("line").alias("size"),
+        _xor(at_place).alias("whole"), _xor(one_before).alias("moved"), F.posexplode(characters).alias("i", "c"))
+    upto = Window.partitionBy(*_ID, "place").orderBy("i")
+    before = upto.rowsBetween(Window.unboundedPreceding, -1)
+    kept = F.coalesce(F.bit_xor(F.xxhash64("i", "c")).over(before), F.lit(0))
+    gone = F.bit_xor(F.xxhash64(F.col("i") - 1, "c")).over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    without = dealt.select(
+        *_ID, "place", (F.col("i") + 1).alias("position"),
+        F.xxhash64(F.col("size") - 1, kept.bitwiseXOR("moved").bitwiseXOR(gone)).alias("variant"), "i", "size", "whole")
+    itself = F.struct(F.lit(0).alias("position"), F.xxhash64("size", "whole").alias("variant"))
+    shorter = F.struct("position", "variant")
+    # The first character's row also gives the line itself.
+    return without.select(*_ID, "place", F.explode(F.when(F.col("i") == 0, F.array(itself, shorter)).otherwise(
+        F.array(shorter))).alias("v")).select(*_ID, "place", "v.position", "v.variant")
+
+
 def _near(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     """ha, hb of the distinct lines that have an earlier line within one edit."""
     halves = distinct.select(*_ID, F.explode("halves").alias("half"))
@@ -70,19 +101,7 @@ def _near(documents: DataFrame, distinct: DataFrame) -> DataFrame:
         *_identity(F.col("line")), "doc", "line_no", "line")
     texts = materialise(texts.dropDuplicates([*_ID, "doc", "line_no"]), "alive_texts")
 
-    place = F.struct("doc", "line_no").alias("place")
-    pieces = texts.select(*_ID, place, F.explode(F.array(*[
-        F.struct(half.alias("half"), rest.alias("rest")) for half, rest in _halves(F.col("line"))])).alias("p")).select(
-        *_ID, "place", "p.half", "p.rest").distinct()
-    pieces = lookup(pieces, shared, "half", "inner")
-    # Position 0 is the whole rest, position i the rest without its i-th character.
-    variants = pieces.select(*_ID, "place", F.posexplode(F.concat(
-        F.array(F.xxhash64("half", "rest")),
-        F.when(F.length("rest") > 0, F.transform(
-            F.sequence(F.lit(1), F.length("rest")),
-            lambda i: F.xxhash64("half", F.concat(F.left("rest", i - 1), F.substr("rest", i + 1))))).otherwise(
-            F.array().cast("array<bigint>")))).alias("position", "variant"))
-    variants = materialise(variants, "line_variants")
+    variants = materialise(_variants(texts), "line_variants")
 
     # Exchanged: the same without the same character. Inserted: one whole, the other without a character.
     exchanged = variants.where("position > 0").groupBy("variant", "position").agg(
@@ -97,7 +116,7 @@ def _near(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     columns = [*_ID, "place", "earliest"]
     candidates = by_exchange.select(columns).unionByName(by_insertion.select(columns)).where("earliest < place").distinct()
 
-    at = texts.select(place, "line").dropDuplicates(["place"])
+    at = texts.select(F.struct("doc", "line_no").alias("place"), "line").dropDuplicates(["place"])
     pairs = lookup(candidates, at, "place", "inner")
     pairs = lookup(pairs, at.select(F.col("place").alias("earliest"), F.col("line").alias("earlier")), "earliest", "inner")
     return pairs.where(F.levenshtein("line", "earlier", 1) == 1).select(*_ID).distinct()
@@ -114,7 +133,7 @@ def repeated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     named = documents.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     line = F.col("line")
     lines = materialise(_numbered(named).select(
-        "doc", "line_no", *_identity(line), F.array_distinct(F.array(*[h for h, _ in _halves(line)])).alias("halves")), "lines")
+        "doc", "line_no", *_identity(line), F.array_distinct(F.array(*_halves(line))).alias("halves")), "lines")
     distinct = materialise(lines.groupBy(*_ID, "halves").agg(
         F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("n")), "distinct_lines")
     near = _near(named, distinct).withColumn("near", F.lit(True))

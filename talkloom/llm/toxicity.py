@@ -111,11 +111,14 @@ def fit_weights(positive: list[list[int]], unlabelled: list[list[int]], width: i
     first, second = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, STEPS + 1):
         at_p, at_u = p.times(weights) + bias, u.times(weights) + bias
-        # Logistic loss of calling a row negative, over unlabelled rows less the share of positives.
-        negative_risk = np.logaddexp(0, at_u).mean() - prior * np.logaddexp(0, at_p).mean()
-        to_p, to_u = -prior * _sigmoid(at_p) / p.size, _sigmoid(at_u) / u.size
+        says_p, says_u = _sigmoid(at_p), _sigmoid(at_u)
+        # Sigmoid loss of calling a row negative, over unlabelled rows less the share of positives.
+        negative_risk = says_u.mean() - prior * says_p.mean()
+        steep_p, steep_u = says_p * (1 - says_p), says_u * (1 - says_u)
+        to_p, to_u = -prior * steep_p / p.size, steep_u / u.size
         if negative_risk >= 0:
-            to_p = to_p - prior * (1 - _sigmoid(at_p)) / p.size
+            # With the loss of calling a positive row negative: it is bounded, as the other one.
+            to_p = 2 * to_p
         else:
             to_p, to_u = -to_p, -to_u
         gradient = np.append(p.back(to_p) + u.back(to_u) + DECAY * weights, to_p.sum() + to_u.sum())

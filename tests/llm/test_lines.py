@@ -1,0 +1,89 @@
+"""Line dedup against comparing every line with all earlier ones."""
+
+import random
+
+import pytest
+
+from talkloom.llm import lines as L
+
+
+def distance_at_most_one(a, b):
+    if a == b:
+        return True
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[i + 1:] == b[i + 1:] if len(a) == len(b) else a[i:] == b[i + 1:]
+
+
+def plain(rows):
+    """Drops by (doc, line number); equal ids are versions of one document."""
+    seen = {}
+    for doc, text in rows:
+        for n, line in enumerate((text or "").split("\n")):
+            bare = line.strip(" \t\r\f\x0b")
+            if doc is not None and len(bare) >= L.MIN_CHARS:
+                seen.setdefault((doc, n), set()).add(bare)
+    places = sorted(seen)
+    firsts = {}
+    for place in places:
+        for bare in seen[place]:
+            firsts.setdefault(bare, place)
+    near = {b for b, at in firsts.items() if any(a != b and firsts[a] < at and distance_at_most_one(a, b) for a in firsts)}
+    gone = {}
+    for place in places:
+        for bare in seen[place]:
+            if bare in near or firsts[bare] != place:
+                gone.setdefault(place[0], set()).add(place[1])
+    out = []
+    for doc, text in rows:
+        if text is None or doc not in gone:
+            out.append((str(doc), text))
+        else:
+            out.append((str(doc), "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone[doc])))
+    return sorted(out, key=str)
+
+
+def found(df):
+    return sorted(((str(r.doc_id), r.text) for r in df.collect()), key=str)
+
+
+def corpus(seed):
+    rng = random.Random(seed)
+    bases = ["".join(rng.choice("abcdé 🙂") for _ in range(rng.randrange(18, 60))) for _ in range(12)]
+    bases += ["a" * 30, "ab" * 15]
+
+    def variant(line):
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            at = rng.randrange(len(line))
+            line = line[:at] + rng.choice(["", "x", "y", "xa"]) + line[at + rng.choice([0, 1]):]
+        return rng.choice(["", " ", "\t"]) + line + rng.choice(["", "  ", "\r"])
+
+    rows = [(i, "\n".join(variant(rng.choice(bases)) if rng.random() < 0.7 else "short" for _ in range(rng.randrange(1, 9))))
+            for i in rng.sample(range(100), 40)]
+    return rows + [(None, bases[0]), (200, None), (201, ""), (202, "\n\n"), (203, rows[0][1]), (203, rows[0][1])]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_against_all_earlier_lines(spark, seed):
+    rows = corpus(seed)
+    documents = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, half long, _doc string").drop("_doc")
+    assert found(L.dedup(documents)) == plain(rows)
+
+
+def test_numbered_lines_all_share_a_variant(spark):
+    rows = [(i, f"this is the line with the number {i % 10}") for i in range(30)]
+    assert [text for _, text in found(L.dedup(spark.createDataFrame(rows, "doc_id long, text string"))) if text] == [rows[0][1]]
+
+
+def test_very_long_lines_and_many_lines(spark):
+    long = "xzy" * 300_000
+    rows = [(1, long), (2, long + "!"), (3, long[:-1]), (4, "\n".join(f"line {i} is a line of its own {i * 7919}" for i in range(3000)))]
+    out = dict(found(L.dedup(spark.createDataFrame(rows, "doc_id long, text string"))))
+    assert out["1"] == long and out["2"] == "" and out["3"] == "" and out["4"] == dict(plain(rows))["4"]
+
+
+def test_empty_table(spark):
+    assert L.dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
