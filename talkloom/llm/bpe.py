@@ -12,6 +12,7 @@ are packed and compressed, as the tables are incompressible otherwise.
 
 from __future__ import annotations
 
+import os
 import sys
 import unicodedata
 import uuid
@@ -116,6 +117,8 @@ def read_tokenizer(path: str) -> str:
 
 
 def tokenizer_of(content: str) -> Tokenizer:
+    # A task has one core; threads of the library's own would each keep memory.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_str(content)
     tokenizer.no_truncation()
     tokenizer.no_padding()

@@ -65,20 +65,20 @@ def _variants(texts: DataFrame) -> DataFrame:
     variant is the exclusive or of a hash for each of its characters with its place, so
     that all of a line's variants come out of one running sum, however long it is.
     """
-    characters = F.split("line", "")
-    at_place = F.transform(characters, lambda c, i: F.xxhash64(i, c))
-    one_before = F.transform(characters, lambda c, i: F.xxhash64(i - 1, c))
+    hashed = lambda moved: _xor(F.transform("characters", lambda c, i: F.xxhash64(i - moved, c)))
+    place = F.struct("doc", "line_no").alias("place")
     # All characters of a line are made and summed in the task that has the line.
-    dealt = texts.repartition(*_ID).select(
-        *_ID, F.struct("doc", "line_no").alias("place"), F.length("line").alias("size"),
-        _xor(at_place).alias("whole"), _xor(one_before).alias("moved"), F.posexplode(characters).alias("i", "c"))
+    dealt = compute_once(texts.repartition(*_ID).select(*_ID, place, "line"), "characters", F.split("line", "")).drop("line")
+    summed = compute_once(dealt, "sums", F.struct(
+        F.size("characters").alias("size"), hashed(0).alias("whole"), hashed(1).alias("moved")))
+    dealt = summed.select(*_ID, "place", "sums", F.posexplode("characters").alias("i", "c")).select(*_ID, "place", "sums.*", "i", "c")
     upto = Window.partitionBy(*_ID, "place").orderBy("i")
     before = upto.rowsBetween(Window.unboundedPreceding, -1)
     kept = F.coalesce(F.bit_xor(F.xxhash64("i", "c")).over(before), F.lit(0))
     gone = F.bit_xor(F.xxhash64(F.col("i") - 1, "c")).over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     without = dealt.select(
         *_ID, "place", (F.col("i") + 1).alias("position"),
-        F.xxhash64(F.col("size") - 1, kept.bitwiseXOR("moved").bitwiseXOR(gone)).alias("variant"), "i", "size", "whole")
+        F.xxhash64(F.col("size") - 1, kept.bitwiseXOR(F.col("moved")).bitwiseXOR(gone)).alias("variant"), "i", "size", "whole")
     itself = F.struct(F.lit(0).alias("position"), F.xxhash64("size", "whole").alias("variant"))
     shorter = F.struct("position", "variant")
     # The first character's row also gives the line itself.
