@@ -106,20 +106,30 @@ def _near(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     # Exchanged: the same without the same character. Inserted: one whole, the other without a character.
     exchanged = variants.where("position > 0").groupBy("variant", "position").agg(
         F.min("place").alias("earliest"), F.count("*").alias("n")).where("n > 1").drop("n")
-    by_exchange = lookup(variants.where("position > 0"), exchanged, ["variant", "position"], "inner")
-    whole, without = F.col("position") == 0, F.col("position") > 0
+    by_exchange = lookup(variants.where("position > 0"), exchanged, ["variant", "position"], "inner").withColumn(
+        "without", F.col("position"))
+    whole, shorter = F.col("position") == 0, F.col("position") > 0
     inserted = variants.groupBy("variant").agg(
-        F.min(F.when(whole, F.col("place"))).alias("whole"), F.min(F.when(without, F.col("place"))).alias("without")
-    ).where("whole IS NOT NULL AND without IS NOT NULL")
+        F.min(F.when(whole, F.struct("place", "position"))).alias("itself"),
+        F.min(F.when(shorter, F.struct("place", "position"))).alias("shorter")).where(
+        "itself IS NOT NULL AND shorter IS NOT NULL")
     by_insertion = lookup(variants, inserted, "variant", "inner").withColumn(
-        "earliest", F.when(whole, F.col("without")).otherwise(F.col("whole")))
-    columns = [*_ID, "place", "earliest"]
+        "other", F.when(whole, F.col("shorter")).otherwise(F.col("itself"))).select(
+        "*", F.col("other.place").alias("earliest"), F.col("other.position").alias("without"))
+    columns = [*_ID, "place", "position", "earliest", "without"]
     candidates = by_exchange.select(columns).unionByName(by_insertion.select(columns)).where("earliest < place").distinct()
 
     at = texts.select(F.struct("doc", "line_no").alias("place"), "line").dropDuplicates(["place"])
     pairs = lookup(candidates, at, "place", "inner")
     pairs = lookup(pairs, at.select(F.col("place").alias("earliest"), F.col("line").alias("earlier")), "earliest", "inner")
-    return pairs.where(F.levenshtein("line", "earlier", 1) == 1).select(*_ID).distinct()
+    # One edit apart: equal without the character at the same place, or one equal to the other without one.
+    return pairs.where(_less("line", "position") == _less("earlier", "without")).select(*_ID).distinct()
+
+
+def _less(line: str, position: str) -> Column:
+    """The line without its character at ``position``; the whole line for position 0."""
+    at = F.col(position)
+    return F.when(at == 0, F.col(line)).otherwise(F.concat(F.left(line, at - 1), F.substr(line, at + 1)))
 
 
 def repeated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
