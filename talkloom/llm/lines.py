@@ -59,16 +59,15 @@ def _xor(hashes: Column) -> Column:
 
 
 def _variants(texts: DataFrame) -> DataFrame:
-    """ha, hb, place, position, variant: the deletion neighbourhood of each line.
+    """ha, position, variant: the deletion neighbourhood of each line.
 
     Position 0 is the line itself, position i the line without its i-th character. A
     variant is the exclusive or of a hash for each of its characters with its place, so
     that all of a line's variants come out of one running sum, however long it is.
     """
     hashed = lambda moved: _xor(F.transform("characters", lambda c, i: F.xxhash64(i - moved, c)))
-    place = F.struct("doc", "line_no").alias("place")
     # All characters of a line are made and summed in the task that has the line.
-    dealt = compute_once(texts.repartition(*_ID).select(*_ID, place, "line"), "characters", F.split("line", "")).drop("line")
+    dealt = compute_once(texts.repartition(*_ID).select(*_ID, "place", "line"), "characters", F.split("line", "")).drop("line")
     summed = compute_once(dealt, "sums", F.struct(
         F.size("characters").alias("size"), hashed(0).alias("whole"), hashed(1).alias("moved")))
     dealt = summed.select(*_ID, "place", "sums", F.posexplode("characters").alias("i", "c")).select(*_ID, "place", "sums.*", "i", "c")
@@ -77,31 +76,36 @@ def _variants(texts: DataFrame) -> DataFrame:
     kept = F.coalesce(F.bit_xor(F.xxhash64("i", "c")).over(before), F.lit(0))
     gone = F.bit_xor(F.xxhash64(F.col("i") - 1, "c")).over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     without = dealt.select(
-        *_ID, "place", (F.col("i") + 1).alias("position"),
+        "ha", (F.col("i") + 1).alias("position"),
         F.xxhash64(F.col("size") - 1, kept.bitwiseXOR(F.col("moved")).bitwiseXOR(gone)).alias("variant"), "i", "size", "whole")
     itself = F.struct(F.lit(0).alias("position"), F.xxhash64("size", "whole").alias("variant"))
     shorter = F.struct("position", "variant")
     # The first character's row also gives the line itself.
-    return without.select(*_ID, "place", F.explode(F.when(F.col("i") == 0, F.array(itself, shorter)).otherwise(
-        F.array(shorter))).alias("v")).select(*_ID, "place", "v.position", "v.variant")
+    return without.select("ha", F.explode(F.when(F.col("i") == 0, F.array(itself, shorter)).otherwise(
+        F.array(shorter))).alias("v")).select("ha", "v.position", "v.variant")
 
 
-def _near(documents: DataFrame, distinct: DataFrame) -> DataFrame:
+def _near(documents: DataFrame, lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """ha, hb of the distinct lines that have an earlier line within one edit."""
-    halves = distinct.select(*_ID, F.explode("halves").alias("half"))
-    shared = materialise(
-        halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), "shared_halves")
-    alive = lookup(halves.where(may_be_in(F.col("half"), shared, "half")), shared, "half", "inner").select(*_ID).distinct()
-    alive = materialise(lookup(
-        distinct.select(*_ID, F.col("first.doc").alias("doc"), F.col("first.line_no").alias("line_no")), alive, _ID, "inner"),
-        "alive_lines")
+    halves = lines.select(*_ID, F.explode("halves").alias("half"))
+    shared = materialise(halves.groupBy("half").agg(F.min("ha").alias("least"), F.max("ha").alias("most")).where(
+        "least < most").select("half"), "shared_halves")
+    alive = materialise(
+        lookup(halves.where(may_be_in(F.col("half"), shared, "half")), shared, "half", "inner").select(*_ID).distinct(), "alive_ids")
+    firsts = distinct.select(*_ID, F.col("first.doc").alias("doc"), F.col("first.line_no").alias("line_no"))
+    alive = materialise(lookup(firsts.where(may_be_in(F.col("ha"), alive, "ha")), alive, _ID, "inner"), "alive_lines")
     # The text of a line is fetched where it stands first.
     near_by = _numbered(documents.where(may_be_in(F.col("doc"), alive, "doc")))
     texts = near_by.join(alive.select("doc", "line_no").distinct(), ["doc", "line_no"]).select(
-        *_identity(F.col("line")), "doc", "line_no", "line")
-    texts = materialise(texts.dropDuplicates([*_ID, "doc", "line_no"]), "alive_texts")
+        *_identity(F.col("line")), F.struct("doc", "line_no").alias("place"), "line")
+    texts = materialise(texts.dropDuplicates([*_ID, "place"]), "alive_texts")
 
     variants = materialise(_variants(texts), "line_variants")
+    # Most variants belong to one line; the others' few rows go on.
+    met = materialise(variants.groupBy("variant").agg(F.min("ha").alias("least"), F.max("ha").alias("most")).where(
+        "least < most").select("variant"), "met_variants")
+    variants = lookup(variants.where(may_be_in(F.col("variant"), met, "variant")), met, "variant", "inner")
+    variants = materialise(lookup(variants, texts.select("ha", "hb", "place"), "ha", "inner"), "met_lines")
 
     # Exchanged: the same without the same character. Inserted: one whole, the other without a character.
     exchanged = variants.where("position > 0").groupBy("variant", "position").agg(
@@ -119,7 +123,7 @@ def _near(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     columns = [*_ID, "place", "position", "earliest", "without"]
     candidates = by_exchange.select(columns).unionByName(by_insertion.select(columns)).where("earliest < place").distinct()
 
-    at = texts.select(F.struct("doc", "line_no").alias("place"), "line").dropDuplicates(["place"])
+    at = texts.select("place", "line").dropDuplicates(["place"])
     pairs = lookup(candidates, at, "place", "inner")
     pairs = lookup(pairs, at.select(F.col("place").alias("earliest"), F.col("line").alias("earlier")), "earliest", "inner")
     # One edit apart: equal without the character at the same place, or one equal to the other without one.
@@ -144,10 +148,10 @@ def repeated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     line = F.col("line")
     lines = materialise(_numbered(named).select(
         "doc", "line_no", *_identity(line), F.array_distinct(F.array(*_halves(line))).alias("halves")), "lines")
-    distinct = materialise(lines.groupBy(*_ID, "halves").agg(
+    distinct = materialise(lines.groupBy(*_ID).agg(
         F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("n")), "distinct_lines")
-    near = _near(named, distinct).withColumn("near", F.lit(True))
-    judged = lookup(distinct.select(*_ID, "first", "n"), near, _ID).where("n > 1 OR near")
+    near = materialise(_near(named, lines, distinct).withColumn("near", F.lit(True)), "near_lines")
+    judged = lookup(distinct, near, _ID).where("n > 1 OR near")
     later = lookup(lines.select("doc", "line_no", *_ID), judged, _ID, "inner").where(
         F.coalesce("near", F.lit(False)) | (F.struct("doc", "line_no") != F.col("first")))
     return later.groupBy("doc").agg(F.collect_set("line_no").alias("dropped"))
@@ -158,9 +162,13 @@ def dedup(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", drop
 
     Null texts stay null; a text of which no line remains is empty.
     """
-    gone = repeated(documents, doc_id, text).select(F.col("doc").alias("_doc"), F.col("dropped").alias("_gone"))
+    gone = materialise(
+        repeated(documents, doc_id, text).select(F.col("doc").alias("_doc"), F.col("dropped").alias("_gone")), "dropped_lines")
     keyed = documents.withColumn("_doc", F.col(doc_id).cast("long"))
-    joined = lookup(keyed, gone.hint("shuffle_hash"), "_doc")
+    # Only texts that may lose a line are shuffled.
+    touched = F.coalesce(may_be_in(F.col("_doc"), gone, "_doc"), F.lit(False))
+    joined = lookup(keyed.where(touched), gone.hint("shuffle_hash"), "_doc")
+    untouched = keyed.where(~touched).select(*documents.columns, F.lit(0).cast("long").alias(dropped))
     pieces = F.split(F.col(text), "\n")
     # Rows with one id may have fewer lines than another version of the document.
     places = F.sequence(F.lit(0), F.size(pieces) - 1)
@@ -168,7 +176,8 @@ def dedup(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", drop
     rest = F.array_join(F.transform(stays, lambda i: F.get(F.col("_lines"), i)), "\n")
     marked = compute_once(joined, "_lines", F.when(F.col("_gone").isNotNull(), pieces))
     count = F.coalesce(F.size(pieces) - F.size(stays), F.lit(0)).cast("long")
-    return marked.select(
+    changed = marked.select(
         *[F.when(F.col("_gone").isNull() | F.col(text).isNull(), F.col(text)).otherwise(rest).alias(c) if c == text else F.col(c)
           for c in documents.columns],
         F.when(F.col("_gone").isNull() | F.col(text).isNull(), F.lit(0).cast("long")).otherwise(count).alias(dropped))
+    return changed.unionByName(untouched)
