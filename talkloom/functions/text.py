@@ -169,14 +169,15 @@ def titled_text(title: Column, body: Column) -> Column:
     return strip(F.concat(F.coalesce(title, F.lit("")), F.lit("\n\n"), F.coalesce(body, F.lit(""))))
 
 
-# Comments, dropped elements and tags. The possessive form keeps Java from
-# recursing over long runs of adjacent tags.
+# Comments, dropped elements and tags. A quoted attribute value may hold any
+# character; a quote without an end is an ordinary character. A dropped element
+# without an end reaches to the end of the page. The possessive form keeps Java
+# from recursing over long runs of adjacent tags.
+_REST_OF_TAG = r"(?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*>)"
 HTML_MARKUP = (
     r"(?is)(?:<!--.*?-->"
-    r"|<script\b[^>]*>.*?</script\s*>"
-    r"|<style\b[^>]*>.*?</style\s*>"
-    r"|<noscript\b[^>]*>.*?</noscript\s*>"
-    r"|<[a-z/!?][^>]*>)++"
+    + "".join(rf"|<{name}\b{_REST_OF_TAG}.*?(?:</{name}\s*>|\z)" for name in ("script", "style", "noscript"))
+    + rf"|<[a-z/!?]{_REST_OF_TAG})++"
 )
 
 

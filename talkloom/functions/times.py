@@ -7,16 +7,32 @@ from pyspark.sql import Column, functions as F
 from talkloom.functions.text import strip
 
 # Accepted timestamp shapes.
-WEEKDAY_FORM = r"^[A-Za-z]{3} [A-Za-z]{3} \d{1,2} \d{1,2}:\d{1,2}:\d{1,2} [+-]\d{4} \d{4}$"
+WEEKDAY_FORM = (
+    r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun) [a-z]{3} \d{1,2} \d{1,2}:\d{1,2}:\d{1,2} [+-]\d{2}:?\d{2} \d{4}$"
+)
+BASIC_DATE = r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])"
+BASIC_TIME = r"(?<=[T ])(\d{2})(\d{2})(?:(\d{2}))?(?=$|[.,+-])"
+HOUR_ONLY = r"([T ]\d{2})(?=$|[+-])"
+NO_SECONDS = r"([T ]\d{1,2}:\d{1,2})(?=$|[+-])"
 ISO_DATE = r"\d{4}-\d{1,2}-\d{1,2}"
 ISO_TIME = r"\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?"
 ISO_FORM = rf"^{ISO_DATE}(?:[T ]{ISO_TIME}(?:[+-]\d{{2}}:?\d{{2}})?)?$"
 
 
+def _extended(raw: Column) -> Column:
+    """ISO forms without dashes and colons, with hours only or a decimal comma, written out; others as they are."""
+    dated = F.regexp_replace(raw, BASIC_DATE, "$1-$2-$3")
+    timed = F.regexp_replace(dated, BASIC_TIME, "$1:$2:$3")
+    seconds = F.regexp_replace(timed, r"(?<=[T ]\d{2}:\d{2}):(?=$|[.,+-])", ":00")
+    hours = F.regexp_replace(seconds, HOUR_ONLY, "$1:00")
+    whole = F.regexp_replace(hours, NO_SECONDS, "$1:00")
+    return F.when(F.rlike(raw, F.lit(r"^\d")), F.replace(whole, F.lit(","), F.lit("."))).otherwise(raw)
+
+
 def parse_ts(c: Column) -> Column:
     """Timestamp in any accepted form; no zone means UTC; anything else is null."""
-    raw = F.replace(strip(c), F.lit("Z"), F.lit("+00:00"))
-    weekday_free = F.initcap(F.substring(raw, 5, 40))
+    raw = _extended(F.replace(strip(c), F.lit("Z"), F.lit("+00:00")))
+    weekday_free = F.regexp_replace(F.initcap(F.substring(raw, 5, 40)), r"([+-]\d{2}):(\d{2})", "$1$2")
     dated = F.when(F.rlike(raw, F.lit(rf"^{ISO_DATE}$")), F.concat(raw, F.lit(" 00:00:00"))).otherwise(raw)
     offset = F.regexp_replace(dated, r"([+-]\d{2})(\d{2})$", "$1:$2")
     zoned = F.when(F.rlike(offset, F.lit(r"[+-]\d{2}:\d{2}$")), offset).otherwise(F.concat(dated, F.lit("+00:00")))

@@ -35,12 +35,14 @@ def lookup(probe: DataFrame, build: DataFrame, on: str | list[str], how: str = "
     return joined.drop("_key_hash")
 
 
-def unseen(df: DataFrame, existing: DataFrame, on: str | list[str]) -> DataFrame:
+def unseen(df: DataFrame, existing: DataFrame, on: str | list[str], among: DataFrame | None = None) -> DataFrame:
     """Rows of ``df`` whose key is not in ``existing``.
 
     The usually far larger ``existing`` side is first cut down to the keys that
-    occur in ``df``; Spark broadcasts that key list by itself when it is small.
+    occur in ``among`` (default: ``df``, which then is computed twice); Spark
+    broadcasts that key list by itself when it is small.
     """
     keys = [on] if isinstance(on, str) else on
-    hits = existing.select(*keys).join(df.select(*keys).distinct(), keys, "left_semi").distinct()
+    asked = (df if among is None else among).select(*keys).distinct()
+    hits = existing.select(*keys).join(asked, keys, "left_semi").distinct()
     return lookup(df, hits, keys, "left_anti")

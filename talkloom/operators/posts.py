@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType
 
 from talkloom.functions.messages import MODEL_ROLE, POST_PROMPT, roles_by_distance, style_example
 from talkloom.functions.text import clean_text, post_dedup_key, source_app
@@ -23,15 +26,21 @@ def _filled(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def _field(df: DataFrame, name: str) -> Column:
+    return F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
+
+
+def post_id(df: DataFrame) -> Column:
+    return F.coalesce(_filled(_field(df, "id_str")), _field(df, "id"), F.lit(""))
+
+
 def unify_posts(df: DataFrame, on_raw: bool = False) -> DataFrame:
     """Raw posts to the fixed post columns (plus ``ord`` when present).
 
     The repost mark is looked for in the cleaned text, where handles are
     already gone, so it seldom matches; ``on_raw`` looks at the raw text.
     """
-    def field(name: str) -> Column:
-        return F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
-
+    field = partial(_field, df)
     raw_text = F.coalesce(_filled(field("full_text")), _filled(field("text")), F.lit(""))
     number = F.when(field("in_reply_to_status_id") != "0", field("in_reply_to_status_id"))
     quote = F.col("is_quote_status") if "is_quote_status" in df.columns else F.lit(False)
@@ -39,7 +48,7 @@ def unify_posts(df: DataFrame, on_raw: bool = False) -> DataFrame:
     return (
         compute_once(df.withColumn("_raw_text", raw_text), "_clean", clean_text(F.col("_raw_text")))
         .select(
-            F.coalesce(_filled(field("id_str")), field("id"), F.lit("")).alias("id_str"),
+            post_id(df).alias("id_str"),
             F.col("_clean").alias("text"),
             field("created_at").alias("created_at"),
             parse_ts(field("created_at")).alias("ts"),
@@ -78,13 +87,9 @@ def time_order(posts_ts: str = "ts", ord: str = "ord") -> list[Column]:
 
 
 def posts_by_id(posts: DataFrame) -> DataFrame:
-    """One row per non-empty id; of repeated ids the last one wins."""
-    last = F.max_by(F.struct("text", "in_reply_to_id"), F.col("ord"))
-    return (
-        posts.where(F.col("id_str") != "")
-        .groupBy(F.col("id_str").alias("_ptr"))
-        .agg(last.alias("_parent"))
-    )
+    """id_str, ord, in_reply_to_id of the post that counts for each non-empty id: of repeated ids the last one."""
+    named = posts.where(F.col("id_str") != "").select("id_str", "ord", "in_reply_to_id")
+    return keep_first(named, "id_str", F.desc("ord"))
 
 
 def reply_dialogs(
@@ -95,20 +100,25 @@ def reply_dialogs(
     Parents come from ``all_posts``, filtered or not. A reply whose parent is
     unknown becomes a dialog of one message.
     """
-    parents = posts_by_id(all_posts)
-    walk = posts.withColumn("_texts", F.array("text")).withColumn("_ptr", _filled(F.col("in_reply_to_id")))
+    step = posts_by_id(all_posts).select(
+        F.col("id_str").alias("_ptr"), F.col("ord").alias("_at"), _filled(F.col("in_reply_to_id")).alias("_up"))
+    # Ids are walked first. A post is told apart by its place, as ids may repeat.
+    walk = posts.select(F.col("ord").alias("_reply"), _filled(F.col("in_reply_to_id")).alias("_ptr"))
+    walk = walk.withColumn("_places", F.array().cast(ArrayType(all_posts.schema["ord"].dataType)))
     for _ in range(max_context):
-        found = F.col("_parent").isNotNull()
-        walk = (
-            lookup(walk, parents, "_ptr")
-            .withColumn(
-                "_texts",
-                F.when(found, F.concat(F.array("_parent.text"), F.col("_texts"))).otherwise(F.col("_texts")),
-            )
-            .withColumn("_ptr", _filled(F.col("_parent.in_reply_to_id")))
-            .drop("_parent")
-        )
-    return walk.withColumn("messages", roles_by_distance(F.col("_texts"), role)).drop("_texts", "_ptr")
+        found = F.col("_at").isNotNull()
+        walk = lookup(walk, step, "_ptr").select(
+            "_reply", F.col("_up").alias("_ptr"),
+            F.when(found, F.concat(F.array("_at"), F.col("_places"))).otherwise(F.col("_places")).alias("_places"))
+    # Each ancestor's text is fetched once, by its place.
+    wanted = walk.select("_reply", F.posexplode("_places").alias("_nth", "_at"))
+    texts = all_posts.select(F.col("ord").alias("_at"), F.col("text").alias("_text"))
+    named = texts.join(wanted.select("_at").distinct(), "_at", "left_semi")
+    gathered = lookup(wanted, named, "_at", "inner").groupBy("_reply").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_nth", "_text"))), lambda t: t["_text"]).alias("_texts"))
+    told = lookup(posts.withColumn("_reply", F.col("ord")), gathered, "_reply")
+    whole = F.concat(F.coalesce("_texts", F.array().cast("array<string>")), F.array("text"))
+    return told.withColumn("messages", roles_by_distance(whole, role)).drop("_texts", "_reply")
 
 
 def post_examples(

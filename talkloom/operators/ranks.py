@@ -10,7 +10,6 @@ from talkloom.operators.examples import shuffle_rank
 from talkloom.session import materialise
 
 DIGITS = 4  # hex digits per histogram: at most 65,536 counts reach the driver
-SMALL_BUCKET = 4096  # ranks fetched once the boundary bucket is this small
 
 
 def eval_size(rows: int, eval_pct: float) -> int:
@@ -38,11 +37,6 @@ def _boundary(ranks: DataFrame, size) -> str | None:
         prefix += digits
         if counts[digits] == wanted:
             return prefix
-        if counts[digits] <= SMALL_BUCKET:
-            rest = sorted(row[0] for row in ranks.where(F.startswith("_rank", F.lit(prefix))).collect())
-            if rest[-wanted - 1] == rest[-wanted]:
-                raise ValueError("split needs a unique key, or a unique tie column besides it")
-            return rest[-wanted]
         if not digits:
             raise ValueError("split needs a unique key, or a unique tie column besides it")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from talkloom.functions.messages import MODEL_ROLE, POST_PROMPT, style_example
 from talkloom.functions.times import next_start, parse_ts
 from talkloom.operators.lookup import keep_first, unseen
-from talkloom.operators.posts import unify_posts
+from talkloom.operators.posts import post_id, unify_posts
 
 START_OF_TIME = "1970-01-01T00:00:00Z"
 
@@ -31,17 +31,20 @@ def since(df: DataFrame, start_time: str | None) -> DataFrame:
 def syncable_posts(
     feed: DataFrame, min_len: int = 10, exclude_sources: Collection[str] = (), no_quotes: bool = False
 ) -> DataFrame:
-    """Feed posts that pass the filters: unified columns, ``tweet_id``, first row per id."""
+    """Feed posts that pass the filters: tweet_id, text, created_at, ord of the first row per id."""
     kept = feed.where(~references(feed, "quoted")) if no_quotes else feed
     if exclude_sources and "source" in feed.columns:
         kept = kept.where(~F.coalesce(F.col("source"), F.lit("")).isin(*exclude_sources))
-    long_enough = unify_posts(kept).where(F.length("text") >= min_len)
+    # What the examples do without is not computed.
+    unified = unify_posts(kept).select("id_str", "text", "created_at", "ord")
+    long_enough = unified.where(F.length("text") >= min_len)
     return keep_first(long_enough.withColumnRenamed("id_str", "tweet_id"), "tweet_id", "ord")
 
 
 def new_posts(feed: DataFrame, existing: DataFrame, **filters) -> DataFrame:
     """Posts of the feed that are not yet in ``existing`` (column tweet_id)."""
-    return unseen(syncable_posts(feed, **filters), existing, "tweet_id")
+    ids = feed.select(post_id(feed).alias("tweet_id"))
+    return unseen(syncable_posts(feed, **filters), existing, "tweet_id", among=ids)
 
 
 def sync_examples(posts: DataFrame, role: str = MODEL_ROLE) -> DataFrame:

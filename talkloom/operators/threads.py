@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from talkloom.functions.messages import MODEL_ROLE, message
 from talkloom.functions.text import titled_text
 from talkloom.functions.times import parse_ts
-from talkloom.operators.lookup import lookup
+from talkloom.operators.lookup import keep_first, lookup
 from talkloom.session import materialise
 
 REQUIRED = ("id", "parent_id", "root_id", "author_nick", "created_at")
 OPTIONAL = ("content_title", "content_body")
-MAX_HOP_JOINS = 16  # longer bounded walks double their stride instead
+HOPS = 8  # joins of one plan; longer walks are stored in between
 
 
 def map_threads(df: DataFrame, mapping: Mapping[str, str], ord: str | None = None) -> DataFrame:
@@ -49,9 +49,10 @@ def _next(parent: Column, own: Column) -> Column:
 
 
 def nodes_by_id(threads: DataFrame) -> DataFrame:
-    """One row per id; of repeated ids the last in order wins."""
-    fields = F.struct("parent_id", "author_nick", "content_title", "content_body")
-    return threads.groupBy("id").agg(F.max_by(fields, "ord").alias("_node")).select("id", "_node.*")
+    """One row per id; of repeated ids the last in order wins, settled before any text moves."""
+    last = keep_first(threads.select("id", "ord"), "id", F.desc("ord"))
+    kept = lookup(threads.select("ord", "id", "parent_id", "author_nick", "content_title", "content_body"), last, ["id", "ord"], "left_semi")
+    return kept.drop("ord")
 
 
 def _skip_author(nodes: DataFrame, nick: str) -> DataFrame:
@@ -90,7 +91,11 @@ def _walk_hops(leaves: DataFrame, nodes: DataFrame, hops: int) -> DataFrame:
     step = nodes.select(F.col("id").alias("_ptr"), _next(F.col("parent_id"), F.col("id")).alias("_up"))
     step = step.withColumn("_known", F.lit(True))
     walk = leaves.withColumn("_path", F.array("id"))
-    for _ in range(hops):
+    for hop in range(hops):
+        if hop and hop % HOPS == 0:
+            walk = materialise(walk, "thread-walk")
+            if walk.where(F.col("_ptr").isNotNull()).isEmpty():
+                break
         fresh = F.col("_known") & ~F.array_contains("_path", F.col("_ptr"))
         fresh = F.coalesce(fresh, F.lit(False))
         walk = (
@@ -103,7 +108,7 @@ def _walk_hops(leaves: DataFrame, nodes: DataFrame, hops: int) -> DataFrame:
     return walk.withColumn("_path", F.slice("_path", F.lit(2), F.greatest(F.size("_path"), F.lit(1)))).drop("_ptr")
 
 
-def _node_walks(nodes: DataFrame, cap: int | None) -> DataFrame:
+def _node_walks(nodes: DataFrame) -> DataFrame:
     """``_path`` of every node (itself first, then up), the stride doubling each round."""
     walks = materialise(
         nodes.select(
@@ -131,9 +136,6 @@ def _node_walks(nodes: DataFrame, cap: int | None) -> DataFrame:
             .withColumn("_ptr", F.when(known & ~again, F.col("_up")))
             .select("id", F.col("_long").alias("_path"), "_ptr")
         )
-        if cap is not None:
-            full = F.size("_path") >= cap
-            moved = moved.select("id", F.slice("_path", 1, cap).alias("_path"), F.when(~full, F.col("_ptr")).alias("_ptr"))
         walks = materialise(walks.where(F.col("_ptr").isNull()).unionByName(moved), "thread-walks")
     return walks.select("id", "_path")
 
@@ -143,9 +145,9 @@ def ancestor_paths(leaves: DataFrame, nodes: DataFrame, max_hops: int | None = N
 
     A walk ends at a missing parent or before a node it has already met.
     """
-    if max_hops is not None and max_hops <= MAX_HOP_JOINS:
+    if max_hops is not None:
         return _walk_hops(leaves, nodes, max_hops)
-    walks = _node_walks(nodes, max_hops)
+    walks = _node_walks(nodes)
     up = walks.select(F.col("id").alias("_ptr"), F.col("_path"))
     before_self = F.array_position("_path", F.col("id")).cast("int")
     path = F.coalesce("_path", F.array().cast(walks.schema["_path"].dataType))

@@ -36,21 +36,17 @@ def import_posts(
 ) -> tuple[DataFrame, DataFrame]:
     """(train, eval) examples of a post archive, with ``sort_ts`` and ``ord`` for time order.
 
-    The unified posts are written once: they are read as posts, as parents,
-    and for the hold-out boundary.
+    The unified posts are written once, as posts and as parents; so are the
+    examples, which the hold-out boundary parts.
     """
     posts = materialise(post_ops.unify_posts(raw_posts), "posts")
     kept = post_ops.dedup_posts(post_ops.filter_posts(posts, include_replies, no_quotes))
-    if dialog or eval_pct > 0:
+    if dialog:
         kept = materialise(kept, "kept-posts")
-    order = post_ops.time_order()
-    train, held_out = tail_split(kept, order, eval_pct)
-
-    def examples(part: DataFrame) -> DataFrame:
-        rows = post_ops.post_examples(part, posts, dialog, role=role)
-        return rows.select(F.col("id_str").alias("tweet_id"), "messages", *order)
-
-    return examples(train), examples(held_out)
+    rows = post_ops.post_examples(kept, posts, dialog, role=role)
+    examples = materialise(
+        rows.select(F.col("id_str").alias("tweet_id"), "messages", *post_ops.time_order()), "post-examples")
+    return tail_split(examples, [F.col("sort_ts"), F.col("ord")], eval_pct)
 
 
 def sync_posts(
@@ -152,7 +148,9 @@ def run_post_sync(
 def run_thread_import(
     threads: DataFrame, mapping: Mapping[str, str], out: str, nick: str, **options
 ) -> dict[str, int]:
-    examples = import_threads(thread_ops.map_threads(threads, mapping), nick, **options)
+    # Rows with the same id are told apart by their place in the input.
+    placed = materialise(threads.withColumn("_place", F.monotonically_increasing_id()), "thread-rows")
+    examples = import_threads(thread_ops.map_threads(placed, mapping, ord="_place"), nick, **options)
     examples, seen = counted(_in_order(examples, "ord"), "written")
     jsonl.write_examples(examples, out)
     return {"written": seen.get["rows"]}
@@ -194,7 +192,7 @@ def run_split(
     spark: SparkSession, path: str, train_out: str, eval_out: str, eval_pct: float = 0.05, seed: int = 42
 ) -> dict[str, int]:
     """Split a dataset; its lines pass through as they are."""
-    lines = jsonl.read_lines(spark, path).where(F.try_parse_json("value").isNotNull())
+    lines = jsonl.valid_lines(jsonl.read_lines(spark, path))
     train, held_out = split(lines, "value", eval_pct, seed, tie="ord")
     sizes = {}
     for name, part, out in (("train", train, train_out), ("eval", held_out, eval_out)):

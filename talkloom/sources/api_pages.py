@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from talkloom.operators.sync import references, since
-from talkloom.sources.jsonl import file_path
+from talkloom.sources.jsonl import NO_LIMITS, file_path
 
 # Shape of a response page.
 PAGE = (
@@ -15,9 +15,12 @@ PAGE = (
 
 
 def landed_pages(spark: SparkSession, path: str, streaming: bool = False, multiline: bool = False) -> DataFrame:
-    """Raw pages; as a stream, each new file is delivered once."""
+    """Raw pages; as a stream, each new file is delivered once.
+
+    A malformed page stops the run: were it passed over, the mark would move beyond its posts.
+    """
     reader = spark.readStream if streaming else spark.read
-    pages = reader.schema(PAGE).option("multiLine", multiline).json(path)
+    pages = reader.schema(PAGE).options(mode="FAILFAST", **NO_LIMITS).option("multiLine", multiline).json(path)
     return pages.select("data", "meta", file_path().alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from talkloom.operators.posts import RAW_POST
-from talkloom.sources.jsonl import file_path
+from talkloom.sources.jsonl import NO_LIMITS, file_path
 
 # Where an archive keeps its posts.
 ARCHIVE_FILES = "data/{tweets.js,tweets/*.js}"
@@ -34,7 +34,7 @@ def parse_archive(files: DataFrame) -> DataFrame:
     array = F.regexp_extract("value", r"(?s)\[.*\]", 0)
     payload = F.when(array != "", array).otherwise(F.col("value"))
     schema = f"array<struct<tweet: struct<{_fields()}>, {_fields()}>>"
-    posts = F.from_json(payload, schema, {"mode": "FAILFAST", "allowSingleQuotes": "false"})
+    posts = F.from_json(payload, schema, {"mode": "FAILFAST", "allowSingleQuotes": "false", **NO_LIMITS})
     names = [field.split()[0] for field in RAW_POST.split(", ")]
     return files.select(
         F.split("path", "/").alias("file"), F.posexplode(posts).alias("pos", "item")

@@ -133,3 +133,53 @@ def test_next_start(apply):
         "junk": "junk",
     }
     assert apply(times.next_start, list(cases)) == list(cases.values())
+
+
+def test_tags_with_quotes_and_unclosed_elements(apply):
+    from html.parser import HTMLParser
+
+    from talkloom.functions.text import html_to_text
+
+    class Text(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.parts, self.dropped = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.dropped += tag in ("script", "style", "noscript")
+
+        def handle_endtag(self, tag):
+            self.dropped -= tag in ("script", "style", "noscript")
+
+        def handle_data(self, data):
+            if not self.dropped:
+                self.parts.append(data)
+
+    pages = [
+        '<p title="a > b">text</p>', "<p title='a > \"b\"'>text</p>one<br/>two", "a<script>if (1 < 2) x</script >b",
+        "a<script>never closed <p>b</p>", "x<style a='>'>p{}</style>y", "it's 5 o'clock <b>don't</b>", "<p><b>a</b></p>",
+        "a<noscript>no <i>script</i></noscript>b",
+    ]
+    expected = []
+    for page in pages:
+        parser = Text()
+        parser.feed(page)
+        expected.append("".join("".join(parser.parts).split()))
+    assert ["".join(t.split()) for t in apply(html_to_text, pages)] == expected
+
+
+def test_iso_and_weekday_forms(apply):
+    from datetime import datetime, timezone
+
+    from pyspark.sql import functions as F
+
+    from talkloom.functions.times import parse_ts
+
+    at = lambda *parts: int(datetime(*parts, tzinfo=timezone.utc).timestamp())
+    forms = {
+        "20240101": at(2024, 1, 1), "20240101T101010": at(2024, 1, 1, 10, 10, 10), "2024-01-01T10": at(2024, 1, 1, 10),
+        "2024-01-01T10:11:12,5": at(2024, 1, 1, 10, 11, 12), "Wed Oct 10 20:19:24 +00:00 2018": at(2018, 10, 10, 20, 19, 24),
+        "Wed Oct 10 20:19:24 +0200 2018": at(2018, 10, 10, 18, 19, 24), "Xyz Oct 10 20:19:24 +0000 2018": None,
+        "20240101T1010": at(2024, 1, 1, 10, 10), "2024-01-01T10+01:00": at(2024, 1, 1, 9), "2018": None, "10:00": None,
+    }
+    assert dict(zip(forms, apply(lambda c: F.unix_seconds(parse_ts(c)), list(forms)))) == forms
