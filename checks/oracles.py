@@ -376,9 +376,9 @@ SQL: dict[str, str] = {
     WHEN doc_id % 5 = 3 THEN strftime(made + INTERVAL 2 HOURS, '%Y-%m-%d %H:%M:%S+0200') ELSE strftime(made, '%Y-%m-%d') END AS created_at,
   cast(epoch(ts) AS bigint) AS ts, lang, source || ' & Co' AS source_app, reply_to AS in_reply_to_id, is_quote, is_retweet FROM posts""",
     "filter_posts": ctes(RAW, POSTS)
-    + "SELECT id_str, length(text) AS chars FROM posts WHERE NOT is_retweet AND NOT is_quote AND reply_to = ''",
+    + "SELECT id_str, text FROM posts WHERE NOT is_retweet AND NOT is_quote AND reply_to = ''",
     "dedup_posts_keep_first": f"""WITH c AS (SELECT doc_id, {clean_tail('text')} AS text FROM documents)
-SELECT cast(doc_id AS varchar) AS id_str, length(text) AS chars FROM c
+SELECT cast(doc_id AS varchar) AS id_str, text FROM c
 QUALIFY row_number() OVER (PARTITION BY sha256(lower({clean_tail('text')})) ORDER BY doc_id) = 1""",
     "order_posts": ctes(RAW, POSTS) + f"SELECT id_str, row_number() OVER (ORDER BY {SORT_TS}, doc_id) - 1 AS position FROM posts",
     "reply_parent_dialog": ctes(RAW, POSTS)
@@ -399,8 +399,8 @@ FROM kept k LEFT JOIN posts p ON p.id_str = k.reply_to""",
     "post_import_plain": ctes(RAW, POSTS, KEPT.replace("WHERE NOT is_retweet", "WHERE NOT is_retweet AND NOT is_quote AND reply_to = ''"))
     + f"""SELECT id_str AS tweet_id, cast(epoch({SORT_TS}) AS bigint) AS sort_ts,
   'user: {STYLE_PROMPT}' || chr(10) || 'assistant: ' || text AS chat FROM kept""",
-    "archive_posts": ctes(RAW) + """SELECT id_str AS id, 0 AS pos, length(full_text) AS chars, is_quote AS "quote", '' AS source FROM raw
-UNION ALL SELECT 'b' || id_str, 1, length(full_text), false,
+    "archive_posts": ctes(RAW) + """SELECT id_str AS id, 0 AS pos, full_text AS text, is_quote AS "quote", '' AS source FROM raw
+UNION ALL SELECT 'b' || id_str, 1, full_text, false,
   '<a href="https://apps.example/' || source || '" rel="nofollow">' || source || ' &amp; Co</a>' FROM raw""",
     "thread_order": ctes(THREADS)
     + "SELECT id, created_at, row_number() OVER (ORDER BY created_at, id) - 1 AS position FROM threads",
@@ -409,6 +409,9 @@ UNION ALL SELECT 'b' || id_str, 1, length(full_text), false,
     "thread_examples": thread_query(3, False),
     "thread_examples_no_self": thread_query(2, True),
     "thread_examples_full": thread_query(0, False),
+    "thread_duplicate_ids": ctes(THREADS, CHAINS, thread_examples(4, False))
+    + """SELECT cast(a.id AS varchar) AS post_id, d.chat, 2 AS copies, 2 * count(*) OVER () AS written
+FROM dialogs d JOIN answers a USING (id)""",
     "doc_paragraphs": ctes(FILES, chunks("files", "c", BLANK_LINE)) + "SELECT * FROM c",
     "doc_chunks": ctes(FILES, chunks("files", "c", r"\n")) + "SELECT * FROM c",
     "doc_topics": ctes(FILES, chunks("files", "c", r"\n"), topics("c", "t")) + "SELECT path, pos, 'xx' AS lang, prompt FROM t",
@@ -471,6 +474,10 @@ UNION ALL SELECT 'train.jsonl', cast(n - e AS bigint), cast(n - e AS bigint) FRO
 UNION ALL SELECT 'user: {STYLE_PROMPT}' || chr(10) || 'model: ' || text, 0, count(*) FROM documents GROUP BY text""",
     "state_snapshots": ctes(FILES, *MANIFEST)
     + "SELECT path, size, 2 AS version FROM manifest WHERE path IN (SELECT path FROM files)",
+    "unify_typed_keys": ctes(DOC_ANSWERS) + """SELECT cast(doc_id AS varchar) AS number,
+  '["' || lang || '","' || source || '"]' AS tags, '{"of":"' || lang || '"}' AS object,
+  false AS quoted, true AS nothing, false AS absent
+FROM (SELECT * FROM doc_answers WHERE doc_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY doc_id) = 1)""",
     "unify_files": ctes(DOC_ANSWERS) + """SELECT dedup_key, 'b' AS created_at FROM doc_first
 UNION ALL SELECT 'rows', cast(count(*) AS varchar) FROM doc_first UNION ALL SELECT 'b.jsonl', cast(count(*) AS varchar) FROM doc_first""",
 }

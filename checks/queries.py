@@ -101,14 +101,14 @@ def unify_posts(spark, sf_dir):
 
 def filter_posts(spark, sf_dir):
     kept = P.filter_posts(_posts(spark, sf_dir), include_replies=False, no_quotes=True)
-    return kept.select("id_str", F.length("text").alias("chars"))
+    return kept.select("id_str", "text")
 
 
 def dedup_posts_keep_first(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("id_str"), X.clean_text(F.col("text")).alias("text"), F.col("doc_id").alias("ord")
     )
-    return P.dedup_posts(docs).select("id_str", F.length("text").alias("chars"))
+    return P.dedup_posts(docs).select("id_str", "text")
 
 
 def order_posts(spark, sf_dir):
@@ -161,7 +161,7 @@ def archive_posts(spark, sf_dir):
     posts = archive.parse_archive(scripts)
     return posts.select(
         F.coalesce("id_str", "id").alias("id"), F.col("ord.pos").alias("pos"),
-        F.length(F.coalesce("full_text", "text")).alias("chars"),
+        F.coalesce("full_text", "text").alias("text"),
         F.coalesce("is_quote_status", F.lit(False)).alias("quote"), F.coalesce("source", F.lit("")).alias("source"),
     )
 
@@ -544,6 +544,36 @@ def unify_files(spark, sf_dir):
     return keys.union(totals).union(sources)
 
 
+def unify_typed_keys(spark, sf_dir):
+    """Kept keys come out of unify as the JSON values they were; absent ones stay absent."""
+    folder = new_folder(spark, "dataset")
+    rows = V.answers_of_documents(spark, sf_dir).where(F.col("ord") % 2 == 0)
+    line = F.to_json(F.struct(
+        "messages", F.col("ord").alias("number"), F.array("lang", "source_file").alias("tags"),
+        F.struct(F.col("lang").alias("of")).alias("object"), F.lit(None).cast("string").alias("nothing"),
+    ), {"ignoreNullFields": "false"})
+    rows.select(line.alias("value")).write.text(f"{folder}/docs.jsonl")
+    keep = ["messages", "number", "tags", "object", "nothing", "absent"]
+    jobs.run_unify(spark, [f"{folder}/docs.jsonl"], f"{folder}/unified.jsonl", keep=keep)
+    back = spark.read.text(f"{folder}/unified.jsonl")
+    return back.select(
+        *[F.get_json_object("value", f"$.{key}").alias(key) for key in ("number", "tags", "object")],
+        F.contains("value", F.lit('"number":"')).alias("quoted"),
+        F.contains("value", F.lit('"nothing":null')).alias("nothing"), F.contains("value", F.lit('"absent"')).alias("absent"),
+    )
+
+
+def thread_duplicate_ids(spark, sf_dir):
+    """Every row of a forum table twice with the same id and time: one example per row, read back."""
+    rows = V.thread_table(spark, sf_dir)
+    twice = rows.unionByName(rows)
+    out = new_folder(spark, "threads.jsonl")
+    sizes = jobs.run_thread_import(twice, V.THREAD_COLUMNS, out, "assistant", max_context=4)
+    back = jsonl.read_examples(spark, out, ("post_id",))
+    return back.groupBy("post_id", chat().alias("chat")).agg(F.count(F.lit(1)).alias("copies")).withColumn(
+        "written", F.lit(sizes["written"]).cast("bigint"))
+
+
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -556,6 +586,7 @@ ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         api_page_posts, sync_stream, sync_job, existing_ids, unseen_events, unify_merge_roles, unify_alternation,
         unify_filter_rt, quality_report, turn_histogram, dialog_keys, unify_dedup, source_composition,
         unify_keep_keys, unify_datasets, unify_generic, unify_report, shuffle_order, split_train_eval,
-        render_examples, jsonl_roundtrip, dataset_folder, split_lines, state_snapshots, unify_files,
+        render_examples, jsonl_roundtrip, dataset_folder, split_lines, state_snapshots, unify_files, unify_typed_keys,
+        thread_duplicate_ids,
     )
 }

@@ -178,7 +178,8 @@ def run_unify(
 
     Without ``inputs``, all datasets of ``folder`` but the output and splits.
     """
-    keys = [k for k in keep if k != "messages"]
+    # As variants, kept keys come out as the JSON values they were.
+    keys = {k: "variant" for k in keep if k != "messages"}
     if inputs:
         rows = jsonl.read_examples(spark, inputs, keys)
     else:
