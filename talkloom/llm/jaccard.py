@@ -7,9 +7,11 @@ sets are one class, and classes are joined, not documents.
 a fifth of one's pairs of neighbouring hashes is torn apart by the other: each hash that
 only one of them has tears two pairs of its own set or one of the other, and there are
 too few such hashes. So linked sets share one of their first ``n // 5 + 1`` neighbour
-pairs. These are the keys; two sets that share single common shingles rarely share a key.
-Sets with the same first pair and about the same size form a leaf, and leaves of which
-members share a key are compared.
+pairs, whatever the order of the pairs, as long as it is one for all sets. Pairs that
+many documents hold (passages, licences) come last in it, so that only documents that
+consist of little else have them among their first, the keys. Sets with the same first
+hashes and about the same size form a leaf, and leaves of which members share a key are
+compared.
 
 *What is compared.* A leaf is cut into chunks of bounded size. Each chunk is a signature
 tree: its nodes hold the size range of their sets and the OR of their token bitmaps. Two
@@ -29,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from talkloom.llm.bitmaps import may_be_in
 from talkloom.llm.components import components
 from talkloom.llm.shingles import mix, shingle_set
 from talkloom.operators.lookup import lookup
@@ -42,6 +45,12 @@ LOWEST = 8
 #: Sets of up to eight shingles link with equal sets only.
 LEAST = 9
 
+#: A pair of neighbours is common when tasks that met it COMMON_IN times in COMMON_OF pairs or
+#: fewer met it COMMON times together. At most COMMON_KEYS of them, the commonest, come last.
+COMMON, COMMON_IN, COMMON_OF, COMMON_KEYS = 48, 6, 2_000_000, 1 << 18
+#: Words of the filter that keeps keys of one document out of the second shuffle.
+KEY_WORDS = 1 << 17
+
 _BAND = math.log(10 / 9)
 
 
@@ -50,33 +59,83 @@ def linked(overlap, a, b):
     return 100 * overlap >= 90 * (a + b - overlap)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, version, text to doc_id, version, n, class, leaf and keys; without shingles, class and leaf are null."""
+def neighbour_pairs(tokens: np.ndarray) -> np.ndarray:
+    """A hash of each two hashes of the set that follow each other."""
+    return mix(tokens[:-1] * np.uint64(0x9E3779B97F4A7C15) + tokens[1:])
+
+
+def keys_of(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first ``n // 5 + 1`` neighbour pairs, those in ``common`` (sorted) behind all others."""
+    if len(tokens) < LEAST:
+        return np.zeros(0, np.uint64)
+    pairs = neighbour_pairs(tokens)
+    if len(common):
+        at = np.searchsorted(common, pairs)
+        at[at == len(common)] = 0
+        last = common[at] == pairs
+        pairs = np.concatenate([pairs[~last], pairs[last]])
+    return pairs[:len(tokens) // 5 + 1]
+
+
+def _often_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text to pair, n: the neighbour pairs that a task has met COMMON_IN times or more among COMMON_OF."""
+    held, size = [], 0
+
+    def flush() -> pa.RecordBatch:
+        pairs, counts = np.unique(np.concatenate(held), return_counts=True)
+        often = counts >= COMMON_IN
+        return pa.RecordBatch.from_arrays(
+            [pa.array(pairs[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["pair", "n"])
+
     for batch in batches:
-        rows: dict[str, list] = {"n": [], "class": [], "leaf": [], "keys": []}
         for text in batch.column("text"):
             tokens = shingle_set(text.as_py())
-            n = len(tokens)
-            keys = np.zeros(0, np.uint64)
-            if n >= LEAST:
-                first = tokens[:n // 5 + 2]
-                keys = mix(first[:-1] * np.uint64(0x9E3779B97F4A7C15) + first[1:])
-            band = round(math.log(n) / _BAND) if n else 0
-            rows["n"].append(n)
-            rows["class"].append(xxhash.xxh3_128_digest(tokens.tobytes()) if n else None)
-            rows["leaf"].append(xxhash.xxh3_64_intdigest(tokens[:2].tobytes(), seed=band) - (1 << 63) if n else None)
-            rows["keys"].append(keys.view(np.int64))
-        offsets = np.concatenate([[0], np.cumsum([len(k) for k in rows["keys"]])]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), batch.column("version"), pa.array(rows["n"], pa.int64()), pa.array(rows["class"], pa.binary()),
-            pa.array(rows["leaf"], pa.int64()),
-            pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows["keys"]), pa.int64())),
-        ], names=["doc_id", "version", "n", "class", "leaf", "keys"])
+            if len(tokens) >= LEAST:
+                held.append(neighbour_pairs(tokens))
+                size += len(tokens)
+            if size >= COMMON_OF:
+                yield flush()
+                held, size = [], 0
+    if held:
+        yield flush()
+
+
+def common_pairs(named: DataFrame) -> np.ndarray:
+    """Neighbour pairs that many documents have, sorted. Which ones these are decides the work, never the result."""
+    met = named.select("text").mapInArrow(_often_met, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    most = met.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "pair").limit(COMMON_KEYS).select("pair").toPandas()
+    return np.sort(most["pair"].to_numpy(np.int64).view(np.uint64))
+
+
+def _describe(common):
+    """doc_id, version, text to doc_id, version, n, class, leaf and keys; without shingles, class and leaf are null."""
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: dict[str, list] = {"n": [], "class": [], "leaf": [], "keys": []}
+            for text in batch.column("text"):
+                tokens = shingle_set(text.as_py())
+                n = len(tokens)
+                band = round(math.log(n) / _BAND) if n else 0
+                rows["n"].append(n)
+                rows["class"].append(xxhash.xxh3_128_digest(tokens.tobytes()) if n else None)
+                rows["leaf"].append(xxhash.xxh3_64_intdigest(tokens[:2].tobytes(), seed=band) - (1 << 63) if n else None)
+                rows["keys"].append(keys_of(tokens, common.value).view(np.int64))
+            offsets = np.concatenate([[0], np.cumsum([len(k) for k in rows["keys"]])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), batch.column("version"), pa.array(rows["n"], pa.int64()),
+                pa.array(rows["class"], pa.binary()), pa.array(rows["leaf"], pa.int64()),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows["keys"]), pa.int64())),
+            ], names=["doc_id", "version", "n", "class", "leaf", "keys"])
+
+    return describe
 
 
 def _leaf_pairs(described: DataFrame) -> DataFrame:
     """a, b: leaves with members of fitting size that share a key; a = b if a leaf's own members do."""
     keyed = described.select(F.explode("keys").alias("key"), "leaf", "n")
+    twice = materialise(keyed.groupBy("key").agg(F.count("*").alias("met")).where("met > 1").select("key"), "jaccard_keys")
+    keyed = keyed.where(may_be_in(F.col("key"), twice, "key", KEY_WORDS))
     # A key's many near copies become one row per leaf before they meet at the key.
     of_leaf = keyed.groupBy("key", "leaf").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("members"))
@@ -105,14 +164,29 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ("tokens", pa.binary())]))
 
 
-def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """The sets of a chunk as one row, by size."""
-    rows = rows.drop_duplicates("class")
-    rows = rows.assign(n=rows["tokens"].map(len)).sort_values(["n", "class"])
-    return pd.DataFrame({
-        "leaf": [key[0]], "chunk": [key[1]], "classes": [b"".join(rows["class"])],
-        "copies": [rows["copies"].to_numpy(np.int64).tobytes()],
-        "sizes": [(rows["n"] // 8).to_numpy(np.int64).tobytes()], "tokens": [b"".join(rows["tokens"])]})
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets that come by leaf and chunk to one row for each chunk, its sets by size."""
+
+    def packed(place: tuple, sets: dict[bytes, tuple]) -> dict:
+        rows = sorted((len(tokens) // 8, name, copies, tokens) for name, (copies, tokens) in sets.items())
+        sizes, names, copies, tokens = zip(*rows)
+        return {"leaf": place[0], "chunk": place[1], "classes": b"".join(names), "copies": np.array(copies, np.int64).tobytes(),
+                "sizes": np.array(sizes, np.int64).tobytes(), "tokens": b"".join(tokens)}
+
+    schema = pa.schema([("leaf", pa.int64()), ("chunk", pa.int64()), *[(p, pa.binary()) for p in _PARTS]])
+    place, sets = None, {}
+    for batch in batches:
+        done = []
+        for row in batch.to_pylist():
+            if (row["leaf"], row["chunk"]) != place:
+                if sets:
+                    done.append(packed(place, sets))
+                place, sets = (row["leaf"], row["chunk"]), {}
+            sets[row["class"]] = (row["copies"], row["tokens"])
+        if done:
+            yield pa.RecordBatch.from_pylist(done, schema)
+    if sets:
+        yield pa.RecordBatch.from_pylist([packed(place, sets)], schema)
 
 
 class _Node:
@@ -265,8 +339,9 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """
     named = documents.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("version"))
+    common = documents.sparkSession.sparkContext.broadcast(common_pairs(named))
     described = materialise(
-        named.mapInArrow(_describe, "doc_id long, version long, n long, class binary, leaf long, keys array<long>"), "jaccard_sets")
+        named.mapInArrow(_describe(common), "doc_id long, version long, n long, class binary, leaf long, keys array<long>"), "jaccard_sets")
     taking_part = described.where("class IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialise(taking_part.groupBy("class").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("leaf").alias("leaf"), F.min("n").alias("n")),
@@ -286,9 +361,11 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         F.struct(F.col("b").alias("leaf"), F.col("chunks_b").alias("chunks")))).alias("w")).select("w.*").distinct()
     members = lookup(classes, wanted, "leaf", "inner").select(
         "doc_id", "class", "copies", "leaf", F.pmod(F.xxhash64("class"), F.col("chunks")).alias("chunk"))
-    texts = named.join(materialise(members, "jaccard_members"), "doc_id").select("leaf", "chunk", "class", "copies", "text")
+    members = materialise(members, "jaccard_members")
+    texts = named.where(may_be_in(F.col("doc_id"), members, "doc_id")).join(members, "doc_id").select("leaf", "chunk", "class", "copies", "text")
     sets = texts.mapInArrow(_sets, "leaf long, chunk long, class binary, copies long, tokens binary")
-    packs = materialise(sets.groupBy("leaf", "chunk").applyInPandas(_pack, _PACK), "jaccard_chunks")
+    in_order = sets.repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk")
+    packs = materialise(in_order.mapInArrow(_pack, _PACK), "jaccard_chunks")
 
     number = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     chunked = pairs.withColumn("chunk_a", number("chunks_a")).withColumn("chunk_b", number("chunks_b")).where(

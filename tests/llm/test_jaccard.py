@@ -57,6 +57,8 @@ def corpus(seed, groups=12, words=60):
 def test_against_all_pairs(spark, seed, monkeypatch):
     monkeypatch.setattr(J, "CHUNK_SETS", [64, 3, 5, 2, 8][seed])
     monkeypatch.setattr(J, "LOWEST", [8, 1, 2, 1, 3][seed])
+    monkeypatch.setattr(J, "COMMON", [48, 2, 3, 5, 8][seed])
+    monkeypatch.setattr(J, "COMMON_IN", [6, 1, 1, 2, 2][seed])
     rows = corpus(seed)
     documents = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, leaf string")
     assert found(J.join(documents)) == plain(rows)
@@ -85,7 +87,8 @@ def test_keys_of_linked_sets_meet():
         torn = rng.permutation(len(union))[:len(union) // 10]
         side = rng.integers(0, 2, len(torn)).astype(bool)
         a, b = np.delete(union, torn[side]), np.delete(union, torn[~side])
-        pairs = [{(x, y) for x, y in zip(s[:n // 5 + 1], s[1:n // 5 + 2])} for s, n in ((a, len(a)), (b, len(b)))]
+        common = np.sort(rng.permutation(J.neighbour_pairs(union))[:rng.integers(0, len(union))])
+        pairs = [set(J.keys_of(s, common).tolist()) for s in (a, b)]
         if J.linked(len(union) - len(torn), len(a), len(b)) and len(torn):
             assert pairs[0] & pairs[1]
 
