@@ -182,5 +182,7 @@ HTML_MARKUP = (
 
 
 def html_to_text(c: Column) -> Column:
-    """Visible text of an HTML page, one newline between neighbouring text nodes."""
-    return unescape(F.regexp_replace(c, HTML_MARKUP, "\n"))
+    """Visible text of an HTML page, one newline between neighbouring text nodes; empty without any."""
+    text = F.regexp_replace(c, HTML_MARKUP, "\n")
+    only_markup = (text == "\n") & F.startswith(c, F.lit("<")) & F.endswith(c, F.lit(">"))
+    return unescape(F.when(only_markup, F.lit("")).otherwise(text))

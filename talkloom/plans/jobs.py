@@ -117,6 +117,8 @@ def _eval_path(path: str) -> str:
 def run_post_import(spark: SparkSession, archive: str, out: str, **options) -> dict[str, int]:
     train, held_out = import_posts(read_post_archive(spark, archive), **options)
     written = {}
+    if train.isEmpty() and held_out.isEmpty():
+        return written  # nothing to write leaves the old dataset as it is
     train, seen = counted(_in_order(train, "sort_ts", "ord"), "train")
     jsonl.write_examples(train, out)
     written["train"] = seen.get["rows"]
@@ -194,6 +196,8 @@ def run_split(
 ) -> dict[str, int]:
     """Split a dataset; its lines pass through as they are."""
     lines = jsonl.valid_lines(jsonl.read_lines(spark, path))
+    if lines.isEmpty():
+        return {"train": 0, "eval": 0}  # the old parts stay
     train, held_out = split(lines, "value", eval_pct, seed, tie="ord")
     sizes = {}
     for name, part, out in (("train", train, train_out), ("eval", held_out, eval_out)):

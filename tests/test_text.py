@@ -158,14 +158,16 @@ def test_tags_with_quotes_and_unclosed_elements(apply):
     pages = [
         '<p title="a > b">text</p>', "<p title='a > \"b\"'>text</p>one<br/>two", "a<script>if (1 < 2) x</script >b",
         "a<script>never closed <p>b</p>", "x<style a='>'>p{}</style>y", "it's 5 o'clock <b>don't</b>", "<p><b>a</b></p>",
-        "a<noscript>no <i>script</i></noscript>b",
+        "a<noscript>no <i>script</i></noscript>b", "<p><b></b></p>",
     ]
     expected = []
     for page in pages:
         parser = Text()
         parser.feed(page)
         expected.append("".join("".join(parser.parts).split()))
-    assert ["".join(t.split()) for t in apply(html_to_text, pages)] == expected
+    found = apply(html_to_text, pages)
+    assert ["".join(t.split()) for t in found] == expected
+    assert found[-1] == ""
 
 
 def test_iso_and_weekday_forms(apply):
