@@ -1,13 +1,15 @@
 """N-gram Jaccard join by signature trees.
 
-Documents link when the Jaccard similarity of their shingle sets is at least 0.9. Equal
-sets are one class, and classes are joined, not documents.
-
-*Which trees meet.* A set is kept in the order of its hashes. If two sets link, at most
-a fifth of one's pairs of neighbouring hashes is torn apart by the other: each hash that
-only one of them has tears two pairs of its own set or one of the other, and there are
-too few such hashes. So linked sets share one of their first ``n // 5 + 1`` neighbour
-pairs, whatever the order of the pairs, as long as it is one for all sets. Pairs that
+Documents link when the Jaccard similarity of their shingle sets is at least a threshold
+(0.9 unless another is given). Equal sets are one class, and classes are joined, not
+documents.
+
+*Which trees meet.* A set is kept in the order of its hashes. If two sets link at the
+threshold t, at most ``2 * (1 - t) * n`` of one's pairs of neighbouring hashes are torn
+apart by the other: each hash that only one of them has tears two pairs of its own set or
+one of the other, and there are too few such hashes. So linked sets share one of their
+first ``floor(2 * (1 - t) * n) + 1`` neighbour pairs (a fifth and one more at 0.9),
+whatever the order of the pairs, as long as it is one for all sets. Pairs that
 many documents hold (passages, licences) come last in it, so that only documents that
 consist of little else have them among their first, the keys. Sets with the same first
 hashes and about the same size form a leaf, and leaves of which members share a key are
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from talkloom.llm.bitmaps import may_be_in
 from talkloom.llm.components import components
-from talkloom.llm.shingles import mix, shingle_set
+from talkloom.llm.shingles import WIDTH, mix, shingle_set
 from talkloom.operators.lookup import lookup
 from talkloom.session import materialise
 
@@ -42,8 +44,8 @@ CHUNK_SETS = 64
 CHUNK_TOKENS = 200_000
 #: Sets of a tree's lowest nodes.
 LOWEST = 8
-#: Sets of up to eight shingles link with equal sets only.
-LEAST = 9
+#: Similarity from which on sets link, in hundredths; what is compared is exact, in whole numbers.
+PER_CENT = 90
 
 #: A pair of neighbours is common when tasks that met it COMMON_IN times in COMMON_OF pairs or
 #: fewer met it COMMON times together. At most COMMON_KEYS of them, the commonest, come last.
@@ -51,12 +53,15 @@ COMMON, COMMON_IN, COMMON_OF, COMMON_KEYS = 48, 6, 2_000_000, 1 << 18
 #: Words of the filter that keeps keys of one document out of the second shuffle.
 KEY_WORDS = 1 << 17
 
-_BAND = math.log(10 / 9)
 
+def least(per_cent: int = PER_CENT) -> int:
+    """Shingles of the smallest set that can link with another than an equal one."""
+    return -(-per_cent // (100 - per_cent))
 
-def linked(overlap, a, b):
-    """100 * intersection >= 90 * union, for sets of a and b shingles."""
-    return 100 * overlap >= 90 * (a + b - overlap)
+
+def linked(overlap, a, b, per_cent: int = PER_CENT):
+    """100 * intersection >= per_cent * union, for sets of a and b shingles."""
+    return 100 * overlap >= per_cent * (a + b - overlap)
 
 
 def neighbour_pairs(tokens: np.ndarray) -> np.ndarray:
@@ -64,9 +69,9 @@ def neighbour_pairs(tokens: np.ndarray) -> np.ndarray:
     return mix(tokens[:-1] * np.uint64(0x9E3779B97F4A7C15) + tokens[1:])
 
 
-def keys_of(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first ``n // 5 + 1`` neighbour pairs, those in ``common`` (sorted) behind all others."""
-    if len(tokens) < LEAST:
+def keys_of(tokens: np.ndarray, common: np.ndarray, per_cent: int = PER_CENT) -> np.ndarray:
+    """As many first neighbour pairs as linked sets need to share one, those in ``common`` (sorted) behind all others."""
+    if len(tokens) < least(per_cent):
         return np.zeros(0, np.uint64)
     pairs = neighbour_pairs(tokens)
     if len(common):
@@ -74,53 +79,58 @@ def keys_of(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
         at[at == len(common)] = 0
         last = common[at] == pairs
         pairs = np.concatenate([pairs[~last], pairs[last]])
-    return pairs[:len(tokens) // 5 + 1]
+    return pairs[:2 * (100 - per_cent) * len(tokens) // 100 + 1]
 
 
-def _often_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _often_met(width: int, per_cent: int):
     """text to pair, n: the neighbour pairs that a task has met COMMON_IN times or more among COMMON_OF."""
-    held, size = [], 0
 
-    def flush() -> pa.RecordBatch:
-        pairs, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts >= COMMON_IN
-        return pa.RecordBatch.from_arrays(
-            [pa.array(pairs[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["pair", "n"])
+    def often_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
-    for batch in batches:
-        for text in batch.column("text"):
-            tokens = shingle_set(text.as_py())
-            if len(tokens) >= LEAST:
-                held.append(neighbour_pairs(tokens))
-                size += len(tokens)
-            if size >= COMMON_OF:
-                yield flush()
-                held, size = [], 0
-    if held:
-        yield flush()
-
-
-def common_pairs(named: DataFrame) -> np.ndarray:
+        def flush() -> pa.RecordBatch:
+            pairs, counts = np.unique(np.concatenate(held), return_counts=True)
+            often = counts >= COMMON_IN
+            return pa.RecordBatch.from_arrays(
+                [pa.array(pairs[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["pair", "n"])
+
+        for batch in batches:
+            for text in batch.column("text"):
+                tokens = shingle_set(text.as_py(), width)
+                if len(tokens) >= least(per_cent):
+                    held.append(neighbour_pairs(tokens))
+                    size += len(tokens)
+                if size >= COMMON_OF:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return often_met
+
+
+def common_pairs(named: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT) -> np.ndarray:
     """Neighbour pairs that many documents have, sorted. Which ones these are decides the work, never the result."""
-    met = named.select("text").mapInArrow(_often_met, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    met = named.select("text").mapInArrow(_often_met(width, per_cent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     most = met.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "pair").limit(COMMON_KEYS).select("pair").toPandas()
     return np.sort(most["pair"].to_numpy(np.int64).view(np.uint64))
 
 
-def _describe(common):
+def _describe(common, width: int, per_cent: int):
     """doc_id, version, text to doc_id, version, n, class, leaf and keys; without shingles, class and leaf are null."""
+    step = math.log(100 / per_cent)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: dict[str, list] = {"n": [], "class": [], "leaf": [], "keys": []}
             for text in batch.column("text"):
-                tokens = shingle_set(text.as_py())
+                tokens = shingle_set(text.as_py(), width)
                 n = len(tokens)
-                band = round(math.log(n) / _BAND) if n else 0
+                band = round(math.log(n) / step) if n else 0
                 rows["n"].append(n)
                 rows["class"].append(xxhash.xxh3_128_digest(tokens.tobytes()) if n else None)
                 rows["leaf"].append(xxhash.xxh3_64_intdigest(tokens[:2].tobytes(), seed=band) - (1 << 63) if n else None)
-                rows["keys"].append(keys_of(tokens, common.value).view(np.int64))
+                rows["keys"].append(keys_of(tokens, common.value, per_cent).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in rows["keys"]])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("version"), pa.array(rows["n"], pa.int64()),
@@ -131,7 +141,7 @@ def _describe(common):
     return describe
 
 
-def _leaf_pairs(described: DataFrame) -> DataFrame:
+def _leaf_pairs(described: DataFrame, per_cent: int) -> DataFrame:
     """a, b: leaves with members of fitting size that share a key; a = b if a leaf's own members do."""
     keyed = described.select(F.explode("keys").alias("key"), "leaf", "n")
     twice = materialise(keyed.groupBy("key").agg(F.count("*").alias("met")).where("met > 1").select("key"), "jaccard_keys")
@@ -145,23 +155,27 @@ def _leaf_pairs(described: DataFrame) -> DataFrame:
     own = shared.where("members > 1").select(F.col("leaf").alias("a"), F.col("leaf").alias("b"))
     left = shared.select("key", F.col("leaf").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"))
     right = shared.select("key", F.col("leaf").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    fitting = F.expr("a < b AND 10 * high_a >= 9 * low_b AND 10 * high_b >= 9 * low_a")
+    fitting = F.expr(f"a < b AND 100 * high_a >= {per_cent} * low_b AND 100 * high_b >= {per_cent} * low_a")
     met = left.join(right, "key").where(fitting).select("a", "b")
     return own.unionByName(met).distinct()
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(width: int):
     """text, class and the rest to the sets of those rows whose text has the class."""
-    for batch in batches:
-        rows = []
-        texts = batch.column("text")
-        for row, text in zip(batch.drop_columns(["text"]).to_pylist(), texts):
-            tokens = shingle_set(text.as_py()).tobytes()
-            if xxhash.xxh3_128_digest(tokens) == row["class"]:
-                rows.append(row | {"tokens": tokens})
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([
-            ("leaf", pa.int64()), ("chunk", pa.int64()), ("class", pa.binary()), ("copies", pa.int64()),
-            ("tokens", pa.binary())]))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            texts = batch.column("text")
+            for row, text in zip(batch.drop_columns(["text"]).to_pylist(), texts):
+                tokens = shingle_set(text.as_py(), width).tobytes()
+                if xxhash.xxh3_128_digest(tokens) == row["class"]:
+                    rows.append(row | {"tokens": tokens})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([
+                ("leaf", pa.int64()), ("chunk", pa.int64()), ("class", pa.binary()), ("copies", pa.int64()),
+                ("tokens", pa.binary())]))
+
+    return sets
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,31 +237,31 @@ class _Chunk:
         return self.tokens[self.ends[i] - self.sizes[i]:self.ends[i]]
 
 
-def _may_link(x: _Node, y: _Node) -> bool:
+def _may_link(x: _Node, y: _Node, per_cent: int) -> bool:
     """Whether the sizes and bitmaps of two nodes leave room for a link between their sets."""
-    if 10 * x.high < 9 * y.low or 10 * y.high < 9 * x.low:
+    if 100 * x.high < per_cent * y.low or 100 * y.high < per_cent * x.low:
         return False
     most = min(x.high, y.high, int(np.count_nonzero(x.bits & y.bits)) + min(x.excess, y.excess))
-    return bool(linked(most, x.low, y.low))
+    return bool(linked(most, x.low, y.low, per_cent))
 
 
-def _traverse(x: _Node, y: _Node) -> Iterator[tuple[_Node, _Node]]:
+def _traverse(x: _Node, y: _Node, per_cent: int) -> Iterator[tuple[_Node, _Node]]:
     """Pairs of lowest nodes that survive."""
-    if not _may_link(x, y):
+    if not _may_link(x, y, per_cent):
         return
     if not x.below and not y.below:
         yield x, y
     elif x is y:
         first, second = x.below
-        yield from _traverse(first, first)
-        yield from _traverse(first, second)
-        yield from _traverse(second, second)
+        yield from _traverse(first, first, per_cent)
+        yield from _traverse(first, second, per_cent)
+        yield from _traverse(second, second, per_cent)
     elif x.below and (not y.below or x.end - x.start >= y.end - y.start):
         for node in x.below:
-            yield from _traverse(node, y)
+            yield from _traverse(node, y, per_cent)
     else:
         for node in y.below:
-            yield from _traverse(x, node)
+            yield from _traverse(x, node, per_cent)
 
 
 def _overlaps(x: _Chunk, y: _Chunk, block: int = 8_192) -> np.ndarray:
@@ -274,15 +288,15 @@ def _overlaps(x: _Chunk, y: _Chunk, block: int = 8_192) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def chunk_links(x: _Chunk, y: _Chunk) -> np.ndarray:
+def chunk_links(x: _Chunk, y: _Chunk, per_cent: int = PER_CENT) -> np.ndarray:
     """Which sets of x link with which sets of y; the same chunk twice gives each pair once."""
     links = np.zeros((len(x.sizes), len(y.sizes)), dtype=bool)
-    survivors = list(_traverse(x.root, y.root))
+    survivors = list(_traverse(x.root, y.root, per_cent))
     if survivors:
         overlap = _overlaps(x, y)
         for a, b in survivors:
             part = slice(a.start, a.end), slice(b.start, b.end)
-            links[part] = linked(overlap[part], x.sizes[a.start:a.end, None], y.sizes[None, b.start:b.end])
+            links[part] = linked(overlap[part], x.sizes[a.start:a.end, None], y.sizes[None, b.start:b.end], per_cent)
     if x is y:
         links = np.triu(links | links.T, 1)
     return links
@@ -296,52 +310,61 @@ _PACK = "leaf long, chunk long, classes binary, copies binary, sizes binary, tok
 _PARTS = ("classes", "copies", "sizes", "tokens")
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _compare(per_cent: int):
     """Pairs of chunks to class, other (one class it links with, directly or not) and links (documents it links with)."""
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            own = row.a == row.b and row.chunk_a == row.chunk_b
-            width = _width(max(len(row.tokens_a), len(row.tokens_b)) // 8)
-            x = _Chunk(*[getattr(row, f"{p}_a") for p in _PARTS], width)
-            y = x if own else _Chunk(*[getattr(row, f"{p}_b") for p in _PARTS], width)
-            links = chunk_links(x, y)
-            if not links.any():
-                continue
-            names = x.classes if own else x.classes + y.classes
-            count, shift = np.zeros(len(names), np.int64), 0 if own else len(x.classes)
-            count[:len(x.classes)] += links @ y.copies
-            count[shift:shift + len(y.classes)] += x.copies @ links
-            # The smallest member of each connected part.
-            root = list(range(len(names)))
-
-            def top(i: int) -> int:
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
-            for i, j in zip(*[side.tolist() for side in np.nonzero(links)]):
-                i, j = top(i), top(j + shift)
-                root[max(i, j)] = min(i, j)
-            used = np.flatnonzero(count).tolist()
-            yield pd.DataFrame({
-                "class": [names[i] for i in used], "other": [names[top(i)] for i in used], "links": count[used]})
-
-
-def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                own = row.a == row.b and row.chunk_a == row.chunk_b
+                width = _width(max(len(row.tokens_a), len(row.tokens_b)) // 8)
+                x = _Chunk(*[getattr(row, f"{p}_a") for p in _PARTS], width)
+                y = x if own else _Chunk(*[getattr(row, f"{p}_b") for p in _PARTS], width)
+                links = chunk_links(x, y, per_cent)
+                if not links.any():
+                    continue
+                names = x.classes if own else x.classes + y.classes
+                count, shift = np.zeros(len(names), np.int64), 0 if own else len(x.classes)
+                count[:len(x.classes)] += links @ y.copies
+                count[shift:shift + len(y.classes)] += x.copies @ links
+                # The smallest member of each connected part.
+                root = list(range(len(names)))
+
+                def top(i: int) -> int:
+                    while root[i] != i:
+                        root[i] = root[root[i]]
+                        i = root[i]
+                    return i
+
+                for i, j in zip(*[side.tolist() for side in np.nonzero(links)]):
+                    i, j = top(i), top(j + shift)
+                    root[max(i, j)] = min(i, j)
+                used = np.flatnonzero(count).tolist()
+                yield pd.DataFrame({
+                    "class": [names[i] for i in used], "other": [names[top(i)] for i in used], "links": count[used]})
+
+    return compare
+
+
+def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (documents it links with) and version for every row.
 
+    Documents link when their sets of shingles of ``width`` words have a Jaccard similarity
+    of ``per_cent`` hundredths, 70 to 99, or more.
     component_id is the smallest doc_id that links lead to, the row's own included. Texts
     without a word, and null, have no shingles and no links. Rows with the same id and
     text are copies of each other; rows with the same id and other texts are judged each
     by its text. Rows without an id link with nothing, and their component is null.
     version is a hash of the row's text. Shingles are compared by 64-bit hashes.
     """
+    # Below 70, linked sets of few shingles may have no neighbour pair in common.
+    if width < 1 or not 70 <= per_cent <= 99:
+        raise ValueError(f"width {width} must be 1 or more, per_cent {per_cent} from 70 to 99")
     named = documents.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("version"))
-    common = documents.sparkSession.sparkContext.broadcast(common_pairs(named))
+    common = documents.sparkSession.sparkContext.broadcast(common_pairs(named, width, per_cent))
     described = materialise(
-        named.mapInArrow(_describe(common), "doc_id long, version long, n long, class binary, leaf long, keys array<long>"), "jaccard_sets")
+        named.mapInArrow(_describe(common, width, per_cent), "doc_id long, version long, n long, class binary, leaf long, keys array<long>"), "jaccard_sets")
     taking_part = described.where("class IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialise(taking_part.groupBy("class").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("leaf").alias("leaf"), F.min("n").alias("n")),
@@ -349,7 +372,7 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     leaves = classes.groupBy("leaf").agg(F.greatest(
         F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_TOKENS)).cast("long").alias("chunks"),
         F.count("*").alias("classes"))
-    pairs = _leaf_pairs(taking_part)
+    pairs = _leaf_pairs(taking_part, per_cent)
     for side in ("a", "b"):
         pairs = lookup(pairs, leaves.select(
             F.col("leaf").alias(side), F.col("chunks").alias(f"chunks_{side}"), F.col("classes").alias(f"classes_{side}")), side)
@@ -363,7 +386,7 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         "doc_id", "class", "copies", "leaf", F.pmod(F.xxhash64("class"), F.col("chunks")).alias("chunk"))
     members = materialise(members, "jaccard_members")
     texts = named.where(may_be_in(F.col("doc_id"), members, "doc_id")).join(members, "doc_id").select("leaf", "chunk", "class", "copies", "text")
-    sets = texts.mapInArrow(_sets, "leaf long, chunk long, class binary, copies long, tokens binary")
+    sets = texts.mapInArrow(_sets(width), "leaf long, chunk long, class binary, copies long, tokens binary")
     in_order = sets.repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk")
     packs = materialise(in_order.mapInArrow(_pack, _PACK), "jaccard_chunks")
 
@@ -374,7 +397,7 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         chunked = lookup(chunked, packs.select(
             F.col("leaf").alias(side), F.col("chunk").alias(f"chunk_{side}"), *[F.col(p).alias(f"{p}_{side}") for p in _PARTS]),
             [side, f"chunk_{side}"], "inner")
-    links = materialise(chunked.mapInPandas(_compare, "class binary, other binary, links long"), "jaccard_links")
+    links = materialise(chunked.mapInPandas(_compare(per_cent), "class binary, other binary, links long"), "jaccard_links")
 
     group = components(links, "class", "other", "jaccard")
     counted = links.groupBy("class").agg(F.sum("links").alias("links"))

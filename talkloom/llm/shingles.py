@@ -81,12 +81,12 @@ def word_hashes(text: str) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The distinct 3-word shingles as sorted hashes; fewer words make one shingle, none make none."""
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The distinct shingles of ``width`` words as sorted hashes; fewer words make one shingle, none make none."""
     words = word_hashes(text or "")
     if not len(words):
         return words
-    width = min(WIDTH, len(words))
+    width = min(width, len(words))
     total = np.full(len(words) - width + 1, width, dtype=np.uint64)
     for j in range(width):
         total = mix(total * _ODD + words[j:j + len(total)])

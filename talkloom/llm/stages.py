@@ -13,6 +13,9 @@ from talkloom.llm.queries import table, tokenizer_path
 from talkloom.operators.lookup import lookup
 from talkloom.session import materialise
 
+#: Near copies: documents whose shingles of so many words have so many hundredths in common.
+NEAR_WIDTH, NEAR_PER_CENT = 5, 80
+
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic; those without text stay."""
@@ -35,7 +38,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id. Rows without an id stay."""
     key = ["_doc", "_version"]
-    joined = jaccard.join(docs).where("doc_id IS NOT NULL")
+    joined = jaccard.join(docs, width=NEAR_WIDTH, per_cent=NEAR_PER_CENT).where("doc_id IS NOT NULL")
     # Only what is not first in its group, or there more than once, has to be looked up.
     judged = joined.groupBy(F.col("doc_id").alias("_doc"), F.coalesce("version", F.lit(0)).alias("_version")).agg(
         (F.min("component_id") == F.first("doc_id")).alias("_first"), F.count("*").alias("_n")).where("NOT _first OR _n > 1")
