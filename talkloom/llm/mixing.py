@@ -3,13 +3,16 @@
 Documents fall into cells: one for each combination of values of the dimensions
 (source, language, topic). Raking scales the cells' token weights to the target share
 of each value of each dimension in turn, round after round, until all margins agree.
-The weight of a cell over its tokens is its rate. Documents are sampled with
-probability rate over the highest rate, which keeps the raked mix in expectation and
-repeats no document.
+The weight of a cell over its tokens is its rate. Documents are sampled with a probability
+in proportion to the rate, and none is repeated. The scale comes from the corpus that is
+wanted: a share of all tokens. Cells that would need a probability over 1 are kept whole, and the
+others make up for what they lack. Without a wanted share the scale is one over the highest rate,
+which keeps the raked mix in expectation, but lets the rarest cell decide how much is left.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,6 +21,13 @@ from talkloom.operators.lookup import lookup
 from talkloom.session import materialise
 
 ROUNDS = 10
+#: With a bound, raking goes on until every margin is within it of its target, relative to the target. It
+#: ends too after MOST_ROUNDS, or when a round neither lowers the largest error by a hundredth of it nor
+#: changes the sum of all errors by more than the bound: targets of values that only occur together can
+#: contradict each other.
+BOUND, MOST_ROUNDS = 0.001, 50
+#: Share of all tokens that the registered query and the pipeline keep.
+KEEP = 0.9
 #: Default target: a value's share is in proportion to its tokens to this power.
 TEMPERATURE = 0.9
 NONE = "(none)"
@@ -32,6 +42,8 @@ TOPICS = (
 )
 OTHER_TOPIC = "prose"
 
+log = logging.getLogger(__name__)
+
 
 def topic(text: Column) -> Column:
     """The first topic one of whose marks the text contains."""
@@ -57,16 +69,34 @@ def tempered(cells: DataFrame, dimension: str, power: float = TEMPERATURE) -> Da
     return of_value.withColumn("share", F.col("share") / total)
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def margins(cells: DataFrame, targets: dict[str, DataFrame], weight: Column) -> DataFrame:
+    """dimension, value, share (the target), reached and error (reached over share, less 1) of each value that has weight or tokens."""
+    parts = []
+    for dimension, target in targets.items():
+        reached = cells.groupBy(F.col(dimension).alias("value")).agg(F.sum(weight).alias("w"))
+        total = reached.agg(F.sum("w").alias("all"))
+        parts.append(reached.join(target, "value", "left").crossJoin(total).select(
+            F.lit(dimension).alias("dimension"), "value", F.coalesce("share", F.lit(0.0)).alias("share"),
+            F.when(F.col("all") > 0, F.col("w") / F.col("all")).otherwise(0.0).alias("reached")))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found.withColumn("error", F.when(F.col("share") > 0, F.col("reached") / F.col("share") - 1))
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, bound: float | None = None) -> DataFrame:
     """``cells`` (the dimensions, tokens) with ``weight``, raked to ``targets`` (value, share per dimension).
 
     The weights sum up to the tokens of all cells. Values without a target get no weight;
     targets without a cell are left out, and the rest is scaled to fill their place.
+    With a ``bound``, rounds go on until the largest error of :func:`margins` is within it, see BOUND;
+    an error that is left is logged.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     stored = {d: materialise(t, f"target_{d}") for d, t in targets.items()}
     raked = materialise(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
-    for number in range(rounds):
+    last = None
+    for number in range(rounds if bound is None else MOST_ROUNDS):
         for dimension, target in stored.items():
             now = raked.groupBy(F.col(dimension).alias("value")).agg(F.sum("weight").alias("now"))
             factor = now.join(target, "value", "left").select(
@@ -74,9 +104,39 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
                 F.when(F.col("now") > 0, F.coalesce("share", F.lit(0.0)) * total / F.col("now")).otherwise(0.0).alias("_factor"))
             raked = lookup(raked, factor, dimension).withColumn("weight", F.col("weight") * F.col("_factor")).drop("_factor")
         raked = materialise(raked, f"cells_{number}")
+        if bound is not None:
+            # Values without tokens cannot reach a share.
+            error, errors = margins(raked.where("tokens > 0"), stored, F.col("weight")).agg(
+                F.coalesce(F.max(F.abs("error")), F.lit(0.0)), F.coalesce(F.sum(F.abs("error")), F.lit(0.0))).first()
+            if error <= bound:
+                return raked
+            if last is not None and error > 0.99 * last[0] and abs(last[1] - errors) <= bound:
+                break
+            last = error, errors
+    if last is not None:
+        log.warning("raking ended after %d rounds with a margin %.3g off its target, relative to it", number + 1, error)
     return raked
 
 
+def scale_to(rated: DataFrame, keep: float) -> float:
+    """The factor of the rates with which the probabilities, at most 1, keep ``keep`` of all tokens; inf if nothing less does.
+
+    Tokens kept grow with the factor along a concave line of straight pieces, so that
+    tangents from the left arrive at it after finitely many steps.
+    """
+    scale, whole = 0.0, None
+    while True:
+        capped = (F.col("rate") * scale >= 1) & (F.col("rate") > 0)
+        all_tokens, kept_whole, weight, cells = rated.where("tokens > 0").agg(
+            F.sum("tokens"), F.sum(F.when(capped, F.col("tokens")).otherwise(0)),
+            F.sum(F.when(capped, 0.0).otherwise(F.col("weight"))), F.count(F.when(capped, 1))).first()
+        if not all_tokens or cells == whole:
+            return scale
+        if not weight:
+            return float("inf")
+        scale, whole = max(scale, (keep * all_tokens - kept_whole) / weight), cells
+
+
 def with_cells(documents: DataFrame, names: Sequence[str] = ("source", "lang", "topic"), text: str = "text",
                source: str = "source", lang: str = "lang", topic_of: Column | None = None) -> DataFrame:
     """``documents`` with the source, language and topic that count, under the given names; null is ``(none)``."""
@@ -97,27 +157,42 @@ def describe(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
 
 def rates(described: DataFrame, dimensions: Sequence[str] = ("source", "lang", "topic"),
-          targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
+          targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, keep: float | None = None,
+          bound: float | None = None) -> DataFrame:
     """The dimensions and rate and probability of each cell; cells without tokens have the probability 1.
 
-    ``targets`` gives (value, share) per dimension; the default is :func:`tempered`.
+    ``targets`` gives (value, share) per dimension; the default is :func:`tempered`. ``keep`` is the share of
+    all tokens that is wanted, in expectation; without it no cell but that of the highest rate is kept whole.
+    What cells kept whole lack is logged as the margins' largest error.
     """
     cells = materialise(described.groupBy(*dimensions).agg(F.sum("tokens").alias("tokens")), "cell_tokens")
-    raked = rake(cells, targets or {d: tempered(cells, d) for d in dimensions}, rounds)
+    wanted = targets or {d: tempered(cells, d) for d in dimensions}
+    raked = rake(cells, wanted, rounds, bound)
     rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
     rated = raked.withColumn("rate", rate)
-    highest = rated.agg(F.max("rate")).first()[0] or 1.0
-    return rated.select(*dimensions, "rate", F.coalesce(F.col("rate") / highest, F.lit(1.0)).alias("probability"))
+    if keep is None:
+        highest = rated.agg(F.max("rate")).first()[0] or 1.0
+        return rated.select(*dimensions, "rate", F.coalesce(F.col("rate") / highest, F.lit(1.0)).alias("probability"))
+    # A rate of 0 stays 0, whatever the scale.
+    scaled = F.when(F.col("rate") > 0, F.least(F.lit(1.0), F.col("rate") * scale_to(rated, keep))).otherwise(F.col("rate"))
+    chosen = rated.withColumn("probability", F.coalesce(scaled, F.lit(1.0)))
+    off = margins(chosen.where("tokens > 0"), wanted, F.col("tokens") * F.col("probability")).orderBy(
+        F.desc(F.abs("error")), "dimension", "value").first()
+    if off is not None and off.error is not None:
+        log.warning("the mix keeps %.3g of the tokens; furthest off is %s %s: share %.3g instead of %.3g",
+                    keep, off.dimension, off.value, off.reached, off.share)
+    return chosen.select(*dimensions, "rate", "probability")
 
 
 def mix(described: DataFrame, dimensions: Sequence[str] = ("source", "lang", "topic"),
-        targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, salt: str = "mix") -> DataFrame:
+        targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, salt: str = "mix", keep: float | None = None,
+        bound: float | None = None) -> DataFrame:
     """``described`` with weight (raked tokens), probability and sampled for every row.
 
     A document's id alone decides its draw: rows with the same id, source, language and
     topic are sampled together.
     """
-    rated = rates(described, dimensions, targets, rounds).withColumn("_cell", F.xxhash64(*dimensions))
+    rated = rates(described, dimensions, targets, rounds, keep, bound).withColumn("_cell", F.xxhash64(*dimensions))
     cell = described.withColumn("_cell", F.xxhash64(*dimensions))
     joined = lookup(cell, rated, [*dimensions, "_cell"]).drop("_cell")
     return joined.select(

@@ -36,7 +36,7 @@ def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     described = mixing.describe(table(spark, sf_dir, "documents"))
-    mixed = mixing.mix(materialise(described, "described"))
+    mixed = mixing.mix(materialise(described, "described"), keep=mixing.KEEP, bound=mixing.BOUND)
     return mixed.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
 
 

@@ -25,7 +25,6 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat earlier ones; those of which no word is left go.
-
     Where lines were taken out, ``n_chars`` is the length of the rest.
     """
     changed = lines.dedup(docs, dropped="_dropped")
@@ -51,9 +50,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of the documents with the source, language and topic shares that raking arrives at."""
+    """A sample of the documents, ``mixing.KEEP`` of their tokens, as near to the raked source, language and topic shares as their cells allow."""
     dimensions = ["source", "lang", "topic"]
-    rated = mixing.rates(materialise(mixing.describe(docs), "described"), dimensions)
+    rated = mixing.rates(materialise(mixing.describe(docs), "described"), dimensions, keep=mixing.KEEP, bound=mixing.BOUND)
     named = [f"_{d}" for d in dimensions]
     marked = mixing.with_cells(docs, named)
     chosen = lookup(marked, rated.select(*[F.col(d).alias(f"_{d}") for d in dimensions], F.col("probability").alias("_p")), named)
