@@ -47,10 +47,18 @@ def _halves(line: Column) -> list[Column]:
     return found
 
 
+def _versions(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``documents`` with doc and version under ``_doc`` and ``_version``: a hash of the text, or 0 where no other row can have the id."""
+    named = documents.withColumn("_doc", F.col(doc_id).cast("long"))
+    twice = materialise(named.where("_doc IS NOT NULL").groupBy("_doc").agg(F.count("*").alias("n")).where("n > 1").select("_doc"), "repeated_ids")
+    several = F.coalesce(may_be_in(F.col("_doc"), twice, "_doc"), F.lit(False))
+    return named.withColumn("_version", F.when(several, F.coalesce(F.xxhash64(text), F.lit(0))).otherwise(F.lit(0)).cast("long"))
+
+
 def _numbered(documents: DataFrame) -> DataFrame:
-    """doc, line_no, line: the lines that take part, without white space at their ends."""
+    """doc, version, line_no, line: the lines that take part, without white space at their ends."""
     lines = documents.where("doc IS NOT NULL AND text IS NOT NULL").select(
-        "doc", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+        "doc", "version", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
     return compute_once(lines, "line", _bare(F.col("raw"))).drop("raw").where(F.length("line") >= MIN_CHARS)
 
 
@@ -85,6 +93,11 @@ def _variants(texts: DataFrame) -> DataFrame:
         F.array(shorter))).alias("v")).select("ha", "v.position", "v.variant")
 
 
+def _earlier(one: str, other: str) -> Column:
+    """Whether a place comes before another; versions of a document have the same places."""
+    return F.struct(f"{one}.doc", f"{one}.line_no") < F.struct(f"{other}.doc", f"{other}.line_no")
+
+
 def _near(documents: DataFrame, lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """ha, hb of the distinct lines that have an earlier line within one edit."""
     halves = lines.select(*_ID, F.explode("halves").alias("half"))
@@ -92,12 +105,13 @@ def _near(documents: DataFrame, lines: DataFrame, distinct: DataFrame) -> DataFr
         "least < most").select("half"), "shared_halves")
     alive = materialise(
         lookup(halves.where(may_be_in(F.col("half"), shared, "half")), shared, "half", "inner").select(*_ID).distinct(), "alive_ids")
-    firsts = distinct.select(*_ID, F.col("first.doc").alias("doc"), F.col("first.line_no").alias("line_no"))
+    firsts = distinct.select(*_ID, "first.doc", "first.line_no", "first.version")
     alive = materialise(lookup(firsts.where(may_be_in(F.col("ha"), alive, "ha")), alive, _ID, "inner"), "alive_lines")
     # The text of a line is fetched where it stands first.
     near_by = _numbered(documents.where(may_be_in(F.col("doc"), alive, "doc")))
-    texts = near_by.join(alive.select("doc", "line_no").distinct(), ["doc", "line_no"]).select(
-        *_identity(F.col("line")), F.struct("doc", "line_no").alias("place"), "line")
+    at_first = ["doc", "line_no", "version"]
+    texts = near_by.join(alive.select(at_first).distinct(), at_first).select(
+        *_identity(F.col("line")), F.struct(at_first).alias("place"), "line")
     texts = materialise(texts.dropDuplicates([*_ID, "place"]), "alive_texts")
 
     variants = materialise(_variants(texts), "line_variants")
@@ -121,7 +135,7 @@ def _near(documents: DataFrame, lines: DataFrame, distinct: DataFrame) -> DataFr
         "other", F.when(whole, F.col("shorter")).otherwise(F.col("itself"))).select(
         "*", F.col("other.place").alias("earliest"), F.col("other.position").alias("without"))
     columns = [*_ID, "place", "position", "earliest", "without"]
-    candidates = by_exchange.select(columns).unionByName(by_insertion.select(columns)).where("earliest < place").distinct()
+    candidates = by_exchange.select(columns).unionByName(by_insertion.select(columns)).where(_earlier("earliest", "place")).distinct()
 
     at = texts.select("place", "line").dropDuplicates(["place"])
     pairs = lookup(candidates, at, "place", "inner")
@@ -137,40 +151,44 @@ def _less(line: str, position: str) -> Column:
 
 
 def repeated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, dropped: the line numbers (from 0) of each document that repeat an earlier line.
+    """doc, version, dropped: the line numbers (from 0) of each version of a document that repeat an earlier line.
 
     A line repeats an earlier one if an equal line, or one within one edit, comes before it
     in doc_id and line number; that one may be dropped itself. Lines are parted by ``\\n``.
     Rows with the same id count as one document in two versions: a line that stands first
-    in one stays at the same place of the other. Rows without id or text have no lines.
+    in one stays at the same place of the other. Each version, told by a hash of its text,
+    has its own line numbers. Rows without id or text have no lines.
     """
-    named = documents.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
+    return _repeated(_versions(documents, doc_id, text), text)
+
+
+def _repeated(versions: DataFrame, text: str) -> DataFrame:
+    named = versions.select(F.col("_doc").alias("doc"), F.col("_version").alias("version"), F.col(text).alias("text"))
     line = F.col("line")
-    lines = materialise(_numbered(named).select(
-        "doc", "line_no", *_identity(line), F.array_distinct(F.array(*_halves(line))).alias("halves")), "lines")
+    halves = F.array_distinct(F.array(*_halves(line)))
+    lines = materialise(_numbered(named).select("doc", "version", "line_no", *_identity(line), halves.alias("halves")), "lines")
     distinct = materialise(lines.groupBy(*_ID).agg(
-        F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("n")), "distinct_lines")
+        F.min(F.struct("doc", "line_no", "version")).alias("first"), F.count("*").alias("n")), "distinct_lines")
     near = materialise(_near(named, lines, distinct).withColumn("near", F.lit(True)), "near_lines")
     judged = lookup(distinct, near, _ID).where("n > 1 OR near")
-    later = lookup(lines.select("doc", "line_no", *_ID), judged, _ID, "inner").where(
-        F.coalesce("near", F.lit(False)) | (F.struct("doc", "line_no") != F.col("first")))
-    return later.groupBy("doc").agg(F.collect_set("line_no").alias("dropped"))
+    later = lookup(lines.select("doc", "version", "line_no", *_ID), judged, _ID, "inner").where(
+        F.coalesce("near", F.lit(False)) | (F.struct("doc", "line_no") != F.struct("first.doc", "first.line_no")))
+    return later.groupBy("doc", "version").agg(F.collect_set("line_no").alias("dropped"))
 
 
 def dedup(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", dropped: str = "n_dropped") -> DataFrame:
     """``documents`` with the remaining lines as ``text`` and the number of lines left out as ``dropped``.
 
-    Null texts stay null; a text of which no line remains is empty.
+    Null texts stay null; a text of which no line remains is empty. :func:`repeated` tells which lines go.
     """
-    gone = materialise(
-        repeated(documents, doc_id, text).select(F.col("doc").alias("_doc"), F.col("dropped").alias("_gone")), "dropped_lines")
-    keyed = documents.withColumn("_doc", F.col(doc_id).cast("long"))
+    keyed = _versions(documents, doc_id, text)
+    gone = materialise(_repeated(keyed, text).select(
+        F.col("doc").alias("_doc"), F.col("version").alias("_version"), F.col("dropped").alias("_gone")), "dropped_lines")
     # Only texts that may lose a line are shuffled.
     touched = F.coalesce(may_be_in(F.col("_doc"), gone, "_doc"), F.lit(False))
-    joined = lookup(keyed.where(touched), gone.hint("shuffle_hash"), "_doc")
+    joined = lookup(keyed.where(touched), gone.hint("shuffle_hash"), ["_doc", "_version"])
     untouched = keyed.where(~touched).select(*documents.columns, F.lit(0).cast("long").alias(dropped))
     pieces = F.split(F.col(text), "\n")
-    # Rows with one id may have fewer lines than another version of the document.
     places = F.sequence(F.lit(0), F.size(pieces) - 1)
     stays = F.array_except(places, F.col("_gone"))
     rest = F.array_join(F.transform(stays, lambda i: F.get(F.col("_lines"), i)), "\n")
