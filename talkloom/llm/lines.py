@@ -22,7 +22,8 @@ from talkloom.operators.lookup import lookup
 from talkloom.operators.once import compute_once
 from talkloom.session import materialise
 
-#: Shorter lines are left alone: they are headings, list marks, or one word.
+#: Shorter lines are not matched within one edit: they are headings, list marks, or one word. They
+#: take part by equality from ``exact_chars`` on, which is this too unless another is given.
 MIN_CHARS = 20
 BLANKS = " \t\r\f\x0b"
 _ID = ["ha", "hb"]
@@ -55,11 +56,11 @@ def _versions(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     return named.withColumn("_version", F.when(several, F.coalesce(F.xxhash64(text), F.lit(0))).otherwise(F.lit(0)).cast("long"))
 
 
-def _numbered(documents: DataFrame) -> DataFrame:
-    """doc, version, line_no, line: the lines that take part, without white space at their ends."""
+def _numbered(documents: DataFrame, least: int) -> DataFrame:
+    """doc, version, line_no, line: the lines of so many characters, without white space at their ends."""
     lines = documents.where("doc IS NOT NULL AND text IS NOT NULL").select(
         "doc", "version", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return compute_once(lines, "line", _bare(F.col("raw"))).drop("raw").where(F.length("line") >= MIN_CHARS)
+    return compute_once(lines, "line", _bare(F.col("raw"))).drop("raw").where(F.length("line") >= least)
 
 
 def _xor(hashes: Column) -> Column:
@@ -98,7 +99,7 @@ def _earlier(one: str, other: str) -> Column:
     return F.struct(f"{one}.doc", f"{one}.line_no") < F.struct(f"{other}.doc", f"{other}.line_no")
 
 
-def _near(documents: DataFrame, lines: DataFrame, distinct: DataFrame) -> DataFrame:
+def _near(documents: DataFrame, lines: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
     """ha, hb of the distinct lines that have an earlier line within one edit."""
     halves = lines.select(*_ID, F.explode("halves").alias("half"))
     shared = materialise(halves.groupBy("half").agg(F.min("ha").alias("least"), F.max("ha").alias("most")).where(
@@ -108,7 +109,7 @@ def _near(documents: DataFrame, lines: DataFrame, distinct: DataFrame) -> DataFr
     firsts = distinct.select(*_ID, "first.doc", "first.line_no", "first.version")
     alive = materialise(lookup(firsts.where(may_be_in(F.col("ha"), alive, "ha")), alive, _ID, "inner"), "alive_lines")
     # The text of a line is fetched where it stands first.
-    near_by = _numbered(documents.where(may_be_in(F.col("doc"), alive, "doc")))
+    near_by = _numbered(documents.where(may_be_in(F.col("doc"), alive, "doc")), min_chars)
     at_first = ["doc", "line_no", "version"]
     texts = near_by.join(alive.select(at_first).distinct(), at_first).select(
         *_identity(F.col("line")), F.struct(at_first).alias("place"), "line")
@@ -150,39 +151,44 @@ def _less(line: str, position: str) -> Column:
     return F.when(at == 0, F.col(line)).otherwise(F.concat(F.left(line, at - 1), F.substr(line, at + 1)))
 
 
-def repeated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS,
+             exact_chars: int | None = None) -> DataFrame:
     """doc, version, dropped: the line numbers (from 0) of each version of a document that repeat an earlier line.
 
     A line repeats an earlier one if an equal line, or one within one edit, comes before it
     in doc_id and line number; that one may be dropped itself. Lines are parted by ``\\n``.
+    Lines of ``min_chars`` take part in both ways, others of ``exact_chars`` (as many, if not
+    given) or more by equality.
     Rows with the same id count as one document in two versions: a line that stands first
     in one stays at the same place of the other. Each version, told by a hash of its text,
     has its own line numbers. Rows without id or text have no lines.
     """
-    return _repeated(_versions(documents, doc_id, text), text)
+    return _repeated(_versions(documents, doc_id, text), text, min_chars, exact_chars)
 
 
-def _repeated(versions: DataFrame, text: str) -> DataFrame:
+def _repeated(versions: DataFrame, text: str, min_chars: int, exact_chars: int | None) -> DataFrame:
     named = versions.select(F.col("_doc").alias("doc"), F.col("_version").alias("version"), F.col(text).alias("text"))
     line = F.col("line")
-    halves = F.array_distinct(F.array(*_halves(line)))
-    lines = materialise(_numbered(named).select("doc", "version", "line_no", *_identity(line), halves.alias("halves")), "lines")
+    least = min_chars if exact_chars is None else min(min_chars, max(1, exact_chars))
+    halves = F.when(F.length(line) >= min_chars, F.array_distinct(F.array(*_halves(line))))
+    lines = materialise(_numbered(named, least).select("doc", "version", "line_no", *_identity(line), halves.alias("halves")), "lines")
     distinct = materialise(lines.groupBy(*_ID).agg(
         F.min(F.struct("doc", "line_no", "version")).alias("first"), F.count("*").alias("n")), "distinct_lines")
-    near = materialise(_near(named, lines, distinct).withColumn("near", F.lit(True)), "near_lines")
+    near = materialise(_near(named, lines, distinct, min_chars).withColumn("near", F.lit(True)), "near_lines")
     judged = lookup(distinct, near, _ID).where("n > 1 OR near")
     later = lookup(lines.select("doc", "version", "line_no", *_ID), judged, _ID, "inner").where(
         F.coalesce("near", F.lit(False)) | (F.struct("doc", "line_no") != F.struct("first.doc", "first.line_no")))
     return later.groupBy("doc", "version").agg(F.collect_set("line_no").alias("dropped"))
 
 
-def dedup(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", dropped: str = "n_dropped") -> DataFrame:
+def dedup(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", dropped: str = "n_dropped",
+          min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """``documents`` with the remaining lines as ``text`` and the number of lines left out as ``dropped``.
 
     Null texts stay null; a text of which no line remains is empty. :func:`repeated` tells which lines go.
     """
     keyed = _versions(documents, doc_id, text)
-    gone = materialise(_repeated(keyed, text).select(
+    gone = materialise(_repeated(keyed, text, min_chars, exact_chars).select(
         F.col("doc").alias("_doc"), F.col("version").alias("_version"), F.col("dropped").alias("_gone")), "dropped_lines")
     # Only texts that may lose a line are shuffled.
     touched = F.coalesce(may_be_in(F.col("_doc"), gone, "_doc"), F.lit(False))

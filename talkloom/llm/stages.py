@@ -25,9 +25,11 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat earlier ones; those of which no word is left go.
+
+    Lines of any length go where they equal an earlier one.
     Where lines were taken out, ``n_chars`` is the length of the rest.
     """
-    changed = lines.dedup(docs, dropped="_dropped")
+    changed = lines.dedup(docs, dropped="_dropped", exact_chars=1)
     rest = changed.where("_dropped = 0 OR text RLIKE '[^ \\\\t-\\\\r]'")
     size = F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long")) \
         if "n_chars" in docs.columns else None
