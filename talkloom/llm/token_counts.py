@@ -242,8 +242,9 @@ def scrubbing(documents: DataFrame, doc_id: str = "doc_id", text: str = "text")
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(edits, kind)], names=["doc_id", "version", "text", "edits"])
 
-    # Every pattern has an @ or a digit in it.
-    some = versions(documents, doc_id, text).where(F.col("text").rlike("[@0-9]"))
+    # Every pattern has an @ or a digit in it, of any script. What the JVM's Unicode does not know yet
+    # (Cn) can be a digit for the patterns.
+    some = versions(documents, doc_id, text).where(F.col("text").rlike(r"[@\p{Nd}\p{Cn}]"))
     return some.mapInArrow(find, f"doc_id long, version long, text string, edits {EDITS}").where(F.size("edits") > 0)
 
 
