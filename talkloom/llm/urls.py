@@ -65,22 +65,38 @@ def address(url: Column) -> Column:
     return F.when(host(url) != "", F.concat(host(url), F.regexp_replace(path(url), r"/+$", "")))
 
 
-def _resolved(link: Column, host_column: str) -> Column:
-    """A link as a whole URL: ``//host/x`` and ``/x`` are completed; other relative links are left out (null)."""
+def _without_dots(path: Column) -> Column:
+    """A path that starts with a slash, its ``.`` and ``..`` segments carried out; a final slash may be lost."""
+    step = lambda done, part: (
+        F.when(part == ".", done).when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1))))
+        .otherwise(F.concat(done, F.array(part))))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.expr("cast(array() as array<string>)"), step), "/")
+
+
+def _resolved(link: Column, host_column: str, path_column: str) -> Column:
+    """A link as a whole URL, without the query of relative ones: a scheme at its start makes it absolute, all others
+    are completed by the page's scheme, host and directory. Null for schemes without ``//``, as in ``mailto:x``.
+    """
     link = F.replace(link, F.lit("&amp;"), F.lit("&"))
+    bare = F.regexp_extract(link, r"^[^?#]*", 0)
+    at_host = lambda path: F.concat(F.lit("https://"), F.col(host_column), path)
+    directory = F.concat(F.lit("/"), F.regexp_extract(path_column, r"(?s)^/(.*/)?", 1))
     return (
-        F.when(link.contains("://"), link)
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
         .when(link.startswith("//"), F.concat(F.lit("https:"), link))
-        .when(link.startswith("/"), F.concat(F.lit("https://"), F.col(host_column), link))
+        .when(bare == "", at_host(F.col(path_column)))
+        .when(link.startswith("/"), at_host(_without_dots(bare)))
+        .otherwise(at_host(_without_dots(F.concat(directory, bare))))
     )
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """source, target: the addresses joined by canonical links, og:url and immediate redirects in the pages' HTML."""
     marked = pages.where(F.lower(html).rlike("canonical|og:url|refresh")).select(
-        address(F.col(url)).alias("source"), host(F.col(url)).alias("own"),
+        address(F.col(url)).alias("source"), host(F.col(url)).alias("own"), path(F.col(url)).alias("at"),
         F.explode(F.array(*[F.regexp_extract(html, pattern, 1) for pattern in _LINKS])).alias("link"))
-    linked = marked.where("link <> ''").select("source", address(_resolved(F.col("link"), "own")).alias("target"))
+    linked = marked.where("link <> ''").select("source", address(_resolved(F.col("link"), "own", "at")).alias("target"))
     return linked.where("source IS NOT NULL AND target IS NOT NULL AND source <> target").distinct()
 
 
