@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from talkloom.llm import bpe, jaccard, language_id, lines, mixing, quality, token_counts, topk, toxicity, urls
+from talkloom.llm import bpe, jaccard, language_id, lines, mixing, periodic_runs, quality, token_counts, topk, toxicity, urls, whitening
 from talkloom.llm.folds import fold
 from talkloom.session import materialise
 
@@ -89,6 +89,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find(table(spark, sf_dir, "documents"), stuttering=True))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return whitened.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
@@ -100,4 +109,6 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_whitening": op13_whitening,
 }
