@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from talkloom.llm import bpe, jaccard, language_id, lines, mixing, periodic_runs, quality, token_counts, topk, toxicity, urls, whitening
+from talkloom.llm import bpe, fingerprints, jaccard, language_id, lines, mixing, periodic_runs, quality, token_counts, topk, toxicity, urls, whitening
 from talkloom.llm.folds import fold
 from talkloom.session import materialise
 
@@ -89,6 +89,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.find(table(spark, sf_dir, "documents"), stuttering=True))
 
@@ -109,6 +113,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
+    "op11_fingerprints": op11_fingerprints,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_whitening": op13_whitening,
 }
