@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -150,16 +151,25 @@ def _judge(text: str, mark: str, following: str, following_mark: str) -> dict:
             "near_next": likeness(mark, following_mark)}
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their text compressed."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        texts = [squeeze((t.as_py() or "").encode("utf-8", "replace")) for t in batch.column("text")]
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()))
+
+
 def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order to their results. The first row's text, and the last row with it, are also handed on: place
     is 'first' or 'last', part the partition; the last row has no result yet."""
     part = TaskContext.get().partitionId()
     schema = pa.schema([("doc_id", pa.int64()), ("place", pa.string()), ("part", pa.int32()), ("text", pa.large_string()), *_ROW])
+    unpack = zstandard.ZstdDecompressor().decompress
     before = None
     for batch in batches:
         rows = []
         for doc, value in zip(batch.column("doc_id"), batch.column("text")):
-            doc, text = doc.as_py(), value.as_py() or ""
+            doc, text = doc.as_py(), unpack(value.as_py()).decode("utf-8")
             # Equal neighbours are told apart by nothing, so that one fingerprint does for them.
             mark = before[2] if before is not None and before[1] == text else fingerprint(text)
             if before is None:
@@ -189,7 +199,7 @@ def with_next(documents: DataFrame, doc_id: str = "doc_id", text: str = "text")
     in order by a hash of their text. Null texts count as empty. The only row of a table is
     its own next one. Two empty texts have the likeness 1. Further columns of the input play no part.
 
-    Texts are shuffled once, into ranges of the ids. Within a range each row meets its next one while
+    Texts are shuffled once, compressed, into ranges of the ids. Within a range each row meets its next one while
     they stream by; a range's last row meets the next range's first text, one of each per range, afterwards.
     """
     named = documents.select(
@@ -197,7 +207,8 @@ def with_next(documents: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # Rows of one id are spread by their texts' hash and, if that is equal too, by their place in the input.
     keys = [F.desc_nulls_last("doc_id"), F.asc("hash")]
     keyed = named.withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
-    ranges = keyed.repartitionByRange(*keys, F.asc("place"))
+    packed = keyed.mapInArrow(_pack, "doc_id long, text binary, hash long, place long")
+    ranges = packed.repartitionByRange(*keys, F.asc("place"))
     in_order = ranges.sortWithinPartitions(*keys).select("doc_id", "text")
     met = materialise(in_order.mapInArrow(_along, f"doc_id long, place string, part int, text string, {_DDL}"), "fingerprints")
 
