@@ -7,6 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name``, with as many underscores behind it as no column of the frames has, in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keep_first(df: DataFrame, key: str | list[str], order: str | Column) -> DataFrame:
     """First row per key in ``order``.
 
@@ -15,7 +23,8 @@ def keep_first(df: DataFrame, key: str | list[str], order: str | Column) -> Data
     """
     keys = [key] if isinstance(key, str) else key
     first = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+    nth = free_name("_nth", df)
+    return df.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth)
 
 
 def lookup(probe: DataFrame, build: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
@@ -29,10 +38,11 @@ def lookup(probe: DataFrame, build: DataFrame, on: str | list[str], how: str = "
     keys = [on] if isinstance(on, str) else on
     has_key = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
     spread = F.when(has_key, F.xxhash64(*keys)).otherwise(F.xxhash64(*probe.columns))
-    joined = probe.withColumn("_key_hash", spread).join(
-        build.withColumn("_key_hash", F.xxhash64(*keys)), [*keys, "_key_hash"], how
+    key_hash = free_name("_key_hash", probe, build)
+    joined = probe.withColumn(key_hash, spread).join(
+        build.withColumn(key_hash, F.xxhash64(*keys)), [*keys, key_hash], how
     )
-    return joined.drop("_key_hash")
+    return joined.drop(key_hash)
 
 
 def unseen(df: DataFrame, existing: DataFrame, on: str | list[str], among: DataFrame | None = None) -> DataFrame:

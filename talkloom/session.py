@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,9 +45,33 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+#: The folder that :func:`scratch` has opened.
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """Have all tables materialised inside written below one folder of their own, whose path this gives.
+
+    :func:`drop_folder` removes it, once what was built from them has been written.
+    """
+    folder = f"{shared_folder(spark)}/talkloom/{uuid.uuid4().hex}-{name}"
+    token = _scratch.set(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(token)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder through Hadoop's file system, which reaches whatever store it is in; none there is no error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path nobody has used yet below the shared folder."""
-    return f"{shared_folder(spark)}/talkloom/{uuid.uuid4().hex}/{name}"
+    return f"{_scratch.get() or shared_folder(spark) + '/talkloom'}/{uuid.uuid4().hex}/{name}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

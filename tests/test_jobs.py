@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from talkloom.functions.messages import MESSAGES
 from talkloom.operators import posts as P, sync as S
-from talkloom.operators.lookup import keep_first, lookup, unseen
+from talkloom.operators.lookup import free_name, keep_first, lookup, unseen
 from talkloom.plans import jobs
 from talkloom.sources.state import load_state, open_state
 from talkloom.streaming.sync import start_post_sync
@@ -234,3 +234,12 @@ def test_rows_without_a_key_are_spread_and_kept(spark, small_skew):
     assert joined.count() == 40000 and joined.where("hit = 1").count() == 50
     sizes = [r[0] for r in joined.select(F.spark_partition_id().alias("p")).groupBy("p").count().select("count").collect()]
     assert max(sizes) < 20000, sizes
+
+
+def test_columns_named_as_inner_ones_stay(spark):
+    probe = spark.createDataFrame([(1, "a", "n", 3), (2, "b", "m", 4)], "k int, _key_hash string, _nth string, _NTH_ int")
+    build = spark.createDataFrame([(1, "hit")], "k int, found string")
+    joined = lookup(probe, build, "k").orderBy("k").collect()
+    assert [(r["_key_hash"], r.found) for r in joined] == [("a", "hit"), ("b", None)]
+    assert [r["_nth"] for r in keep_first(probe.unionByName(probe), "k", "_key_hash").orderBy("k").collect()] == ["n", "m"]
+    assert free_name("_nth", probe) == "_nth__" and free_name("other", probe, build) == "other"
