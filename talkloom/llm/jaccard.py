@@ -4,34 +4,38 @@ Documents link when the Jaccard similarity of their shingle sets is at least a t
 (0.9 unless another is given). Equal sets are one class, and classes are joined, not
 documents.
 
-*Which trees meet.* A set is kept in the order of its hashes. If two sets link at the
-threshold t, at most ``2 * (1 - t) * n`` of one's pairs of neighbouring hashes are torn
-apart by the other: each hash that only one of them has tears two pairs of its own set or
-one of the other, and there are too few such hashes. So linked sets share one of their
-first ``floor(2 * (1 - t) * n) + 1`` neighbour pairs (a fifth and one more at 0.9),
-whatever the order of the pairs, as long as it is one for all sets. Pairs that
-many documents hold (passages, licences) come last in it, so that only documents that
-consist of little else have them among their first, the keys. Sets with the same first
-hashes and about the same size form a leaf, and leaves of which members share a key are
-compared.
-
-*What is compared.* A leaf is cut into chunks of bounded size. Each chunk is a signature
+*Which trees meet.* Two sets that link differ in at most ``d`` hashes, which their sizes
+tell. Cut the range of hashes into more than ``d`` parts, and one part is the same in both:
+the hashes in a part make a key. Parts with fewer than two hashes that are not in many
+documents say little and make none; a set that has too many of them to be sure of a
+shared key gives neighbour pairs as keys as well (each hash that only one of two sets has tears two
+pairs of its own set or one of the other, so that linked sets share one of the first
+``floor(2 * (1 - t) * n) + 1`` pairs). Sets with the same first hashes and about the same size form a
+leaf. Keys and leaves travel packed, and only the groups of leaves that share a key come out.
+
+*What is compared.* Leaves are cut into chunks of bounded size. Each chunk is a signature
 tree: its nodes hold the size range of their sets and the OR of their token bitmaps. Two
 trees are walked together; a pair of nodes is left when the sizes, or the bits that both
-have, allow no sufficient overlap. What is left is counted exactly. A pair of chunks
-returns, per class, its number of links and one link that connects it: never all pairs.
+have, allow no sufficient overlap. What is left is counted exactly.
+
+*Why not all pairs of a large group.* First every chunk is compared with itself and with one chunk
+of the largest leaf of its group, which connects near copies of one text with each other. Then only
+sets that are not connected yet, but share a key, are compared, chunk by chunk: two parts of a group that are
+connected already need no further link.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+import zstandard
+from pyspark.sql import DataFrame, functions as F
 
 from talkloom.llm.bitmaps import may_be_in
 from talkloom.llm.components import components
@@ -47,11 +51,17 @@ LOWEST = 8
 #: Similarity from which on sets link, in hundredths; what is compared is exact, in whole numbers.
 PER_CENT = 90
 
-#: A pair of neighbours is common when tasks that met it COMMON_IN times in COMMON_OF pairs or
-#: fewer met it COMMON times together. At most COMMON_KEYS of them, the commonest, come last.
-COMMON, COMMON_IN, COMMON_OF, COMMON_KEYS = 48, 6, 2_000_000, 1 << 18
-#: Words of the filter that keeps keys of one document out of the second shuffle.
-KEY_WORDS = 1 << 17
+#: A hash is common when COMMON or more of one in COMMON_PART texts hold it. At most COMMON_KEYS, the commonest, count
+#: as such. Which ones these are decides the work, never the result.
+COMMON, COMMON_PART, COMMON_KEYS = 6, 16, 1 << 18
+#: Numbers counted at once, and keys packed at once.
+AT_ONCE = 2_000_000
+#: Bits of a key and of a leaf as they travel. Unequal ones that agree in them are compared for nothing, no more.
+KEY_BITS, LEAF_BITS = 48, 32
+#: Words of the filter of texts whose sets are compared.
+MEMBER_WORDS = 1 << 18
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def least(per_cent: int = PER_CENT) -> int:
@@ -64,43 +74,82 @@ def linked(overlap, a, b, per_cent: int = PER_CENT):
     return 100 * overlap >= per_cent * (a + b - overlap)
 
 
+def differences(a: int, b: int, per_cent: int = PER_CENT) -> int:
+    """Hashes that only one of two linked sets has, at most."""
+    return (a + b) * (100 - per_cent) // (100 + per_cent)
+
+
+@cache
+def levels(per_cent: int) -> list[tuple[int, int]]:
+    """Differences, and parts that make up for so many, of each level.
+
+    Parts are as few as leave, with sets of the least size that differ so much, a margin of those that say something.
+    """
+    size = per_cent / (100 - per_cent)
+    strong = lambda f: f * (1 - math.exp(-size / f) * (1 + size / f))
+    factor = next((f / 100 for f in range(102, 200) if strong(f / 100) >= 1.03), 1.5)
+    found, most = [], 1
+    while most < 1 << 40:
+        found.append((most, math.ceil(factor * most) + 2))
+        most = max(most + 1, most * 3 // 2)
+    return found
+
+
+def _level_of(differing: int, per_cent: int) -> int:
+    return next(k for k, (most, _) in enumerate(levels(per_cent)) if most >= differing)
+
+
 def neighbour_pairs(tokens: np.ndarray) -> np.ndarray:
     """A hash of each two hashes of the set that follow each other."""
-    return mix(tokens[:-1] * np.uint64(0x9E3779B97F4A7C15) + tokens[1:])
+    return mix(tokens[:-1] * _ODD + tokens[1:])
 
 
 def keys_of(tokens: np.ndarray, common: np.ndarray, per_cent: int = PER_CENT) -> np.ndarray:
-    """As many first neighbour pairs as linked sets need to share one, those in ``common`` (sorted) behind all others."""
-    if len(tokens) < least(per_cent):
+    """Keys of a set (sorted hashes), one of which every set has that it links with. ``common`` is sorted."""
+    n = len(tokens)
+    most = differences(n, 100 * n // per_cent, per_cent)
+    if n < least(per_cent) or not most:
         return np.zeros(0, np.uint64)
-    pairs = neighbour_pairs(tokens)
+    fewest = max(1, differences(n, -(-per_cent * n // 100), per_cent))
+    rare = np.ones(n, dtype=bool)
     if len(common):
-        at = np.searchsorted(common, pairs)
+        at = np.searchsorted(common, tokens)
         at[at == len(common)] = 0
-        last = common[at] == pairs
-        pairs = np.concatenate([pairs[~last], pairs[last]])
-    return pairs[:2 * (100 - per_cent) * len(tokens) // 100 + 1]
-
-
-def _often_met(width: int, per_cent: int):
-    """text to pair, n: the neighbour pairs that a task has met COMMON_IN times or more among COMMON_OF."""
+        rare = common[at] != tokens
+    spread, found, sure = mix(tokens), [], True
+    for level in range(_level_of(fewest, per_cent), _level_of(most, per_cent) + 1):
+        allowed, parts = levels(per_cent)[level]
+        part = (tokens >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        strong = np.add.reduceat(rare.astype(np.int64), starts) >= 2
+        content = np.add.reduceat(spread, starts) + part[starts] * _ODD + np.uint64(level + 1)
+        found.append(mix(content[strong]))
+        sure = sure and len(found[-1]) > min(allowed, most)
+    if not sure:
+        pairs = neighbour_pairs(tokens)
+        telling = rare[:-1] | rare[1:]
+        pairs = np.concatenate([pairs[telling], pairs[~telling]])
+        found.append(pairs[:2 * (100 - per_cent) * n // 100 + 1])
+    return np.concatenate(found)
+
+
+def _often_met(width: int):
+    """Texts to the hashes that several of a task's texts hold, with how many."""
 
     def often_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            pairs, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= COMMON_IN
+            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+            often = counts > 1
             return pa.RecordBatch.from_arrays(
-                [pa.array(pairs[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["pair", "n"])
+                [pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["token", "n"])
 
         for batch in batches:
             for text in batch.column("text"):
-                tokens = shingle_set(text.as_py(), width)
-                if len(tokens) >= least(per_cent):
-                    held.append(neighbour_pairs(tokens))
-                    size += len(tokens)
-                if size >= COMMON_OF:
+                held.append(shingle_set(text.as_py(), width))
+                size += len(held[-1])
+                if size >= AT_ONCE:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -109,55 +158,121 @@ def _often_met(width: int, per_cent: int):
     return often_met
 
 
-def common_pairs(named: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT) -> np.ndarray:
-    """Neighbour pairs that many documents have, sorted. Which ones these are decides the work, never the result."""
-    met = named.select("text").mapInArrow(_often_met(width, per_cent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    most = met.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "pair").limit(COMMON_KEYS).select("pair").toPandas()
-    return np.sort(most["pair"].to_numpy(np.int64).view(np.uint64))
+def common_tokens(named: DataFrame, width: int = WIDTH) -> np.ndarray:
+    """Hashes that many documents have, sorted, found in one of COMMON_PART texts."""
+    some = named.where(F.pmod(F.col("version"), F.lit(COMMON_PART)) == 0).select("text")
+    met = some.mapInArrow(_often_met(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    most = met.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "token").limit(COMMON_KEYS).select("token").toPandas()
+    return np.sort(most["token"].to_numpy(np.int64).view(np.uint64))
+
+
+def _leaf(tokens: np.ndarray, per_cent: int) -> int:
+    band = round(math.log(len(tokens)) / math.log(100 / per_cent))
+    return xxhash.xxh3_64_intdigest(tokens[:2].tobytes(), seed=band) >> (64 - LEAF_BITS)
 
 
-def _describe(common, width: int, per_cent: int):
-    """doc_id, version, text to doc_id, version, n, class, leaf and keys; without shingles, class and leaf are null."""
-    step = math.log(100 / per_cent)
+def _describe(width: int, per_cent: int):
+    """doc_id, version, text to doc_id, version, n, class and leaf; without shingles, class and leaf are null."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[str, list] = {"n": [], "class": [], "leaf": [], "keys": []}
+            rows: dict[str, list] = {"n": [], "class": [], "leaf": []}
             for text in batch.column("text"):
                 tokens = shingle_set(text.as_py(), width)
-                n = len(tokens)
-                band = round(math.log(n) / step) if n else 0
-                rows["n"].append(n)
-                rows["class"].append(xxhash.xxh3_128_digest(tokens.tobytes()) if n else None)
-                rows["leaf"].append(xxhash.xxh3_64_intdigest(tokens[:2].tobytes(), seed=band) - (1 << 63) if n else None)
-                rows["keys"].append(keys_of(tokens, common.value, per_cent).view(np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in rows["keys"]])]).astype(np.int32)
+                rows["n"].append(len(tokens))
+                rows["class"].append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
+                rows["leaf"].append(_leaf(tokens, per_cent) if len(tokens) else None)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("version"), pa.array(rows["n"], pa.int64()),
-                pa.array(rows["class"], pa.binary()), pa.array(rows["leaf"], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows["keys"]), pa.int64())),
-            ], names=["doc_id", "version", "n", "class", "leaf", "keys"])
+                pa.array(rows["class"], pa.binary()), pa.array(rows["leaf"], pa.int64())],
+                names=["doc_id", "version", "n", "class", "leaf"])
 
     return describe
 
 
-def _leaf_pairs(described: DataFrame, per_cent: int) -> DataFrame:
-    """a, b: leaves with members of fitting size that share a key; a = b if a leaf's own members do."""
-    keyed = described.select(F.explode("keys").alias("key"), "leaf", "n")
-    twice = materialise(keyed.groupBy("key").agg(F.count("*").alias("met")).where("met > 1").select("key"), "jaccard_keys")
-    keyed = keyed.where(may_be_in(F.col("key"), twice, "key", KEY_WORDS))
-    # A key's many near copies become one row per leaf before they meet at the key.
-    of_leaf = keyed.groupBy("key", "leaf").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("members"))
-    of_key = Window.partitionBy("key")
-    shared = of_leaf.withColumn("met", F.sum("members").over(of_key)).where("met > 1").drop("met")
-    shared = materialise(shared, "jaccard_shared_keys")
-    own = shared.where("members > 1").select(F.col("leaf").alias("a"), F.col("leaf").alias("b"))
-    left = shared.select("key", F.col("leaf").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"))
-    right = shared.select("key", F.col("leaf").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    fitting = F.expr(f"a < b AND 100 * high_a >= {per_cent} * low_b AND 100 * high_b >= {per_cent} * low_a")
-    met = left.join(right, "key").where(fitting).select("a", "b")
-    return own.unionByName(met).distinct()
+def _distinct_pairs(key: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (key, leaf) in order."""
+    order = np.lexsort((leaf, key))
+    key, leaf = key[order], leaf[order]
+    once = np.append(True, (key[1:] != key[:-1]) | (leaf[1:] != leaf[:-1]))[:len(key)]
+    return key[once], leaf[once]
+
+
+def _key_blocks(common, width: int, per_cent: int, buckets: int):
+    """text to bucket and block: the bucket's (key, leaf) pairs of many texts, packed."""
+
+    def key_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, leaves, size = [], [], 0
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+
+        def flush() -> pa.RecordBatch:
+            key, leaf = _distinct_pairs(np.concatenate(keys) >> np.uint64(64 - KEY_BITS), np.repeat(
+                np.array(leaves, dtype=np.uint32), [len(k) for k in keys]))
+            bucket = (key >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)
+            heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[:len(bucket)]).tolist()
+            # Keys in order differ by little from each other.
+            blocks = [squeeze(np.diff(key[a:b], prepend=np.uint64(0)).tobytes() + leaf[a:b].tobytes())
+                      for a, b in zip(heads, [*heads[1:], len(key)])]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[heads].astype(np.int64)), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+
+        for batch in batches:
+            for text in batch.column("text"):
+                tokens = shingle_set(text.as_py(), width)
+                found = keys_of(tokens, common.value, per_cent)
+                if len(found):
+                    keys.append(found)
+                    leaves.append(_leaf(tokens, per_cent))
+                    size += len(found)
+                if size >= AT_ONCE:
+                    yield flush()
+                    keys, leaves, size = [], [], 0
+        if keys:
+            yield flush()
+
+    return key_blocks
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks by bucket to the groups of leaves that share a key: group and leaf. Keys with the same leaves make one group."""
+    unpack = zstandard.ZstdDecompressor().decompress
+
+    def groups(blocks: list[bytes]) -> pa.RecordBatch:
+        keys, leaves = [], []
+        for block in map(unpack, blocks):
+            count = len(block) // 12
+            keys.append(np.cumsum(np.frombuffer(block, np.uint64, count)))
+            leaves.append(np.frombuffer(block, np.uint32, count, 8 * count))
+        key, leaf = _distinct_pairs(np.concatenate(keys), np.concatenate(leaves))
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(starts, len(key)))
+        name = np.add.reduceat(mix(leaf.astype(np.uint64) + np.uint64(1)), starts)
+        _, first = np.unique(name, return_index=True)
+        wanted = first[size[first] > 1]
+        row = np.repeat(starts[wanted], size[wanted])
+        row = row + np.arange(len(row)) - np.repeat(np.cumsum(size[wanted]) - size[wanted], size[wanted])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(name[wanted], size[wanted]).view(np.int64)), pa.array(leaf[row].astype(np.int64))], names=["group", "leaf"])
+
+    bucket, blocks = None, []
+    for batch in batches:
+        for here, block in zip(batch.column("bucket").to_pylist(), batch.column("block")):
+            if here != bucket and blocks:
+                yield groups(blocks)
+                blocks = []
+            bucket = here
+            blocks.append(block.as_py())
+    if blocks:
+        yield groups(blocks)
+
+
+def leaf_groups(named: DataFrame, width: int, per_cent: int) -> DataFrame:
+    """group, leaf: leaves whose sets share a key have a group in common."""
+    spark = named.sparkSession
+    common = spark.sparkContext.broadcast(common_tokens(named, width))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = named.where("doc_id IS NOT NULL").select("text").mapInArrow(
+        _key_blocks(common, width, per_cent, buckets), "bucket long, block binary")
+    return blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "group long, leaf long").distinct()
 
 
 def _sets(width: int):
@@ -172,8 +287,7 @@ def _sets(width: int):
                 if xxhash.xxh3_128_digest(tokens) == row["class"]:
                     rows.append(row | {"tokens": tokens})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([
-                ("leaf", pa.int64()), ("chunk", pa.int64()), ("class", pa.binary()), ("copies", pa.int64()),
-                ("tokens", pa.binary())]))
+                ("leaf", pa.int64()), ("chunk", pa.int64()), ("class", pa.binary()), ("tokens", pa.binary())]))
 
     return sets
 
@@ -181,10 +295,10 @@ def _sets(width: int):
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets that come by leaf and chunk to one row for each chunk, its sets by size."""
 
-    def packed(place: tuple, sets: dict[bytes, tuple]) -> dict:
-        rows = sorted((len(tokens) // 8, name, copies, tokens) for name, (copies, tokens) in sets.items())
-        sizes, names, copies, tokens = zip(*rows)
-        return {"leaf": place[0], "chunk": place[1], "classes": b"".join(names), "copies": np.array(copies, np.int64).tobytes(),
+    def packed(place: tuple, sets: dict[bytes, bytes]) -> dict:
+        rows = sorted((len(tokens) // 8, name, tokens) for name, tokens in sets.items())
+        sizes, names, tokens = zip(*rows)
+        return {"leaf": place[0], "chunk": place[1], "classes": b"".join(names),
                 "sizes": np.array(sizes, np.int64).tobytes(), "tokens": b"".join(tokens)}
 
     schema = pa.schema([("leaf", pa.int64()), ("chunk", pa.int64()), *[(p, pa.binary()) for p in _PARTS]])
@@ -196,7 +310,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if sets:
                     done.append(packed(place, sets))
                 place, sets = (row["leaf"], row["chunk"]), {}
-            sets[row["class"]] = (row["copies"], row["tokens"])
+            sets[row["class"]] = row["tokens"]
         if done:
             yield pa.RecordBatch.from_pylist(done, schema)
     if sets:
@@ -225,9 +339,9 @@ class _Node:
 
 
 class _Chunk:
-    def __init__(self, classes: bytes, copies: bytes, sizes: bytes, tokens: bytes, width: int) -> None:
+    def __init__(self, classes: bytes, sizes: bytes, tokens: bytes, width: int) -> None:
         self.classes = [classes[i:i + 16] for i in range(0, len(classes), 16)]
-        self.copies, self.sizes = np.frombuffer(copies, np.int64), np.frombuffer(sizes, np.int64)
+        self.sizes = np.frombuffer(sizes, np.int64)
         self.tokens = np.frombuffer(tokens, np.uint64)
         self.ends = np.cumsum(self.sizes)
         self.width = width
@@ -306,12 +420,12 @@ def _width(tokens: int) -> int:
     return 1 << max(10, min(20, (2 * tokens).bit_length()))
 
 
-_PACK = "leaf long, chunk long, classes binary, copies binary, sizes binary, tokens binary"
-_PARTS = ("classes", "copies", "sizes", "tokens")
+_PACK = "leaf long, chunk long, classes binary, sizes binary, tokens binary"
+_PARTS = ("classes", "sizes", "tokens")
 
 
 def _compare(per_cent: int):
-    """Pairs of chunks to class, other (one class it links with, directly or not) and links (documents it links with)."""
+    """Pairs of chunks to class and other: for each class that links, one that it links with, directly or not."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -324,9 +438,7 @@ def _compare(per_cent: int):
                 if not links.any():
                     continue
                 names = x.classes if own else x.classes + y.classes
-                count, shift = np.zeros(len(names), np.int64), 0 if own else len(x.classes)
-                count[:len(x.classes)] += links @ y.copies
-                count[shift:shift + len(y.classes)] += x.copies @ links
+                shift = 0 if own else len(x.classes)
                 # The smallest member of each connected part.
                 root = list(range(len(names)))
 
@@ -339,15 +451,66 @@ def _compare(per_cent: int):
                 for i, j in zip(*[side.tolist() for side in np.nonzero(links)]):
                     i, j = top(i), top(j + shift)
                     root[max(i, j)] = min(i, j)
-                used = np.flatnonzero(count).tolist()
-                yield pd.DataFrame({
-                    "class": [names[i] for i in used], "other": [names[top(i)] for i in used], "links": count[used]})
+                used = [i for i in range(len(names)) if top(i) != i]
+                yield pd.DataFrame({"class": [names[i] for i in used], "other": [names[top(i)] for i in used]})
 
     return compare
 
 
+def _links(named: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, per_cent: int, name: str) -> DataFrame:
+    """class, other: links between classes (class, doc_id, leaf) of pairs of leaves.
+
+    ``pairs`` has a, b and star: whether one chunk of b is enough for each chunk of a, which then are compared with
+    themselves too where a = b.
+    """
+    sized = classes.groupBy("leaf").agg(F.greatest(
+        F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_TOKENS)).cast("long").alias("chunks"))
+    for side in ("a", "b"):
+        pairs = lookup(pairs, sized.select(F.col("leaf").alias(side), F.col("chunks").alias(f"chunks_{side}")), side, "inner")
+    pairs = materialise(pairs, f"jaccard_{name}_pairs")
+    wanted = pairs.select(F.explode(F.array(
+        F.struct(F.col("a").alias("leaf"), F.col("chunks_a").alias("chunks")),
+        F.struct(F.col("b").alias("leaf"), F.col("chunks_b").alias("chunks")))).alias("w")).select("w.*").distinct()
+    members = lookup(classes, wanted, "leaf", "inner").select(
+        "doc_id", "class", "leaf", F.pmod(F.xxhash64("class"), F.col("chunks")).alias("chunk"))
+    members = materialise(members, f"jaccard_{name}_members")
+    texts = named.where(may_be_in(F.col("doc_id"), members, "doc_id", MEMBER_WORDS)).join(members, "doc_id").select(
+        "leaf", "chunk", "class", "text")
+    sets = texts.mapInArrow(_sets(width), "leaf long, chunk long, class binary, tokens binary")
+    in_order = sets.repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk")
+    packs = materialise(in_order.mapInArrow(_pack, _PACK), f"jaccard_{name}_chunks")
+
+    number = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    chunked = pairs.withColumn("chunk_a", number("chunks_a")).withColumn("chunk_b", number("chunks_b"))
+    # Of a leaf's own chunks each pair once; stars have the chunk 0 of b, and chunks with themselves.
+    once = F.expr("(a <> b OR chunk_a <= chunk_b) AND (NOT star OR IF(a = b, chunk_a, chunk_b) = 0 OR a = b AND chunk_a = chunk_b)")
+    chunked = chunked.where(once).select("a", "chunk_a", "b", "chunk_b")
+    for side in ("a", "b"):
+        chunked = lookup(chunked, packs.select(
+            F.col("leaf").alias(side), F.col("chunk").alias(f"chunk_{side}"), *[F.col(p).alias(f"{p}_{side}") for p in _PARTS]),
+            [side, f"chunk_{side}"], "inner")
+    return materialise(chunked.mapInPandas(_compare(per_cent), "class binary, other binary"), f"jaccard_{name}_links")
+
+
+def _unconnected(classes: DataFrame, group: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes under new leaves, their connected part (below 0) or their old leaf, and pairs of new leaves that share a group."""
+    part = group.select(F.col("node").alias("class"), (F.xxhash64("component").bitwiseOR(F.lit(-1 << 63))).alias("part"))
+    placed = materialise(lookup(classes, part, "class").withColumn("old", F.col("leaf")).withColumn(
+        "leaf", F.coalesce("part", "leaf")).drop("part"), "jaccard_parts")
+    renamed = placed.groupBy("old", "leaf").agg(F.count("*").alias("classes"))
+    within = renamed.select(F.col("old").alias("group"), "leaf")
+    across = groups.join(renamed.select(F.col("old"), F.col("leaf").alias("new")), groups["leaf"] == F.col("old")).select("group", F.col("new").alias("leaf"))
+    met = materialise(within.unionByName(across).distinct(), "jaccard_open_groups")
+    several = met.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+    open_groups = met.join(several, "group", "left_semi")
+    left, right = open_groups.select("group", F.col("leaf").alias("a")), open_groups.select("group", F.col("leaf").alias("b"))
+    between = left.join(right, "group").where("a < b").select("a", "b").distinct()
+    alone = renamed.where("leaf >= 0 AND classes > 1").select(F.col("leaf").alias("a"), F.col("leaf").alias("b"))
+    return placed.drop("old"), between.unionByName(alone).withColumn("star", F.lit(False))
+
+
 def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (documents it links with) and version for every row.
+    """doc_id, n_shingles, component_id and version for every row.
 
     Documents link when their sets of shingles of ``width`` words have a Jaccard similarity
     of ``per_cent`` hundredths, 70 to 99, or more.
@@ -362,52 +525,30 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", width
         raise ValueError(f"width {width} must be 1 or more, per_cent {per_cent} from 70 to 99")
     named = documents.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("version"))
-    common = documents.sparkSession.sparkContext.broadcast(common_pairs(named, width, per_cent))
     described = materialise(
-        named.mapInArrow(_describe(common, width, per_cent), "doc_id long, version long, n long, class binary, leaf long, keys array<long>"), "jaccard_sets")
-    taking_part = described.where("class IS NOT NULL AND doc_id IS NOT NULL")
-    classes = materialise(taking_part.groupBy("class").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("leaf").alias("leaf"), F.min("n").alias("n")),
-        "jaccard_classes")
-    leaves = classes.groupBy("leaf").agg(F.greatest(
-        F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_TOKENS)).cast("long").alias("chunks"),
-        F.count("*").alias("classes"))
-    pairs = _leaf_pairs(taking_part, per_cent)
-    for side in ("a", "b"):
-        pairs = lookup(pairs, leaves.select(
-            F.col("leaf").alias(side), F.col("chunks").alias(f"chunks_{side}"), F.col("classes").alias(f"classes_{side}")), side)
-    # A leaf of one class has only copies.
-    pairs = materialise(pairs.where("a <> b OR classes_a > 1").select("a", "b", "chunks_a", "chunks_b"), "jaccard_leaf_pairs")
-
-    wanted = pairs.select(F.explode(F.array(
-        F.struct(F.col("a").alias("leaf"), F.col("chunks_a").alias("chunks")),
-        F.struct(F.col("b").alias("leaf"), F.col("chunks_b").alias("chunks")))).alias("w")).select("w.*").distinct()
-    members = lookup(classes, wanted, "leaf", "inner").select(
-        "doc_id", "class", "copies", "leaf", F.pmod(F.xxhash64("class"), F.col("chunks")).alias("chunk"))
-    members = materialise(members, "jaccard_members")
-    texts = named.where(may_be_in(F.col("doc_id"), members, "doc_id")).join(members, "doc_id").select("leaf", "chunk", "class", "copies", "text")
-    sets = texts.mapInArrow(_sets(width), "leaf long, chunk long, class binary, copies long, tokens binary")
-    in_order = sets.repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk")
-    packs = materialise(in_order.mapInArrow(_pack, _PACK), "jaccard_chunks")
-
-    number = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    chunked = pairs.withColumn("chunk_a", number("chunks_a")).withColumn("chunk_b", number("chunks_b")).where(
-        "a <> b OR chunk_a <= chunk_b").select("a", "chunk_a", "b", "chunk_b")
-    for side in ("a", "b"):
-        chunked = lookup(chunked, packs.select(
-            F.col("leaf").alias(side), F.col("chunk").alias(f"chunk_{side}"), *[F.col(p).alias(f"{p}_{side}") for p in _PARTS]),
-            [side, f"chunk_{side}"], "inner")
-    links = materialise(chunked.mapInPandas(_compare(per_cent), "class binary, other binary, links long"), "jaccard_links")
-
-    group = components(links, "class", "other", "jaccard")
-    counted = links.groupBy("class").agg(F.sum("links").alias("links"))
-    placed = lookup(lookup(classes, group.withColumnRenamed("node", "class"), "class"), counted, "class").select(
-        "class", F.coalesce("component", "class").alias("component"), "doc_id",
-        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    first = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = lookup(placed.drop("doc_id"), first, "component").select("class", "component_id", "n_links")
+        named.mapInArrow(_describe(width, per_cent), "doc_id long, version long, n long, class binary, leaf long"), "jaccard_sets")
+    classes = materialise(described.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(
+        F.min("doc_id").alias("doc_id"), F.min("leaf").alias("leaf"), F.min("n").alias("n")), "jaccard_classes")
+    groups = materialise(leaf_groups(named, width, per_cent), "jaccard_groups")
+
+    # Near copies of one text: each leaf with itself, and with the largest one of each of its groups.
+    sized = classes.groupBy("leaf").agg(F.count("*").alias("classes"))
+    ranked = lookup(groups, sized, "leaf", "inner")
+    hubs = ranked.groupBy("group").agg(F.max_by("leaf", F.struct("classes", "leaf")).alias("b"))
+    to_hub = lookup(ranked.select("group", F.col("leaf").alias("a")), hubs, "group").where("a <> b").select("a", "b")
+    own = sized.where("classes > 1").select(F.col("leaf").alias("a"), F.col("leaf").alias("b"))
+    stars = to_hub.distinct().unionByName(own).withColumn("star", F.lit(True))
+    near = _links(named, classes, stars, width, per_cent, "star")
+    # What is not connected yet: all that share a key.
+    placed, rest = _unconnected(classes, components(near, "class", "other", "jaccard_near"), groups)
+    far = _links(named, placed, rest, width, per_cent, "rest")
+
+    group = components(near.unionByName(far), "class", "other", "jaccard")
+    parts = lookup(classes, group.withColumnRenamed("node", "class"), "class").select(
+        "class", F.coalesce("component", "class").alias("component"), "doc_id")
+    first = parts.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_class = lookup(parts.drop("doc_id"), first, "component").select("class", "component_id")
     joined = lookup(described.select("doc_id", "version", "n", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class")),
                     of_class, "class")
     return joined.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "version")
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "version")

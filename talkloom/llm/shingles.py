@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from talkloom.llm.arrays import distinct
+
 WIDTH = 3
 #: Bytes hashed at once.
 PIECE = 1 << 20
@@ -90,4 +92,4 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     total = np.full(len(words) - width + 1, width, dtype=np.uint64)
     for j in range(width):
         total = mix(total * _ODD + words[j:j + len(total)])
-    return np.unique(total)
+    return distinct(total)
