@@ -402,6 +402,7 @@ FROM kept k LEFT JOIN posts p ON p.id_str = k.reply_to""",
     "archive_posts": ctes(RAW) + """SELECT id_str AS id, 0 AS pos, full_text AS text, is_quote AS "quote", '' AS source FROM raw
 UNION ALL SELECT 'b' || id_str, 1, full_text, false,
   '<a href="https://apps.example/' || source || '" rel="nofollow">' || source || ' &amp; Co</a>' FROM raw""",
+    "archive_files": """SELECT cast(doc_id AS varchar) AS id, lang, text || ' }] "\\\\" [{' AS full_text, 2 AS copies FROM documents""",
     "thread_order": ctes(THREADS)
     + "SELECT id, created_at, row_number() OVER (ORDER BY created_at, id) - 1 AS position FROM threads",
     "ancestor_chain": ctes(THREADS, CHAINS) + f"SELECT id, {chain_text('up')} AS chain FROM chains",
@@ -437,7 +438,8 @@ SELECT 'new' AS feed, strftime(strptime(c, '%Y-%m-%dT%H:%M:%S.%gZ') + INTERVAL 1
   || CASE WHEN substr(c, 21, 3) = '000' THEN '' ELSE '.' || substr(c, 21, 3) || '000' END || 'Z' AS start_time FROM top
 UNION ALL SELECT 'none', '2024-01-02T00:00:00Z'""",
     "api_page_posts": ctes(FEED, LANDED)
-    + """SELECT id, text, created_at, pos FROM landed WHERE kind NOT IN (1, 2, 11) AND created_at >= '2024-01-10T12:00:00.000Z'""",
+    + """SELECT id, text, created_at, pos FROM landed WHERE kind NOT IN (1, 2, 11) AND created_at >= '2024-01-10T12:00:00.000Z'
+UNION ALL SELECT 'malformed', '{"data": [{"id": "' || event_type || '"}', NULL, cast(count(*) AS integer) FROM events GROUP BY event_type""",
     "existing_ids": ctes(FEED) + "SELECT DISTINCT id AS tweet_id FROM feed",
     "unseen_events": ctes(FEED)
     + "SELECT id AS tweet_id, event_id AS ord FROM feed WHERE id NOT IN (SELECT id FROM feed WHERE source = 'purchase')",
@@ -465,7 +467,8 @@ FROM unified u JOIN (SELECT conv_id, {chat('role', 'content', 'turn')} AS chat F
     + "SELECT path AS source, '<user>' || prompt || '</>|<model>' || paragraph || '</>' AS text FROM t",
     "jsonl_roundtrip": """SELECT 'docs.jsonl' AS source_file, 'c' || doc_id AS created_at,
   'user: Say it like ' || source || chr(10) || 'model: ' || text AS chat FROM documents
-UNION ALL SELECT NULL, NULL, NULL FROM documents WHERE false""",
+UNION ALL SELECT 'docs.jsonl', 'malformed', cast(count(*) + count(lang) AS varchar) FROM documents
+UNION ALL SELECT 'docs.jsonl', 'no object', cast(2 * count(*) AS varchar) FROM documents""",
     "dataset_folder": """SELECT f AS source_file, count(*) AS examples FROM documents,
   (VALUES ('docs.jsonl'), ('eval.jsonl'), ('my docs+1.jsonl')) AS names(f) GROUP BY f""",
     "split_lines": f"""WITH n AS (SELECT count(*) AS n, least(greatest(1, round_even(count(*) * cast(0.1 AS double), 0)), count(*) - 1) AS e FROM documents)
@@ -474,15 +477,17 @@ UNION ALL SELECT 'train.jsonl', cast(n - e AS bigint), cast(n - e AS bigint) FRO
 UNION ALL SELECT 'user: {STYLE_PROMPT}' || chr(10) || 'model: ' || text, 0, count(*) FROM documents GROUP BY text""",
     "state_snapshots": ctes(FILES, *MANIFEST)
     + "SELECT path, size, 2 AS version FROM manifest WHERE path IN (SELECT path FROM files)",
-    "unify_typed_keys": ctes(DOC_ANSWERS) + """SELECT cast(doc_id AS varchar) AS number,
-  '["' || lang || '","' || source || '"]' AS tags, '{"of":"' || lang || '"}' AS object,
-  false AS quoted, true AS nothing, false AS absent
-FROM (SELECT * FROM doc_answers WHERE doc_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY doc_id) = 1)""",
+    "unify_typed_keys": ctes(DOC_ANSWERS) + r"""SELECT concat('"number":', doc_id, ',"big":', repeat('1234567890', 5), doc_id, ',"exact":', doc_id, '.50',
+  ',"odd":NaN,"word":"', doc_id, '","nothing":null,"nested":{"z": [', doc_id, ', -0.0], "a": "', coalesce(lang, 'null'),
+  '", "a": "\u00e9\"}"}') AS kept, false AS absent
+FROM doc_first""",
     "unify_files": ctes(DOC_ANSWERS) + """SELECT dedup_key, 'b' AS created_at FROM doc_first
 UNION ALL SELECT 'rows', cast(count(*) AS varchar) FROM doc_first UNION ALL SELECT 'b.jsonl', cast(count(*) AS varchar) FROM doc_first""",
 }
 
-_SYNC_IDS = ctes(FEED, LANDED) + """SELECT DISTINCT id AS tweet_id, 1 AS copies FROM landed_clean
-WHERE kind NOT IN (0, 2) AND source NOT IN ('error', 'signup') AND length(clean) >= 18"""
-SQL["sync_stream"] = _SYNC_IDS
-SQL["sync_job"] = _SYNC_IDS
+_SYNCED_TEXTS = ctes(FEED, LANDED) + f"""SELECT id AS tweet_id, 'user: {STYLE_PROMPT}' || chr(10) || 'model: ' || clean AS chat, 1 AS copies
+FROM landed_clean
+WHERE kind NOT IN (0, 2) AND source NOT IN ('error', 'signup') AND length(clean) >= 18
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY event_id) = 1"""
+SQL["sync_stream"] = _SYNCED_TEXTS
+SQL["sync_job"] = _SYNCED_TEXTS

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from checks import views as V
@@ -166,6 +167,38 @@ def archive_posts(spark, sf_dir):
     )
 
 
+def _framed(batches):
+    """Items of a partition as the lines of one archive file."""
+    yield pa.RecordBatch.from_arrays([pa.array(["window.posts.part0 = ["])], names=["value"])
+    comma = ""
+    for batch in batches:
+        for item in batch.column("item").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array([comma + item])], names=["value"])
+            comma = ","
+    yield pa.RecordBatch.from_arrays([pa.array(["];"])], names=["value"])
+
+
+def archive_files(spark, sf_dir):
+    """documents as archive files of several parts, with and without envelope, read back in blocks that cut posts."""
+    folder = new_folder(spark, "archive")
+    docs = V.table(spark, sf_dir, "documents").withColumn("full_text", F.concat("text", F.lit(' }] "\\\\" [{')))
+    bare = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id_str"), "full_text", "lang"))
+    wrapped = F.to_json(F.struct(F.struct(F.col("doc_id").alias("id"), "full_text", "lang").alias("tweet")))
+    for name, item in (("tweets.js", bare), ("tweets/more.js", wrapped)):
+        items = docs.select("doc_id", item.alias("item")).repartition(3, "doc_id").select("item")
+        items.mapInArrow(_framed, "value string").write.text(f"{folder}/data/{name}")
+    sizes = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(c) for c in sizes]
+    try:
+        for c in sizes:
+            spark.conf.set(c, "262144")
+        posts = materialise(archive.read_post_archive(spark, folder), "archive_posts")
+    finally:
+        for c, value in zip(sizes, before):
+            spark.conf.set(c, value)
+    return posts.groupBy(F.coalesce("id_str", "id").alias("id"), "lang", "full_text").agg(F.count("*").alias("copies"))
+
+
 # --- threads -----------------------------------------------------------------
 
 
@@ -310,10 +343,20 @@ def _land_pages(spark, sf_dir):
 
 
 def api_page_posts(spark, sf_dir):
-    posts = api_pages.read_api_pages(
-        spark, _land_pages(spark, sf_dir), start_time="2024-01-10T12:00:00Z", include_replies=False
-    )
-    return posts.select("id", "text", "created_at", F.col("ord.pos").alias("pos"))
+    """Posts of the landed pages, and how many pages of each text were put aside as malformed."""
+    path = _land_pages(spark, sf_dir)
+    cut_off = F.concat(F.lit('{"data": [{"id": "'), F.col("event_type"), F.lit('"}'))
+    V.table(spark, sf_dir, "events").select(cut_off.alias("value")).write.mode("append").text(path)
+    pages = api_pages.landed_pages(spark, path, keep_malformed=True)
+    posts = api_pages.page_posts(pages, start_time="2024-01-10T12:00:00Z", include_replies=False)
+    rejects = api_pages.rejected_pages(pages).groupBy("reason", "value").agg(F.count("*").cast("int").alias("pos"))
+    return posts.select("id", "text", "created_at", F.col("ord.pos").alias("pos")).union(
+        rejects.select("reason", "value", F.lit(None).cast("string"), "pos"))
+
+
+def _written_posts(spark, out):
+    back = jsonl.read_examples(spark, out, ("tweet_id",))
+    return back.groupBy("tweet_id", chat()).agg(F.count(F.lit(1)).alias("copies"))
 
 
 def sync_stream(spark, sf_dir):
@@ -321,8 +364,7 @@ def sync_stream(spark, sf_dir):
     start_post_sync(
         spark, pages, out, folder, new_folder(spark, "checkpoint"), include_replies=True, **SYNC
     ).awaitTermination()
-    written = spark.read.schema("tweet_id string").json(out, recursiveFileLookup=True)
-    return written.groupBy("tweet_id").agg(F.count(F.lit(1)).alias("copies"))
+    return _written_posts(spark, out)
 
 
 def sync_job(spark, sf_dir):
@@ -330,8 +372,7 @@ def sync_job(spark, sf_dir):
     pages, out, folder = _land_pages(spark, sf_dir), new_folder(spark, "posts.jsonl"), new_folder(spark, "state")
     for _ in range(2):
         jobs.run_post_sync(spark, pages, out, folder, include_replies=True, **SYNC)
-    written = spark.read.schema("tweet_id string").json(out, recursiveFileLookup=True)
-    return written.groupBy("tweet_id").agg(F.count(F.lit(1)).alias("copies"))
+    return _written_posts(spark, out)
 
 
 def existing_ids(spark, sf_dir):
@@ -489,8 +530,9 @@ def jsonl_roundtrip(spark, sf_dir):
     cut = F.substring(whole, F.lit(1), F.length(whole) - 1)
     odd = F.explode(F.array(F.lit("  "), cut, F.concat(F.lit("["), whole, F.lit("]")), F.col("lang"), F.lit("7")))
     rows.select(odd.alias("value")).write.mode("append").text(path)
-    back = jsonl.read_examples(spark, path)
-    return back.select("source_file", "created_at", chat())
+    lines = jsonl.read_lines(spark, path)
+    rejects = jsonl.rejected_lines(lines).groupBy("source_file", "reason").agg(F.count("*").cast("string").alias("chat"))
+    return jsonl.parse_examples(lines).select("source_file", "created_at", chat()).union(rejects)
 
 
 def dataset_folder(spark, sf_dir):
@@ -545,22 +587,24 @@ def unify_files(spark, sf_dir):
 
 
 def unify_typed_keys(spark, sf_dir):
-    """Kept keys come out of unify as the JSON values they were; absent ones stay absent."""
+    """Kept keys come out of unify as the JSON text they were; absent ones stay absent."""
     folder = new_folder(spark, "dataset")
-    rows = V.answers_of_documents(spark, sf_dir).where(F.col("ord") % 2 == 0)
-    line = F.to_json(F.struct(
-        "messages", F.col("ord").alias("number"), F.array("lang", "source_file").alias("tags"),
-        F.struct(F.col("lang").alias("of")).alias("object"), F.lit(None).cast("string").alias("nothing"),
-    ), {"ignoreNullFields": "false"})
+    rows = V.answers_of_documents(spark, sf_dir)
+    number, lang = F.col("ord").cast("string"), F.coalesce("lang", F.lit("null"))
+    values = {
+        "number": number, "big": F.concat(F.lit("1234567890" * 5), number), "exact": F.concat(number, F.lit(".50")),
+        "odd": F.lit("NaN"), "word": F.concat(F.lit('"'), number, F.lit('"')), "nothing": F.lit("null"),
+        "nested": F.concat(F.lit('{"z": ['), number, F.lit(', -0.0], "a": "'), lang, F.lit('", "a": "\\u00e9\\"}"}')),
+    }
+    members = [F.concat(F.lit(f'"{name}" : '), value) for name, value in values.items()]
+    messages = F.regexp_extract(F.to_json(F.struct("messages")), r"(?s)^\{(.*)\}$", 1)
+    line = F.concat(F.lit("{"), F.concat_ws(", ", *members, messages), F.lit("}"))
     rows.select(line.alias("value")).write.text(f"{folder}/docs.jsonl")
-    keep = ["messages", "number", "tags", "object", "nothing", "absent"]
+    keep = ["messages", *values, "absent"]
     jobs.run_unify(spark, [f"{folder}/docs.jsonl"], f"{folder}/unified.jsonl", keep=keep)
     back = spark.read.text(f"{folder}/unified.jsonl")
-    return back.select(
-        *[F.get_json_object("value", f"$.{key}").alias(key) for key in ("number", "tags", "object")],
-        F.contains("value", F.lit('"number":"')).alias("quoted"),
-        F.contains("value", F.lit('"nothing":null')).alias("nothing"), F.contains("value", F.lit('"absent"')).alias("absent"),
-    )
+    tail = F.regexp_extract("value", r'(?s)\],("number":.*)\}$', 1)
+    return back.select(tail.alias("kept"), F.contains("value", F.lit('"absent"')).alias("absent"))
 
 
 def thread_duplicate_ids(spark, sf_dir):
@@ -579,7 +623,7 @@ ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         norm_text_pages, clean_text_posts, forum_text_pages, html_to_paragraphs, parse_timestamps, next_start_times,
         source_apps, unify_posts, filter_posts, dedup_posts_keep_first, order_posts, reply_parent_dialog,
-        reply_chain_dialog, style_examples, temporal_holdout, post_import, post_import_plain, archive_posts,
+        reply_chain_dialog, style_examples, temporal_holdout, post_import, post_import_plain, archive_posts, archive_files,
         thread_order, ancestor_chain, ancestor_chain_bounded, thread_examples, thread_examples_no_self,
         thread_examples_full, doc_paragraphs, doc_chunks, doc_topics, docs_changed_files, docs_new_chunks,
         docs_prune_state, docs_manifest, document_import, document_texts, sync_new_posts, sync_high_water,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -13,13 +14,15 @@ from talkloom.operators.quality import quality_report, source_composition
 from talkloom.operators.ranks import split, tail_split
 from talkloom.session import materialise
 from talkloom.sources import jsonl
-from talkloom.sources.api_pages import read_api_pages
+from talkloom.sources.api_pages import landed_pages, page_posts, put_aside, rejected_pages
 from talkloom.sources.archive import read_post_archive
 from talkloom.sources.documents import extract_text, list_documents, read_documents
 from talkloom.sources.state import append_posts, ledger_ids, load_state, open_state, publish_state, seed_ledger
 
 SYNC_STATE = "start_time string"
 
+log = logging.getLogger(__name__)
+
 
 def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     """Count rows on their way into a sink, without a pass of their own."""
@@ -130,14 +133,20 @@ def run_post_import(spark: SparkSession, archive: str, out: str, **options) -> d
 
 
 def run_post_sync(
-    spark: SparkSession, pages: str, out: str, state: str, include_replies: bool = True, **options
+    spark: SparkSession, pages: str, out: str, state: str, include_replies: bool = True, rejects: str = "", **options
 ) -> dict[str, int]:
-    """Append the new posts of the landed pages; the mark moves only if there were any."""
+    """Append the new posts of the landed pages; the mark moves only if there were any.
+
+    A malformed page stops the run, unless there is a folder ``rejects``, to which it then goes before the mark moves.
+    """
     now, ledger = open_state(spark, state), f"{state}/ids"
     seed_ledger(spark, ledger, out, now.generation)
     saved = load_state(spark, now, SYNC_STATE).first()
     mark = saved.start_time if saved else sync.START_OF_TIME
-    feed = read_api_pages(spark, pages, mark, include_replies)
+    landed = landed_pages(spark, pages, keep_malformed=bool(rejects))
+    if rejects:
+        put_aside(rejected_pages(landed), rejects, now.batch)
+    feed = page_posts(landed, mark, include_replies)
     examples, next_mark = sync_posts(feed, ledger_ids(spark, ledger, now.batch), mark, **options)
     if examples.isEmpty():
         return {"appended": 0}
@@ -174,20 +183,23 @@ def run_document_import(spark: SparkSession, root: str, out: str, state: str, **
 
 def run_unify(
     spark: SparkSession, inputs: Sequence[str], out: str, folder: str = "", keep: Sequence[str] = DEFAULT_KEEP,
-    shuffle: bool = True, seed: int = 42, drop_generic_prompts: bool = False,
+    shuffle: bool = True, seed: int = 42, drop_generic_prompts: bool = False, rejects: str = "",
 ) -> tuple[DataFrame, DataFrame]:
     """Write the unified dataset; returns (quality report, source composition).
 
-    Without ``inputs``, all datasets of ``folder`` but the output and splits.
+    Without ``inputs``, all datasets of ``folder`` but the output and splits. Kept keys come out as the
+    JSON text they were. Rejected lines are counted on the way; if there are any, they are written to the
+    folder ``rejects``, before the dataset, or else only logged.
     """
-    # As variants, kept keys come out as the JSON values they were.
-    keys = {k: "variant" for k in keep if k != "messages"}
-    if inputs:
-        rows = jsonl.read_examples(spark, inputs, keys)
-    else:
-        rows = jsonl.read_dataset_folder(spark, folder, out, keys)
+    lines = jsonl.read_lines(spark, inputs) if inputs else jsonl.dataset_folder_lines(spark, folder, out)
+    raw, seen = [k for k in keep if k != "messages"], Observation("unify")
+    rows = jsonl.parse_examples(lines, dict.fromkeys(raw, jsonl.RAW), seen)
     unified = materialise(unified_rows(rows, keep, drop_generic_prompts), "unified")
-    jsonl.write_examples(ordered(unified, shuffle, seed), out)
+    if rejected := seen.get["rejected"]:
+        log.warning("%d of %d lines are no example and were left out", rejected, seen.get["lines"])
+        if rejects:
+            jsonl.write_rejects(jsonl.rejected_lines(lines), rejects)
+    jsonl.write_raw_examples(ordered(unified, shuffle, seed), out, raw)
     return quality_report(unified), source_composition(unified)
 
 

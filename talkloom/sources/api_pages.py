@@ -14,14 +14,35 @@ PAGE = (
 )
 
 
-def landed_pages(spark: SparkSession, path: str, streaming: bool = False, multiline: bool = False) -> DataFrame:
+def landed_pages(
+    spark: SparkSession, path: str, streaming: bool = False, multiline: bool = False, keep_malformed: bool = False
+) -> DataFrame:
     """Raw pages; as a stream, each new file is delivered once.
 
-    A malformed page stops the run: were it passed over, the mark would move beyond its posts.
+    A malformed page stops the run: were it passed over, the mark would move beyond its posts. With
+    ``keep_malformed`` it comes as a page without data, its text as ``malformed``, for :func:`rejected_pages`.
     """
-    reader = spark.readStream if streaming else spark.read
-    pages = reader.schema(PAGE).options(mode="FAILFAST", **NO_LIMITS).option("multiLine", multiline).json(path)
-    return pages.select("data", "meta", file_path().alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    reader = (spark.readStream if streaming else spark.read).options(multiLine=multiline, **NO_LIMITS)
+    if keep_malformed:
+        reader = reader.schema(f"{PAGE}, malformed string").options(mode="PERMISSIVE", columnNameOfCorruptRecord="malformed")
+    else:
+        reader = reader.schema(PAGE).options(mode="FAILFAST")
+    pages = reader.json(path)
+    kept = ["malformed"] if keep_malformed else []
+    return pages.select("data", "meta", *kept, file_path().alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def rejected_pages(pages: DataFrame) -> DataFrame:
+    """file, block, reason and value of malformed pages."""
+    # The parser refuses to read the malformed text alone.
+    return pages.where(F.col("malformed").isNotNull() & (F.col("data").isNull() | F.col("data").isNotNull())).select(
+        "file", "block", F.lit("malformed").alias("reason"), F.col("malformed").alias("value"))
+
+
+def put_aside(rejects: DataFrame, path: str, batch_id: str) -> None:
+    """Write a batch's rejects, if there are any; the same batch again replaces them."""
+    if not rejects.isEmpty():
+        rejects.write.mode("overwrite").json(f"{path}/batch_id={batch_id}")
 
 
 def page_posts(pages: DataFrame, start_time: str | None = None, include_replies: bool = True) -> DataFrame:
@@ -29,6 +50,9 @@ def page_posts(pages: DataFrame, start_time: str | None = None, include_replies:
 
     Reposts never come; replies only if wanted; nothing before ``start_time``.
     """
+    if "malformed" in pages.columns:
+        # A page that is cut off may have given some posts already; it counts as a whole.
+        pages = pages.where(F.col("malformed").isNull())
     posts = (
         pages.withColumn("row", F.monotonically_increasing_id())
         .select("file", "block", "row", F.posexplode("data").alias("pos", "post"))

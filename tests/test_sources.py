@@ -4,6 +4,7 @@ import sqlite3
 import pytest
 
 from talkloom.operators.posts import unify_posts
+from talkloom.plans import jobs
 from talkloom.sources import jsonl
 from talkloom.sources.api_pages import read_api_pages
 from talkloom.sources.archive import read_post_archive
@@ -113,3 +114,46 @@ def test_written_lines_are_unescaped_json_without_internals(spark, tmp_path):
     jsonl.write_examples(jsonl.read_examples(spark, str(tmp_path / "in.jsonl")), str(tmp_path / "out.jsonl"))
     text = spark.read.text(str(tmp_path / "out.jsonl")).first()[0]
     assert "a1 é" in text and set(json.loads(text)) == {"messages"}
+
+
+@pytest.mark.parametrize("line", [
+    '{"a": {"x": 1, "x": 2.50}, "b":NaN , "c": "q\\u00e9\\"", "a": [1,2 ], "n":null}', "{}", " { } behind", '{"a":1234567890123456789012345678901234567890}',
+    '{"a": -0.0, "b": 1e400, "c": "", "d": {"}": "]"}, "\\u0061b": true}',
+])
+def test_raw_members(line):
+    names = ["a", "b", "c", "n", "ab", "absent"]
+    found = dict(zip(names, jsonl.raw_members(line, names)))
+    plain = json.JSONDecoder().raw_decode(line.strip())[0]
+    for name in names:
+        assert (found[name] is None) == (name not in plain)
+        if found[name] is not None:
+            assert found[name] in line and repr(json.loads(found[name])) == repr(plain[name])
+
+
+def test_kept_values_pass_as_they_stand(spark, tmp_path):
+    values = ['{"a":1,"a":2}', "NaN", "1" * 5000, "-0.0", "1.50", '"5"', '"2024-01-01"', '"{\\"x\\"}"', "null", "true", '"true"', '"tab\\tquote\\""', "[1, 2]",
+              "[" * 300 + "]" * 300]
+    lines = [json.dumps({"messages": [{"role": "user", "content": f"q{i}"}, {"role": "model", "content": f"a{i}"}]})[:-1] + f', "k": {v}}}' for i, v in enumerate(values)]
+    lines.append(json.dumps({"messages": [{"role": "user", "content": "q"}, {"role": "model", "content": "no key"}]}))
+    lines += ["cut {", "[1]"]
+    (tmp_path / "in.jsonl").write_text("\n".join(lines))
+    jobs.run_unify(spark, [str(tmp_path / "in.jsonl")], str(tmp_path / "out.jsonl"), keep=["messages", "k"], shuffle=False, rejects=str(tmp_path / "rejects"))
+    out = [line for part in sorted((tmp_path / "out.jsonl").glob("part-*")) for line in part.read_text().splitlines()]
+    kept = [line.split('],"k":')[1][:-1] if '],"k":' in line else None for line in out]
+    assert kept == [*values, None]
+    rejects = [json.loads(line) for part in (tmp_path / "rejects").glob("part-*") for line in part.read_text().splitlines()]
+    assert sorted((r["reason"], r["value"], r["source_file"]) for r in rejects) == [("malformed", "cut {", "in.jsonl"), ("no object", "[1]", "in.jsonl")]
+
+
+def test_malformed_pages_are_put_aside_before_the_mark_moves(spark, tmp_path):
+    post = {"id": "1", "text": "long enough to be kept", "created_at": "2024-01-01T00:00:00.000Z"}
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages/a.json").write_text(json.dumps({"data": [post]}) + '\n{"data": [{"id": "2", "text": "cut off but long enough"}, {\n')
+    at = lambda name: str(tmp_path / name)
+    with pytest.raises(Exception, match="MALFORMED"):
+        jobs.run_post_sync(spark, at("pages"), at("posts.jsonl"), at("state0"))
+    for _ in range(2):
+        jobs.run_post_sync(spark, at("pages"), at("posts.jsonl"), at("state"), rejects=at("rejects"))
+    rows = spark.read.json(at("rejects"), recursiveFileLookup=True).distinct().collect()
+    assert [(r.reason, r.value) for r in rows] == [("malformed", '{"data": [{"id": "2", "text": "cut off but long enough"}, {')]
+    assert [r.tweet_id for r in spark.read.json(at("posts.jsonl"), recursiveFileLookup=True).collect()] == ["1"]
