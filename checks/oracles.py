@@ -173,6 +173,7 @@ def chunks(src: str, name: str, separator: str, low: int = 80, high: int = 1200)
   WHERE length(paragraph) BETWEEN {low} AND {high})"""
 
 
+LATER = "\n\nAdded in a second run, and long enough to count as a paragraph of its own in the document "
 BLANK_LINE = rf"\n{WS}*\n"
 FILES = """files AS (
   SELECT 'doc-' || doc_id AS path, doc_id, text, n_chars AS size,
@@ -429,6 +430,13 @@ UNION ALL SELECT f.path, f.mtime, f.size,
     "document_import": ctes(FILES, *MANIFEST, chunks("changed", "c", BLANK_LINE, 200, 2000), topics("c", "t"))
     + """SELECT t.path AS source, 'en' AS lang, 'user: ' || prompt || chr(10) || 'model: ' || paragraph AS chat FROM t
 LEFT JOIN manifest m ON m.path = t.path WHERE m.path IS NULL OR NOT list_contains(m.chunks, t.chunk_hash)""",
+    "document_import_files": ctes(
+        PAGES, """sources AS (SELECT 'doc-' || doc_id AS path, text FROM documents UNION ALL SELECT 'page-' || path, text FROM page_texts
+  UNION ALL SELECT 'item-' || item_id, text FROM benchmark)""",
+        f"""later AS (SELECT 'doc-' || doc_id AS path, {q(LATER)} || doc_id AS text FROM documents WHERE text <> '')""",
+        chunks("sources", "c", BLANK_LINE), chunks("later", "l", BLANK_LINE), "both_runs AS (SELECT * FROM c UNION ALL SELECT * FROM l)",
+        topics("both_runs", "t"))
+    + "SELECT path AS source, 'en' AS lang, 'user: ' || prompt || chr(10) || 'model: ' || paragraph AS chat FROM t",
     "document_texts": ctes(PAGES) + f"""SELECT '/web/page-' || path || '.HTML' AS path, text FROM page_texts
 UNION ALL SELECT '/old/doc-' || doc_id || '.txt', {AS_CP1255} FROM documents""",
     "sync_new_posts": ctes(FEED, SYNCED)

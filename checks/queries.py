@@ -300,6 +300,27 @@ def document_import(spark, sf_dir):
     return examples.select("source", "lang", chat())
 
 
+LATER = "\n\nAdded in a second run, and long enough to count as a paragraph of its own in the document "
+
+
+def document_import_files(spark, sf_dir):
+    """Text, HTML and DOCX files through the job, twice: the second time every text file has got one more paragraph."""
+    folder, out, state_folder = new_folder(spark, "files"), new_folder(spark, "docs.jsonl"), new_folder(spark, "state")
+    named = lambda kind, key, suffix: F.concat(F.lit(f"{kind}-"), F.col(key), F.lit(suffix))
+    texts = V.table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    first = texts.select(named("txt/doc", "doc_id", ".txt").alias("name"), F.col("text").alias("content"))
+    pages = V.table(spark, sf_dir, "pages").select(named("web/page", "page_id", ".html").alias("name"), F.col("html").alias("content"))
+    items = V.table(spark, sf_dir, "benchmark").select(named("word/item", "item_id", ".docx").alias("name"), F.col("text").alias("content"))
+    V.write_files(first.unionByName(pages).unionByName(items), folder)
+    options = dict(min_chars=80, max_chars=1200, lang="en")
+    jobs.run_document_import(spark, folder, out, state_folder, **options)
+    V.write_files(texts.select(named("txt/doc", "doc_id", ".txt").alias("name"), F.concat(
+        "text", F.lit(LATER), F.col("doc_id")).alias("content")), folder)
+    jobs.run_document_import(spark, folder, out, state_folder, **options)
+    back = jsonl.read_examples(spark, out, ("source", "lang"))
+    return back.select(F.regexp_extract("source", r"([^/]+)\.[a-z]+$", 1).alias("source"), "lang", chat())
+
+
 def document_texts(spark, sf_dir):
     """Text extraction by suffix: HTML pages and Latin-1 text files."""
     both = V.page_files(spark, sf_dir).unionByName(V.latin1_files(spark, sf_dir))
@@ -626,7 +647,7 @@ ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         reply_chain_dialog, style_examples, temporal_holdout, post_import, post_import_plain, archive_posts, archive_files,
         thread_order, ancestor_chain, ancestor_chain_bounded, thread_examples, thread_examples_no_self,
         thread_examples_full, doc_paragraphs, doc_chunks, doc_topics, docs_changed_files, docs_new_chunks,
-        docs_prune_state, docs_manifest, document_import, document_texts, sync_new_posts, sync_high_water,
+        docs_prune_state, docs_manifest, document_import, document_import_files, document_texts, sync_new_posts, sync_high_water,
         api_page_posts, sync_stream, sync_job, existing_ids, unseen_events, unify_merge_roles, unify_alternation,
         unify_filter_rt, quality_report, turn_histogram, dialog_keys, unify_dedup, source_composition,
         unify_keep_keys, unify_datasets, unify_generic, unify_report, shuffle_order, split_train_eval,

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from talkloom.functions.messages import message
@@ -154,3 +160,37 @@ def answers_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("source_file"),
         F.col("doc_id").alias("ord"),
     )
+
+
+def _writer(folder: str):
+    """Rows (name, content) to files below the folder, in whatever store it is."""
+
+    def write(batches):
+        store, base = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                path = f"{base}/{name}"
+                store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                if name.endswith(".docx"):
+                    content = docx(content.decode())
+                with store.open_output_stream(path) as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["written"])
+
+    return write
+
+
+def docx(text: str) -> bytes:
+    """A document with one paragraph per line."""
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    lines = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in text.split("\n"))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as package:
+        package.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{lines}</w:body></w:document>')
+    return packed.getvalue()
+
+
+def write_files(files: DataFrame, folder: str) -> int:
+    """Write each row (name, content as text) as a file of its own; returns how many."""
+    rows = files.where(F.col("content").isNotNull()).select("name", F.col("content").cast("binary").alias("content"))
+    return rows.mapInArrow(_writer(folder), "written long").agg(F.sum("written")).first()[0] or 0

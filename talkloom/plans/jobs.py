@@ -12,11 +12,11 @@ from talkloom.operators import documents as docs, posts as post_ops, sync, threa
 from talkloom.operators.examples import DEFAULT_KEEP, dedup_examples, drop_generic, normalize_examples, shuffled
 from talkloom.operators.quality import quality_report, source_composition
 from talkloom.operators.ranks import split, tail_split
-from talkloom.session import materialise
+from talkloom.session import materialise, materialise_all
 from talkloom.sources import jsonl
 from talkloom.sources.api_pages import landed_pages, page_posts, put_aside, rejected_pages
 from talkloom.sources.archive import read_post_archive
-from talkloom.sources.documents import extract_text, list_documents, read_documents
+from talkloom.sources.documents import extract_text, list_documents, read_batches, read_documents
 from talkloom.sources.state import append_posts, ledger_ids, load_state, open_state, publish_state, seed_ledger
 
 SYNC_STATE = "start_time string"
@@ -78,6 +78,13 @@ def import_documents(
     Files without text are left out of the manifest and come up again.
     """
     rows = materialise(docs.split_documents(changed, min_chars, max_chars), "document-chunks")
+    return import_chunks(rows, manifest, scanned, lang, delete_missing)
+
+
+def import_chunks(
+    rows: DataFrame, manifest: DataFrame, scanned: DataFrame, lang: str = "", delete_missing: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(new examples, next manifest) from the paragraphs of changed documents, which are read several times."""
     chunks = rows.where(F.col("paragraph").isNotNull()).select("path", "pos", "paragraph", "chunk_hash")
     examples = docs.document_examples(docs.new_chunks(chunks, manifest), lang)
     return examples, docs.next_manifest(manifest, docs.manifest_entries(rows), scanned, delete_missing)
@@ -167,14 +174,21 @@ def run_thread_import(
     return {"written": seen.get["rows"]}
 
 
-def run_document_import(spark: SparkSession, root: str, out: str, state: str, **options) -> dict[str, int]:
-    """Append the new paragraphs of changed documents, then publish the manifest."""
+def run_document_import(
+    spark: SparkSession, root: str, out: str, state: str, min_chars: int = 80, max_chars: int = 1200, lang: str = "",
+    delete_missing: bool = False,
+) -> dict[str, int]:
+    """Append the new paragraphs of changed documents, then publish the manifest.
+
+    Changed files are read in batches, each by a scan of exactly these, and only their paragraphs are kept.
+    """
     now = open_state(spark, state)
     manifest = load_state(spark, now, docs.MANIFEST)
     scanned = materialise(list_documents(spark, root), "scanned-documents")
     changed = materialise(docs.changed_files(scanned, manifest), "changed-documents")
-    texts = extract_text(read_documents(spark, root, changed))
-    examples, next_manifest = import_documents(texts, manifest, scanned, **options)
+    cut = lambda files: docs.split_documents(extract_text(files), min_chars, max_chars)
+    rows = materialise_all(spark, map(cut, read_batches(spark, changed)), cut(read_documents(spark, root)).schema, "document-chunks")
+    examples, next_manifest = import_chunks(rows, manifest, scanned, lang, delete_missing)
     examples, seen = counted(_in_order(examples, "ord"), "appended")
     jsonl.write_batch(examples, out, now.batch)
     publish_state(next_manifest, now)

@@ -63,8 +63,7 @@ def test_only_changed_contents_are_read(spark, folder):
     changed = listed.where(F.endswith("path", F.lit(".md")))
     got = S.read_documents(spark, str(folder), changed)
     assert set(names(S.extract_text(got))) == {"b.md"}
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(modificationTime), IsNotNull(length), GreaterThanOrEqual(modificationTime" in plan
+    assert [f.rsplit("/", 1)[1] for f in got.inputFiles()] == ["b.md"]
     assert S.read_documents(spark, str(folder), listed.where("false")).count() == 0
 
 
@@ -119,3 +118,27 @@ def test_a_repeated_run_replaces_its_own_batch(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     assert run(spark, tmp_path) == (1, {"a.txt": 1})
     assert jsonl.read_examples(spark, str(tmp_path / "docs.jsonl")).count() == 1
+
+
+def test_batches_are_cut_by_files_and_bytes(spark, monkeypatch):
+    monkeypatch.setattr(S, "BATCH_FILES", 3)
+    monkeypatch.setattr(S, "BATCH_BYTES", 100)
+    listed = spark.createDataFrame([(f"f{i}", size) for i, size in enumerate([10, 10, 10, 10, 95, 5, 500, 1, 1])], "path string, size long").coalesce(1)
+    assert [b for b in S.path_batches(listed)] == [["f0", "f1", "f2"], ["f3"], ["f4", "f5"], ["f6"], ["f7", "f8"]]
+    assert list(S.path_batches(listed.limit(0))) == []
+
+
+def test_changed_files_alone_are_opened_and_no_content_is_shuffled(spark, tmp_path, monkeypatch):
+    names = ["plain.txt", "sp ace [1].txt", "st*r?.md", "br{a,b}ce.txt", "per%41cent+.txt", "é.txt"]
+    for name in [*names, "unchanged.txt"]:
+        (tmp_path / name).write_text(f"text of {name}")
+    monkeypatch.setattr(S, "BATCH_FILES", 2)
+    listed = S.list_documents(spark, str(tmp_path))
+    changed = listed.where(~F.col("path").endswith("unchanged.txt"))
+    parts = list(S.read_batches(spark, changed))
+    assert len(parts) == 3 and sum(len(p.inputFiles()) for p in parts) == len(names)
+    found = S.extract_text(S.read_documents(spark, str(tmp_path), changed))
+    assert {r.path.rsplit("/", 1)[1]: r.text for r in found.collect()} == {name: f"text of {name}" for name in names}
+    for part in parts:
+        cut = D.split_documents(S.extract_text(part))
+        assert "Exchange" not in cut._jdf.queryExecution().executedPlan().toString()
