@@ -484,7 +484,10 @@ SELECT 'eval.jsonl' AS source_file, cast(e AS bigint) AS written, cast(e AS bigi
 UNION ALL SELECT 'train.jsonl', cast(n - e AS bigint), cast(n - e AS bigint) FROM n
 UNION ALL SELECT 'user: {STYLE_PROMPT}' || chr(10) || 'model: ' || text, 0, count(*) FROM documents GROUP BY text""",
     "state_snapshots": ctes(FILES, *MANIFEST)
-    + "SELECT path, size, 2 AS version FROM manifest WHERE path IN (SELECT path FROM files)",
+    + """, s0 AS (SELECT path, size FROM manifest WHERE path IN (SELECT path FROM files)),
+s1 AS (SELECT path, size + CASE WHEN size % 2 = 0 THEN 1 ELSE 0 END AS size FROM s0),
+s2 AS (SELECT path, size + CASE WHEN size % 3 = 0 THEN 1 ELSE 0 END AS size FROM s1)
+SELECT path, size + CASE WHEN size % 4 = 0 THEN 1 ELSE 0 END AS size, 5 AS version, 3 AS base FROM s2""",
     "unify_typed_keys": ctes(DOC_ANSWERS) + r"""SELECT concat('"number":', doc_id, ',"big":', repeat('1234567890', 5), doc_id, ',"exact":', doc_id, '.50',
   ',"odd":NaN,"word":"', doc_id, '","nothing":null,"nested":{"z": [', doc_id, ', -0.0], "a": "', coalesce(lang, 'null'),
   '", "a": "\u00e9\"}"}') AS kept, false AS absent

@@ -582,15 +582,24 @@ def split_lines(spark, sf_dir):
 
 
 def state_snapshots(spark, sf_dir):
-    """The second published manifest is the one loaded."""
+    """A manifest over five versions, of which the third is written whole: new, pruned, and three times changed."""
     folder = new_folder(spark, "state")
-    manifest = _manifest(spark, sf_dir)
-    now = state.publish_state(manifest, state.open_state(spark, folder))
-    pruned = D.prune_manifest(state.load_state(spark, now, D.MANIFEST), V.document_files(spark, sf_dir))
-    state.publish_state(pruned, now)
-    again = state.open_state(spark, folder)
-    loaded = state.load_state(spark, again, D.MANIFEST)
-    return loaded.select("path", "size", F.lit(again.version).cast("bigint").alias("version"))
+    live = F.lit(False).alias("gone")
+
+    def publish(changes):
+        return state.publish_changes(changes, state.open_state(spark, folder), D.MANIFEST, compact_after=3)
+
+    def loaded():
+        return state.load_state(spark, state.open_state(spark, folder), D.MANIFEST)
+
+    publish(_manifest(spark, sf_dir).select("*", live))
+    scanned = V.document_files(spark, sf_dir)
+    publish(D.manifest_changes(loaded(), loaded().where("false"), scanned, delete_missing=True))
+    for step in range(3):
+        changed = loaded().where(F.col("size") % (step + 2) == 0)
+        publish(changed.withColumn("size", F.col("size") + 1).select("*", live))
+    last = state.open_state(spark, folder)
+    return loaded().select("path", "size", F.lit(last.version).cast("bigint").alias("version"), F.lit(last.base).cast("bigint").alias("base"))
 
 
 def unify_files(spark, sf_dir):

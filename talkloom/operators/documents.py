@@ -77,3 +77,16 @@ def next_manifest(
     """Old rows replaced by the new entries, optionally without vanished files."""
     merged = manifest.join(entries.select("path"), "path", "left_anti").unionByName(entries)
     return prune_manifest(merged, scanned) if delete_missing else merged
+
+
+def manifest_changes(
+    manifest: DataFrame, entries: DataFrame, scanned: DataFrame, delete_missing: bool = False
+) -> DataFrame:
+    """What turns the manifest into :func:`next_manifest`: the new entries and, with gone, files that are no more."""
+    changes = entries.withColumn("gone", F.lit(False))
+    if not delete_missing:
+        return changes
+    # An entry of a file that vanished meanwhile is old news too.
+    seen = changes.join(scanned.select("path"), "path", "left_semi")
+    missing = manifest.join(scanned.select("path"), "path", "left_anti")
+    return seen.unionByName(missing.withColumn("gone", F.lit(True)))

@@ -17,7 +17,7 @@ from talkloom.sources import jsonl
 from talkloom.sources.api_pages import landed_pages, page_posts, put_aside, rejected_pages
 from talkloom.sources.archive import read_post_archive
 from talkloom.sources.documents import extract_text, list_documents, read_batches, read_documents
-from talkloom.sources.state import append_posts, ledger_ids, load_state, open_state, publish_state, seed_ledger
+from talkloom.sources.state import append_posts, ledger_ids, load_state, open_state, publish_changes, publish_state, seed_ledger
 
 SYNC_STATE = "start_time string"
 
@@ -78,16 +78,13 @@ def import_documents(
     Files without text are left out of the manifest and come up again.
     """
     rows = materialise(docs.split_documents(changed, min_chars, max_chars), "document-chunks")
-    return import_chunks(rows, manifest, scanned, lang, delete_missing)
+    return chunk_examples(rows, manifest, lang), docs.next_manifest(manifest, docs.manifest_entries(rows), scanned, delete_missing)
 
 
-def import_chunks(
-    rows: DataFrame, manifest: DataFrame, scanned: DataFrame, lang: str = "", delete_missing: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """(new examples, next manifest) from the paragraphs of changed documents, which are read several times."""
+def chunk_examples(rows: DataFrame, manifest: DataFrame, lang: str = "") -> DataFrame:
+    """Examples of the paragraphs that the manifest does not hold."""
     chunks = rows.where(F.col("paragraph").isNotNull()).select("path", "pos", "paragraph", "chunk_hash")
-    examples = docs.document_examples(docs.new_chunks(chunks, manifest), lang)
-    return examples, docs.next_manifest(manifest, docs.manifest_entries(rows), scanned, delete_missing)
+    return docs.document_examples(docs.new_chunks(chunks, manifest), lang)
 
 
 def unify(
@@ -188,10 +185,9 @@ def run_document_import(
     changed = materialise(docs.changed_files(scanned, manifest), "changed-documents")
     cut = lambda files: docs.split_documents(extract_text(files), min_chars, max_chars)
     rows = materialise_all(spark, map(cut, read_batches(spark, changed)), cut(read_documents(spark, root)).schema, "document-chunks")
-    examples, next_manifest = import_chunks(rows, manifest, scanned, lang, delete_missing)
-    examples, seen = counted(_in_order(examples, "ord"), "appended")
+    examples, seen = counted(_in_order(chunk_examples(rows, manifest, lang), "ord"), "appended")
     jsonl.write_batch(examples, out, now.batch)
-    publish_state(next_manifest, now)
+    publish_changes(docs.manifest_changes(manifest, docs.manifest_entries(rows), scanned, delete_missing), now, docs.MANIFEST)
     return {"appended": seen.get["rows"]}
 
 

@@ -112,7 +112,7 @@ def test_incremental_import(spark, tmp_path):
 
 def test_a_repeated_run_replaces_its_own_batch(spark, tmp_path, monkeypatch):
     write(tmp_path / "docs/a.txt", "first one")
-    monkeypatch.setattr(jobs, "publish_state", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    monkeypatch.setattr(jobs, "publish_changes", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
     with pytest.raises(RuntimeError):
         run(spark, tmp_path)
     monkeypatch.undo()
