@@ -14,19 +14,34 @@ BASIC_DATE = r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])"
 BASIC_TIME = r"(?<=[T ])(\d{2})(\d{2})(?:(\d{2}))?(?=$|[.,+-])"
 HOUR_ONLY = r"([T ]\d{2})(?=$|[+-])"
 NO_SECONDS = r"([T ]\d{1,2}:\d{1,2})(?=$|[+-])"
+WEEK_DATE = r"^(\d{4})(?:-W(\d{2})(?:-(\d))?|W(\d{2})(\d)?)(?=$|[T ])"
+HOUR_OFFSET = r"([T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?[+-]\d{2})$"
 ISO_DATE = r"\d{4}-\d{1,2}-\d{1,2}"
 ISO_TIME = r"\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?"
 ISO_FORM = rf"^{ISO_DATE}(?:[T ]{ISO_TIME}(?:[+-]\d{{2}}:?\d{{2}})?)?$"
 
 
+def _week_date(raw: Column) -> Column:
+    """The calendar date of a year, week and weekday (Monday unless given); null where there is none."""
+    group = lambda *numbers: F.concat(*[F.regexp_extract(raw, WEEK_DATE, n) for n in numbers])
+    week = group(2, 4).try_cast("int")
+    day = F.coalesce(F.nullif(group(3, 5), F.lit("")).try_cast("int"), F.lit(1))
+    # The fourth of January lies in the first week.
+    first = F.trunc(F.concat(group(1), F.lit("-01-04")).try_cast("date"), "week")
+    date = F.date_add(first, (week - 1) * 7 + day - 1)
+    return F.when((F.weekofyear(date) == week) & day.between(1, 7), date.cast("string"))
+
+
 def _extended(raw: Column) -> Column:
-    """ISO forms without dashes and colons, with hours only or a decimal comma, written out; others as they are."""
-    dated = F.regexp_replace(raw, BASIC_DATE, "$1-$2-$3")
+    """ISO forms without dashes and colons, of week dates, with hours only or a decimal comma, written out; others as they are."""
+    by_week = F.concat(_week_date(raw), F.regexp_replace(raw, WEEK_DATE, ""))
+    dated = F.when(F.rlike(raw, F.lit(WEEK_DATE)), by_week).otherwise(F.regexp_replace(raw, BASIC_DATE, "$1-$2-$3"))
     timed = F.regexp_replace(dated, BASIC_TIME, "$1:$2:$3")
     seconds = F.regexp_replace(timed, r"(?<=[T ]\d{2}:\d{2}):(?=$|[.,+-])", ":00")
     hours = F.regexp_replace(seconds, HOUR_ONLY, "$1:00")
     whole = F.regexp_replace(hours, NO_SECONDS, "$1:00")
-    return F.when(F.rlike(raw, F.lit(r"^\d")), F.replace(whole, F.lit(","), F.lit("."))).otherwise(raw)
+    pointed = F.regexp_replace(F.replace(whole, F.lit(","), F.lit(".")), HOUR_OFFSET, "$1:00")
+    return F.when(F.rlike(raw, F.lit(r"^\d")), pointed).otherwise(raw)
 
 
 def parse_ts(c: Column) -> Column:

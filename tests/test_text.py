@@ -185,3 +185,25 @@ def test_iso_and_weekday_forms(apply):
         "20240101T1010": at(2024, 1, 1, 10, 10), "2024-01-01T10+01:00": at(2024, 1, 1, 9), "2018": None, "10:00": None,
     }
     assert dict(zip(forms, apply(lambda c: F.unix_seconds(parse_ts(c)), list(forms)))) == forms
+
+
+def test_week_dates_and_hour_offsets(spark, apply):
+    from datetime import datetime, timezone
+
+    from pyspark.sql import functions as F
+
+    from talkloom.functions.times import parse_ts
+
+    forms = ["2024-01-01 10:10:10+02", "2024-W01-1", "2024W011", "2024-W01", "2024W01T10", "2020-W53-7 23:59:59+0530", "2021-W53-1", "2021-W00-1",
+             "2024-W01-8", "2024-W01-0", "2026-W53-7T01:02:03.5-08", "2024-01-01T10:10-03", "20240101T101010+02", "2024-W1-1",
+             "1:2:3+02", "2024-01-01 1:02:03+02", "2024-01-01 10:10:10+2", "2009-W01-1", "2024-W52-7T10:10:10,25+02"]
+
+    def plain(text):
+        try:
+            at = datetime.fromisoformat(text)
+        except ValueError:
+            return None
+        return (at if at.tzinfo else at.replace(tzinfo=timezone.utc)).timestamp()
+
+    found = apply(lambda c: F.unix_micros(parse_ts(c)) / 1e6, forms)
+    assert dict(zip(forms, found)) == {f: plain(f) for f in forms}
