@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkloom.llm.stages import encode, mix, near_duplicates, repeated_lines, toxic
+from talkloom.llm.stages import encode, forget, mix, near_duplicates, repeated_lines, toxic
 from talkloom.session import shared_folder
 
 STAGES = [
@@ -22,11 +22,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of documents after all stages, each stored as Parquet and read again."""
+    """What is left of documents after all stages, each stored as Parquet and read again.
+
+    Once a stage's result is stored, its intermediate tables are removed.
+    """
     folder = f"{shared_folder(spark)}/pipeline/{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         kept = stage(spark, docs, sf_dir)
         kept.write.parquet(f"{folder}/{number}")
         docs = spark.read.schema(kept.schema).parquet(f"{folder}/{number}")
+        forget(spark)
     return docs

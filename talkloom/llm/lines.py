@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from talkloom.llm.bitmaps import may_be_in
-from talkloom.operators.lookup import lookup
+from talkloom.operators.lookup import free_name, lookup
 from talkloom.operators.once import compute_once
 from talkloom.session import materialise
 
@@ -48,12 +48,13 @@ def _halves(line: Column) -> list[Column]:
     return found
 
 
-def _versions(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``documents`` with doc and version under ``_doc`` and ``_version``: a hash of the text, or 0 where no other row can have the id."""
-    named = documents.withColumn("_doc", F.col(doc_id).cast("long"))
-    twice = materialise(named.where("_doc IS NOT NULL").groupBy("_doc").agg(F.count("*").alias("n")).where("n > 1").select("_doc"), "repeated_ids")
-    several = F.coalesce(may_be_in(F.col("_doc"), twice, "_doc"), F.lit(False))
-    return named.withColumn("_version", F.when(several, F.coalesce(F.xxhash64(text), F.lit(0))).otherwise(F.lit(0)).cast("long"))
+def _versions(documents: DataFrame, doc_id: str, text: str, doc: str, version: str) -> DataFrame:
+    """``documents`` with doc and version under these names: a hash of the text, or 0 where no other row can have the id."""
+    named = documents.withColumn(doc, F.col(doc_id).cast("long"))
+    ids = named.select(F.col(doc).alias("doc"))
+    twice = materialise(ids.where("doc IS NOT NULL").groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "repeated_ids")
+    several = F.coalesce(may_be_in(F.col(doc), twice, "doc"), F.lit(False))
+    return named.withColumn(version, F.when(several, F.coalesce(F.xxhash64(text), F.lit(0))).otherwise(F.lit(0)).cast("long"))
 
 
 def _numbered(documents: DataFrame, least: int) -> DataFrame:
@@ -163,11 +164,12 @@ def repeated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     in one stays at the same place of the other. Each version, told by a hash of its text,
     has its own line numbers. Rows without id or text have no lines.
     """
-    return _repeated(_versions(documents, doc_id, text), text, min_chars, exact_chars)
+    doc, version = free_name("_doc", documents), free_name("_version", documents)
+    return _repeated(_versions(documents, doc_id, text, doc, version), doc, version, text, min_chars, exact_chars)
 
 
-def _repeated(versions: DataFrame, text: str, min_chars: int, exact_chars: int | None) -> DataFrame:
-    named = versions.select(F.col("_doc").alias("doc"), F.col("_version").alias("version"), F.col(text).alias("text"))
+def _repeated(versions: DataFrame, doc: str, version: str, text: str, min_chars: int, exact_chars: int | None) -> DataFrame:
+    named = versions.select(F.col(doc).alias("doc"), F.col(version).alias("version"), F.col(text).alias("text"))
     line = F.col("line")
     least = min_chars if exact_chars is None else min(min_chars, max(1, exact_chars))
     halves = F.when(F.length(line) >= min_chars, F.array_distinct(F.array(*_halves(line))))
@@ -186,22 +188,25 @@ def dedup(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", drop
     """``documents`` with the remaining lines as ``text`` and the number of lines left out as ``dropped``.
 
     Null texts stay null; a text of which no line remains is empty. :func:`repeated` tells which lines go.
+    A column of that name in ``documents`` is replaced by ``dropped``; all others come back as they are.
     """
-    keyed = _versions(documents, doc_id, text)
-    gone = materialise(_repeated(keyed, text, min_chars, exact_chars).select(
-        F.col("doc").alias("_doc"), F.col("version").alias("_version"), F.col("dropped").alias("_gone")), "dropped_lines")
+    doc, version, gone, lines = (free_name(name, documents) for name in ("_doc", "_version", "_gone", "_lines"))
+    keyed = _versions(documents, doc_id, text, doc, version)
+    found = materialise(_repeated(keyed, doc, version, text, min_chars, exact_chars).select(
+        F.col("doc").alias(doc), F.col("version").alias(version), F.col("dropped").alias(gone)), "dropped_lines")
     # Only texts that may lose a line are shuffled.
-    touched = F.coalesce(may_be_in(F.col("_doc"), gone, "_doc"), F.lit(False))
-    joined = lookup(keyed.where(touched), gone.hint("shuffle_hash"), ["_doc", "_version"])
-    untouched = keyed.where(~touched).select(*documents.columns, F.lit(0).cast("long").alias(dropped))
+    touched = F.coalesce(may_be_in(F.col(doc), found, doc), F.lit(False))
+    joined = lookup(keyed.where(touched), found.hint("shuffle_hash"), [doc, version])
+    others = [c for c in documents.columns if c != dropped]
+    untouched = keyed.where(~touched).select(*others, F.lit(0).cast("long").alias(dropped))
     pieces = F.split(F.col(text), "\n")
     places = F.sequence(F.lit(0), F.size(pieces) - 1)
-    stays = F.array_except(places, F.col("_gone"))
-    rest = F.array_join(F.transform(stays, lambda i: F.get(F.col("_lines"), i)), "\n")
-    marked = compute_once(joined, "_lines", F.when(F.col("_gone").isNotNull(), pieces))
+    stays = F.array_except(places, F.col(gone))
+    rest = F.array_join(F.transform(stays, lambda i: F.get(F.col(lines), i)), "\n")
+    marked = compute_once(joined, lines, F.when(F.col(gone).isNotNull(), pieces))
     count = F.coalesce(F.size(pieces) - F.size(stays), F.lit(0)).cast("long")
+    same = F.col(gone).isNull() | F.col(text).isNull()
     changed = marked.select(
-        *[F.when(F.col("_gone").isNull() | F.col(text).isNull(), F.col(text)).otherwise(rest).alias(c) if c == text else F.col(c)
-          for c in documents.columns],
-        F.when(F.col("_gone").isNull() | F.col(text).isNull(), F.lit(0).cast("long")).otherwise(count).alias(dropped))
+        *[F.when(same, F.col(text)).otherwise(rest).alias(c) if c == text else F.col(c) for c in others],
+        F.when(same, F.lit(0).cast("long")).otherwise(count).alias(dropped))
     return changed.unionByName(untouched)

@@ -15,17 +15,19 @@ from __future__ import annotations
 import logging
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from talkloom.operators.lookup import lookup
+from talkloom.operators.lookup import free_name, lookup
 from talkloom.session import materialise
 
 ROUNDS = 10
 #: With a bound, raking goes on until every margin is within it of its target, relative to the target. It
-#: ends too after MOST_ROUNDS, or when a round neither lowers the largest error by a hundredth of it nor
-#: changes the sum of all errors by more than the bound: targets of values that only occur together can
+#: ends too after MOST_ROUNDS, or when STORED rounds neither lower the largest error by a hundredth of it nor
+#: change the sum of all errors by more than the bound: targets of values that only occur together can
 #: contradict each other.
 BOUND, MOST_ROUNDS = 0.001, 50
+#: Rounds between two stored tables.
+STORED = 5
 #: Share of all tokens that the registered query and the pipeline keep.
 KEEP = 0.9
 #: Default target: a value's share is in proportion to its tokens to this power.
@@ -84,38 +86,63 @@ def margins(cells: DataFrame, targets: dict[str, DataFrame], weight: Column) ->
     return found.withColumn("error", F.when(F.col("share") > 0, F.col("reached") / F.col("share") - 1))
 
 
+def _raked_once(cells: DataFrame, dimensions: Sequence[str], total: float) -> DataFrame:
+    """``cells`` after one round: the weights scaled to the share of each dimension in turn."""
+    for dimension in dimensions:
+        now = F.sum("weight").over(Window.partitionBy(dimension))
+        share = F.col(f"_share_{dimension}")
+        cells = cells.withColumn("weight", F.when(now > 0, F.col("weight") * (share * total / now)).otherwise(0.0))
+    return cells
+
+
+def _with_errors(cells: DataFrame, dimensions: Sequence[str], total: float) -> DataFrame:
+    """``cells`` with the largest error of their values, and the sum of all values' errors spread over cells."""
+    largest, shared = F.lit(0.0), F.lit(0.0)
+    for dimension in dimensions:
+        # Values without tokens cannot reach a share.
+        value = Window.partitionBy(dimension)
+        counted = F.sum(F.when(F.col("tokens") > 0, 1.0)).over(value)
+        share = F.col(f"_share_{dimension}") * total
+        error = F.when((F.col("tokens") > 0) & (share > 0), F.abs(F.sum("weight").over(value) / share - 1))
+        cells = cells.withColumn(f"_error_{dimension}", error).withColumn(f"_part_{dimension}", error / counted)
+        largest = F.greatest(largest, F.coalesce(F.col(f"_error_{dimension}"), F.lit(0.0)))
+        shared = shared + F.coalesce(F.col(f"_part_{dimension}"), F.lit(0.0))
+    return cells.withColumn("_error", largest).withColumn("_errors", shared).drop(
+        *[f"_{c}_{d}" for d in dimensions for c in ("error", "part")])
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, bound: float | None = None) -> DataFrame:
     """``cells`` (the dimensions, tokens) with ``weight``, raked to ``targets`` (value, share per dimension).
 
     The weights sum up to the tokens of all cells. Values without a target get no weight;
     targets without a cell are left out, and the rest is scaled to fill their place.
     With a ``bound``, rounds go on until the largest error of :func:`margins` is within it, see BOUND;
-    an error that is left is logged.
+    an error that is left is logged. The table is stored every STORED rounds, which are window sums in one plan.
     """
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    stored = {d: materialise(t, f"target_{d}") for d, t in targets.items()}
-    raked = materialise(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
-    last = None
-    for number in range(rounds if bound is None else MOST_ROUNDS):
-        for dimension, target in stored.items():
-            now = raked.groupBy(F.col(dimension).alias("value")).agg(F.sum("weight").alias("now"))
-            factor = now.join(target, "value", "left").select(
-                F.col("value").alias(dimension),
-                F.when(F.col("now") > 0, F.coalesce("share", F.lit(0.0)) * total / F.col("now")).otherwise(0.0).alias("_factor"))
-            raked = lookup(raked, factor, dimension).withColumn("weight", F.col("weight") * F.col("_factor")).drop("_factor")
-        raked = materialise(raked, f"cells_{number}")
-        if bound is not None:
-            # Values without tokens cannot reach a share.
-            error, errors = margins(raked.where("tokens > 0"), stored, F.col("weight")).agg(
-                F.coalesce(F.max(F.abs("error")), F.lit(0.0)), F.coalesce(F.sum(F.abs("error")), F.lit(0.0))).first()
-            if error <= bound:
-                return raked
-            if last is not None and error > 0.99 * last[0] and abs(last[1] - errors) <= bound:
-                break
-            last = error, errors
-    if last is not None:
-        log.warning("raking ended after %d rounds with a margin %.3g off its target, relative to it", number + 1, error)
-    return raked
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    dimensions, columns = list(targets), cells.columns
+    raked = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for dimension, target in targets.items():
+        share = target.select(F.col("value").alias(dimension), F.col("share").alias(f"_share_{dimension}"))
+        raked = lookup(raked, share, dimension).fillna(0.0, [f"_share_{dimension}"])
+    raked = materialise(raked, "cells")
+    most, done, last, error = rounds if bound is None else MOST_ROUNDS, 0, None, None
+    while done < most:
+        step = min(STORED, most - done)
+        for _ in range(step):
+            raked = _raked_once(raked, dimensions, total)
+        done += step
+        raked = materialise(_with_errors(raked, dimensions, total) if bound is not None else raked, f"cells_{done}")
+        if bound is None:
+            continue
+        error, errors = raked.agg(F.coalesce(F.max("_error"), F.lit(0.0)), F.coalesce(F.sum("_errors"), F.lit(0.0))).first()
+        raked = raked.drop("_error", "_errors")
+        if error <= bound or last is not None and error > 0.99 * last[0] and abs(last[1] - errors) <= bound:
+            break
+        last = error, errors
+    if bound is not None and error is not None and error > bound:
+        log.warning("raking ended after %d rounds with a margin %.3g off its target, relative to it", done, error)
+    return raked.select(*columns, "weight")
 
 
 def scale_to(rated: DataFrame, keep: float) -> float:
@@ -190,11 +217,13 @@ def mix(described: DataFrame, dimensions: Sequence[str] = ("source", "lang", "to
     """``described`` with weight (raked tokens), probability and sampled for every row.
 
     A document's id alone decides its draw: rows with the same id, source, language and
-    topic are sampled together.
+    topic are sampled together. Columns of these three names in ``described`` are replaced.
     """
-    rated = rates(described, dimensions, targets, rounds, keep, bound).withColumn("_cell", F.xxhash64(*dimensions))
-    cell = described.withColumn("_cell", F.xxhash64(*dimensions))
-    joined = lookup(cell, rated, [*dimensions, "_cell"]).drop("_cell")
+    cell, rate, share = (free_name(name, described) for name in ("_cell", "_rate", "_probability"))
+    rated = rates(described, dimensions, targets, rounds, keep, bound).select(
+        *dimensions, F.xxhash64(*dimensions).alias(cell), F.col("rate").alias(rate), F.col("probability").alias(share))
+    joined = lookup(described.withColumn(cell, F.xxhash64(*dimensions)), rated, [*dimensions, cell])
     return joined.select(
-        *described.columns, (F.col("tokens") * F.coalesce("rate", F.lit(0.0))).alias("weight"), "probability",
-        (uniform(F.col("doc_id"), salt) < F.col("probability")).alias("sampled"))
+        *[c for c in described.columns if c not in ("weight", "probability", "sampled")],
+        (F.col("tokens") * F.coalesce(rate, F.lit(0.0))).alias("weight"), F.col(share).alias("probability"),
+        (uniform(F.col("doc_id"), salt) < F.col(share)).alias("sampled"))

@@ -1,0 +1,109 @@
+"""Stages and run() on odd tables: names that clash, nulls everywhere, no rows, repeated rows, a very long text."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from talkloom.llm import stages as S
+from talkloom.llm import lines as L, mixing as M
+from talkloom.session import drop_folder, materialise, scratch
+
+#: Names that operators use inside, or used to.
+INSIDE = ["_doc", "_version", "_gone", "_lines", "_first", "_n", "_p", "_source", "_lang", "_topic", "_score", "_toxicity", "_dropped",
+          "_key_hash", "_cell", "_rate", "_probability", "_nth", "doc", "version", "line", "leaf", "class", "held", "positive", "weight", "part"]
+
+
+def table(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.withColumns({name: F.concat(F.lit(f"{name} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for name in INSIDE})
+
+
+def rows_of(seed):
+    rng = random.Random(seed)
+    rows = [(i, "\n".join(" ".join("w%d" % rng.randrange(500) for _ in range(9)) for _ in range(4)), "en", f"s{i % 3}", 1) for i in range(40)]
+    rows += [(50, rows[3][1], "en", "s1", 1), (51, None, None, None, None), (52, "", "de", "s2", 0), (None, "no id", None, "s1", 5), (None, None, None, None, None)]
+    return rows + [rows[5], rows[5], (53, "long words here " * 70_000, "en", "s0", None), (54, "x" * 300_000, "en", "s0", None)]
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(30)] + [(None, None, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def same_columns(docs, kept):
+    assert kept.columns == docs.columns
+    for row in kept.collect():
+        for name in INSIDE:
+            assert row[name] == f"{name} {'none' if row.doc_id is None else row.doc_id}"
+
+
+def test_stages_leave_other_columns_alone(spark, folder):
+    docs = materialise(table(spark, rows_of(1)), "docs")
+    for work in (S.toxic, S.repeated_lines, S.near_duplicates, S.mix):
+        same_columns(docs, work.__wrapped__(spark, docs, folder))
+    encoded = S.encode.__wrapped__(spark, docs, folder).collect()
+    assert sorted((str(r.doc_id), r.decoded) for r in encoded) == sorted((str(d), t or "") for d, t, *_ in rows_of(1))
+
+
+def test_stages_without_rows(spark, folder):
+    docs = table(spark, []).select("doc_id", "text", "lang", "source", "n_chars")
+    for _, work in corpus_pipeline.STAGES:
+        assert work.__wrapped__(spark, docs, folder).collect() == []
+
+
+def test_run_on_odd_tables(spark, folder):
+    table(spark, rows_of(2)).write.parquet(f"{folder}/documents.parquet")
+    found = corpus_pipeline.run(spark, folder).collect()
+    kept = {r.doc_id for r in found}
+    assert kept <= {d for d, *_ in rows_of(2)} and 51 in kept
+    assert all(r.n_tokens == len(r.ids) for r in found)
+    table(spark, []).write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    assert corpus_pipeline.run(spark, folder).collect() == []
+
+
+def test_operators_replace_only_what_they_return(spark):
+    docs = table(spark, rows_of(3)).withColumn("n_dropped", F.lit("x"))
+    found = L.dedup(docs)
+    assert sorted(found.columns) == sorted(docs.columns) and dict(found.dtypes)["n_dropped"] == "bigint"
+    described = M.describe(table(spark, rows_of(3))).withColumns({"rate": F.lit("x"), "probability": F.lit("y"), "_cell": F.lit("z")})
+    mixed = M.mix(described)
+    assert mixed.count() == len(rows_of(3)) and {r.rate for r in mixed.collect()} == {"x"}
+
+
+def files_below(spark, path):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.exists(where)
+
+
+def test_intermediate_tables_go_when_the_next_stage_starts(spark, folder, tmp_path):
+    S.forget(spark)
+    docs = table(spark, rows_of(4))
+    kept = S.repeated_lines(spark, docs, folder)
+    first, = S._left[spark.sparkContext.applicationId]
+    assert files_below(spark, first)
+    kept.write.parquet(f"{tmp_path}/kept")
+    again = spark.read.parquet(f"{tmp_path}/kept")
+    S.mix(spark, again, folder)
+    assert not files_below(spark, first) and len(S._left[spark.sparkContext.applicationId]) == 1
+    # A result that still reads from them keeps them.
+    lazy = S.repeated_lines(spark, again, folder)
+    second, = S._left[spark.sparkContext.applicationId]
+    S.mix(spark, lazy, folder)
+    assert files_below(spark, second)
+    S.forget(spark)
+    assert not files_below(spark, second)
+
+
+def test_scratch_folders(spark):
+    with scratch(spark, "one") as folder:
+        inside = materialise(spark.range(3), "three")
+    outside = materialise(spark.range(3), "three")
+    assert all(f.split(":", 1)[-1].lstrip("/").startswith(folder.split(":", 1)[-1].lstrip("/")) for f in inside.inputFiles())
+    drop_folder(spark, folder)
+    drop_folder(spark, folder)
+    assert not files_below(spark, folder) and outside.count() == 3
