@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Collection, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -14,10 +15,12 @@ from talkloom.operators.quality import quality_report, source_composition
 from talkloom.operators.ranks import split, tail_split
 from talkloom.session import materialise, materialise_all
 from talkloom.sources import jsonl
-from talkloom.sources.api_pages import landed_pages, page_posts, put_aside, rejected_pages
+from talkloom.sources.api_pages import PAGE_LOG, landed_pages, list_pages, page_posts, put_aside, rejected_pages
 from talkloom.sources.archive import read_post_archive
-from talkloom.sources.documents import extract_text, list_documents, read_batches, read_documents
-from talkloom.sources.state import append_posts, ledger_ids, load_state, open_state, publish_changes, publish_state, seed_ledger
+from talkloom.sources.documents import exactly, extract_text, list_documents, path_batches, read_batches, read_documents
+from talkloom.sources.state import (
+    append_posts, ledger_ids, load_state, merge_ledger, open_state, publish_changes, publish_state, seed_ledger,
+)
 
 SYNC_STATE = "start_time string"
 
@@ -143,21 +146,34 @@ def run_post_sync(
 
     A malformed page stops the run, unless there is a folder ``rejects``, to which it then goes before the mark moves.
     """
-    now, ledger = open_state(spark, state), f"{state}/ids"
+    now, ledger = open_state(spark, state), f"{state}/id-buckets"
     seed_ledger(spark, ledger, out, now.generation)
+    merge_ledger(spark, ledger, now.batch)
     saved = load_state(spark, now, SYNC_STATE).first()
     mark = saved.start_time if saved else sync.START_OF_TIME
-    landed = landed_pages(spark, pages, keep_malformed=bool(rejects))
+    # Page files are read once. Their log follows the mark: what a crash keeps out of it is read again.
+    log_state = open_state(spark, f"{state}/pages")
+    handled, listed = load_state(spark, log_state, PAGE_LOG), materialise(list_pages(spark, pages), "listed-pages")
+    fresh = materialise(listed.join(handled, ["path", "mtime", "size"], "left_anti"), "fresh-pages")
+    batches = list(path_batches(fresh))
+    if not batches:
+        return {"appended": 0}
+    landed = [landed_pages(spark, [exactly(path) for path in batch], keep_malformed=bool(rejects)) for batch in batches]
+    landed = reduce(DataFrame.unionByName, landed)
     if rejects:
-        put_aside(rejected_pages(landed), rejects, now.batch)
+        put_aside(rejected_pages(landed), rejects, f"{log_state.batch}")
     feed = page_posts(landed, mark, include_replies)
-    examples, next_mark = sync_posts(feed, ledger_ids(spark, ledger, now.batch), mark, **options)
-    if examples.isEmpty():
-        return {"appended": 0}
-    examples, seen = counted(_in_order(examples, "ord"), "appended")
-    append_posts(examples, out, ledger, now.batch)
-    publish_state(next_mark, now)
-    return {"appended": seen.get["rows"]}
+    known = ledger_ids(spark, ledger, now.batch, among=feed.select(sync.post_id(feed).alias("tweet_id")))
+    examples, next_mark = sync_posts(feed, known, mark, **options)
+    appended = 0
+    if not examples.isEmpty():
+        examples, seen = counted(_in_order(examples, "ord"), "appended")
+        append_posts(examples, out, ledger, now.batch)
+        publish_state(next_mark, now)
+        appended = seen.get["rows"]
+    gone = handled.join(listed.select("path"), "path", "left_anti").withColumn("gone", F.lit(True))
+    publish_changes(fresh.withColumn("gone", F.lit(False)).unionByName(gone), log_state, PAGE_LOG)
+    return {"appended": appended}
 
 
 def run_thread_import(

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from talkloom.operators.sync import references, since
 from talkloom.sources.jsonl import NO_LIMITS, file_path
 
+#: Page files that were read, as they were then.
+PAGE_LOG = "path string, mtime timestamp, size bigint"
 # Shape of a response page.
 PAGE = (
     "data array<struct<id:string,text:string,created_at:string,source:string,lang:string,"
@@ -14,8 +16,14 @@ PAGE = (
 )
 
 
+def list_pages(spark: SparkSession, path: str) -> DataFrame:
+    """path, mtime and size of the landed page files, which are not opened; empty files are left out."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+
+
 def landed_pages(
-    spark: SparkSession, path: str, streaming: bool = False, multiline: bool = False, keep_malformed: bool = False
+    spark: SparkSession, path: str | list[str], streaming: bool = False, multiline: bool = False, keep_malformed: bool = False
 ) -> DataFrame:
     """Raw pages; as a stream, each new file is delivered once.
 

@@ -11,7 +11,7 @@ from talkloom.functions.messages import MODEL_ROLE
 from talkloom.operators import sync
 from talkloom.session import materialise
 from talkloom.sources.api_pages import landed_pages, page_posts
-from talkloom.sources.state import append_posts, ledger_ids, seed_ledger
+from talkloom.sources.state import append_posts, ledger_ids, merge_ledger, seed_ledger
 
 
 def start_post_sync(
@@ -33,7 +33,7 @@ def start_post_sync(
     repeated posts are told by their id against the ledger. Batches are named
     after the query and batch number, and a replayed batch overwrites itself.
     """
-    ledger = f"{state}/ids"
+    ledger = f"{state}/id-buckets"
 
     def apply(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
@@ -41,7 +41,8 @@ def start_post_sync(
         name = f"{owner}-{number}"
         seed_ledger(session, ledger, out, owner)
         feed = page_posts(batch, include_replies=include_replies)
-        known = ledger_ids(session, ledger, name)
+        merge_ledger(session, ledger, name)
+        known = ledger_ids(session, ledger, name, among=feed.select(sync.post_id(feed).alias("tweet_id")))
         new = sync.new_posts(
             feed, known, min_len=min_len, exclude_sources=exclude_sources, no_quotes=no_quotes
         )

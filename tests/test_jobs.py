@@ -7,6 +7,7 @@ from talkloom.functions.messages import MESSAGES
 from talkloom.operators import posts as P, sync as S
 from talkloom.operators.lookup import free_name, keep_first, lookup, unseen
 from talkloom.plans import jobs
+from talkloom.sources import state as ledgers
 from talkloom.sources.state import load_state, open_state
 from talkloom.streaming.sync import start_post_sync
 
@@ -65,6 +66,45 @@ def test_sync_runs(spark, tmp_path):
     assert saved.first().start_time == "2024-01-03T00:00:01Z"
 
 
+def test_a_page_file_is_opened_once(spark, tmp_path, monkeypatch):
+    pages, out, state = tmp_path / "pages", tmp_path / "posts.jsonl", tmp_path / "state"
+    opened = []
+    landed = jobs.landed_pages
+    monkeypatch.setattr(jobs, "landed_pages", lambda s, paths, **k: opened.append(sorted(p.rsplit("/", 1)[1] for p in paths)) or landed(s, paths, **k))
+    run = lambda: jobs.run_post_sync(spark, str(pages), str(out), str(state))["appended"]
+    page(pages / "a [1].json", ("1", "2024-01-01T00:00:00.000Z"))
+    page(pages / "b.json", ("1", "2024-01-01T00:00:00.000Z"))
+    assert [run(), run()] == [1, 0]
+    page(pages / "c.json", ("1", "2024-01-09T00:00:00.000Z"))
+    assert [run(), run()] == [0, 0]
+    page(pages / "b.json", ("5", "2024-01-05T00:00:00.000Z"), ("6", "2024-01-05T00:00:00.000Z"))
+    (pages / "c.json").unlink()
+    assert [run(), run()] == [2, 0]
+    assert opened == [["a \\[1\\].json", "b.json"], ["c.json"], ["b.json"]]
+    log = load_state(spark, open_state(spark, str(state / "pages")), jobs.PAGE_LOG)
+    assert sorted(r.path.rsplit("/", 1)[1] for r in log.collect()) == ["a [1].json", "b.json"]
+
+
+def test_the_ledger_reads_the_buckets_that_are_hit(spark, tmp_path):
+    ledger, out = str(tmp_path / "ids"), str(tmp_path / "out.jsonl")
+    ledgers.seed_ledger(spark, ledger, out, "g")
+    ids = spark.range(3000).select(F.concat(F.lit("t"), "id").alias("tweet_id"))
+    for n in range(3):
+        ledgers.append_posts(ids.where(F.expr(f"hash(tweet_id) % 3 IN ({n}, {-n})")), out, ledger, f"g-{n}")
+    asked = ids.where("tweet_id IN ('t5', 't77')")
+    known = ledgers.ledger_ids(spark, ledger, "g-9", among=asked)
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters", 1)[1].split("]", 1)[0]
+    assert known.where("tweet_id IN ('t5', 't77')").distinct().count() == 2 and known.count() < 300
+    assert ledgers.ledger_ids(spark, ledger, "g-0").count() < 3000 == ledgers.ledger_ids(spark, ledger, "g-9").distinct().count()
+    ledgers.merge_ledger(spark, ledger, "g-2", merge_after=2)
+    names = {p.name for p in (tmp_path / "ids").glob("batch_id=*")}
+    assert len(names) == 3 and {"batch_id=g-seed", "batch_id=g-2"} < names
+    assert ledgers.ledger_ids(spark, ledger, "g-9").count() == 3000
+    ledgers.merge_ledger(spark, ledger, "g-2", merge_after=2)
+    assert {p.name for p in (tmp_path / "ids").glob("batch_id=*")} == names
+
+
 def test_sync_survives_a_crash_and_a_lost_state(spark, tmp_path, monkeypatch):
     pages, out = tmp_path / "pages", tmp_path / "posts.jsonl"
     page(pages / "a.json", ("1", "2024-01-01T00:00:00.000Z"))
