@@ -28,10 +28,9 @@ WITH pieces AS (
   FROM documents WHERE text IS NOT NULL
 ), l AS (
   SELECT *, trim(raw, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS line FROM pieces
-), long_lines AS (SELECT * FROM l WHERE length(line) >= 20
 ), firsts AS (
-  SELECT line, length(line) AS m, min((doc_id, line_no)) AS place FROM long_lines GROUP BY line
-), halves AS (SELECT line, m, place, unnest({_HALVES}) AS half FROM firsts
+  SELECT line, length(line) AS m, min((doc_id, line_no)) AS place FROM l WHERE line <> '' GROUP BY line
+), halves AS (SELECT line, m, place, unnest({_HALVES}) AS half FROM firsts WHERE m >= 20
 ), pairs AS (
   SELECT DISTINCT a.line AS earlier, a.m AS m0, b.line, b.m AS m1
   FROM halves a JOIN halves b ON a.half = b.half AND a.place < b.place AND abs(a.m - b.m) <= 1

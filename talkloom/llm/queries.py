@@ -64,7 +64,7 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.dedup(documents).select("doc_id", "text", "n_dropped")
+    return lines.dedup(documents, exact_chars=1).select("doc_id", "text", "n_dropped")
 
 
 RULES = [
