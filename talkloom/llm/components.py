@@ -36,6 +36,8 @@ def components(edges: DataFrame, left: str, right: str, name: str = "components"
     pairs = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(
         F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     pairs = materialise(pairs, f"{name}_edges")
+    if pairs.isEmpty():
+        return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     before = None
     while True:
         large = materialise(_star(pairs, small=False), f"{name}_large")

@@ -468,6 +468,8 @@ def _links(named: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, p
     for side in ("a", "b"):
         pairs = lookup(pairs, sized.select(F.col("leaf").alias(side), F.col("chunks").alias(f"chunks_{side}")), side, "inner")
     pairs = materialise(pairs, f"jaccard_{name}_pairs")
+    if pairs.isEmpty():
+        return named.sparkSession.createDataFrame([], "class binary, other binary")
     wanted = pairs.select(F.explode(F.array(
         F.struct(F.col("a").alias("leaf"), F.col("chunks_a").alias("chunks")),
         F.struct(F.col("b").alias("leaf"), F.col("chunks_b").alias("chunks")))).alias("w")).select("w.*").distinct()
@@ -540,10 +542,13 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     stars = to_hub.distinct().unionByName(own).withColumn("star", F.lit(True))
     near = _links(named, classes, stars, width, per_cent, "star")
     # What is not connected yet: all that share a key.
-    placed, rest = _unconnected(classes, components(near, "class", "other", "jaccard_near"), groups)
+    group = materialise(components(near, "class", "other", "jaccard_near"), "jaccard_near_parts")
+    placed, rest = _unconnected(classes, group, groups)
     far = _links(named, placed, rest, width, per_cent, "rest")
-
-    group = components(near.unionByName(far), "class", "other", "jaccard")
+    if not far.isEmpty():
+        # What is connected already goes on as one edge per class.
+        edges = group.select(F.col("node").alias("class"), F.col("component").alias("other"))
+        group = components(edges.unionByName(far), "class", "other", "jaccard")
     parts = lookup(classes, group.withColumnRenamed("node", "class"), "class").select(
         "class", F.coalesce("component", "class").alias("component"), "doc_id")
     first = parts.groupBy("component").agg(F.min("doc_id").alias("component_id"))
