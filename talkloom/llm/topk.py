@@ -113,13 +113,14 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", em
     ``is_query`` is a condition on the columns of ``vectors``; candidates are all rows
     but those with the query's own id. Vectors of different length are compared over
     their common positions. Repeated rows stay: a candidate that occurs twice takes two
-    ranks, and a query that occurs twice is answered once. Scores are exact while they
+    ranks, and a query that occurs twice is answered once. Different vectors under one
+    query's id are asked together: the k best of all their scores are its answer. Scores are exact while they
     fit a signed 64-bit integer.
     """
     rows = sparse_rows(vectors, vec_id, embedding, scale)
     candidates = materialise(rows.mapInPandas(_pack(CANDIDATES), PACKED), "search_candidates")
     asked = materialise(
-        sparse_rows(vectors.where(is_query), vec_id, embedding, scale).dropDuplicates(["id"]), "search_queries")
+        sparse_rows(vectors.where(is_query), vec_id, embedding, scale).distinct(), "search_queries")
     blocks = max(1, -(-asked.count() // QUERIES))
     groups = max(1, -(-candidates.count() // BLOCKS))
     queries = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).applyInPandas(

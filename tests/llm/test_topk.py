@@ -17,10 +17,10 @@ def plain(rows, k):
     out = []
     queries = {}
     for i, v in good:
-        if i % 10 == 0:
-            queries.setdefault(i, v)
-    for q, v in queries.items():
-        scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q)
+        if i % 10 == 0 and v not in queries.setdefault(i, []):
+            queries[i].append(v)
+    for q, vs in queries.items():
+        scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for v in vs for i, w in good if i != q)
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
@@ -33,7 +33,7 @@ def test_against_all_scores(spark, monkeypatch, candidates, queries, blocks):
     rng = random.Random(8)
     rows = [(i, [float(rng.choice([0, 0, 0.5, -0.25, rng.uniform(-1, 1)])) for _ in range(8)]) for i in range(60)]
     # Ties, repeated candidates, other lengths, and vectors that take no part.
-    rows += [(61, rows[1][1]), (62, rows[1][1]), (63, rows[3][1]), (63, rows[3][1]), (64, []), (65, [0.0] * 8), (66, [1.0]), (70, [2.0] * 12),
+    rows += [(61, rows[1][1]), (62, rows[1][1]), (63, rows[3][1]), (63, rows[3][1]), (64, []), (65, [0.0] * 8), (66, [1.0]), (70, [2.0] * 12), (130, [0.5] * 8), (130, [0.25] * 8), (130, [0.5] * 8),
              (None, [1.0] * 8), (80, None), (90, [float("nan")] * 8), (100, [float("inf")] * 8), (110, [None] * 8)]
     vectors = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int").repartition(3)
     found = K.search(vectors, F.col("vec_id") % 10 == 0, k=5)
