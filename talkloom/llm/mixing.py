@@ -27,7 +27,7 @@ ROUNDS = 10
 #: contradict each other.
 BOUND, MOST_ROUNDS = 0.001, 50
 #: Rounds between two stored tables.
-STORED = 5
+STORED = 2
 #: Share of all tokens that the registered query and the pipeline keep.
 KEEP = 0.9
 #: Default target: a value's share is in proportion to its tokens to this power.

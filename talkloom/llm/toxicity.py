@@ -32,6 +32,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from talkloom.llm.arrays import distinct
@@ -361,6 +362,7 @@ def _choose_subwords(sample: DataFrame, prior: float) -> Subwords:
     if not len(found):
         return Subwords(np.zeros(0, np.uint64))
     candidates = Subwords(found["key"].to_numpy(np.int64).view(np.uint64))
+    shares = (found["n"].to_numpy() / positives)[np.argsort(found["key"].to_numpy(np.int64).view(np.uint64))]
 
     def held(rows: DataFrame, by: Subwords) -> pd.DataFrame:
         counted = rows.select("positive", "text").mapInArrow(_counted(by, "subwords"), "subword long, p long, u long")
@@ -369,12 +371,12 @@ def _choose_subwords(sample: DataFrame, prior: float) -> Subwords:
     others = counts[False] if False in counts else {"n": 0, "part": 0}
     if others["part"]:
         # A sixteenth of the other documents is enough to see which ones are far too common.
-        share = dict(zip(found["key"].to_numpy(np.int64).view(np.uint64).tolist(), (found["n"] / positives).tolist()))
         few = held(sample.where(~F.col("positive") & part), candidates)
-        keys = candidates.keys[few["subword"].to_numpy(np.int64)]
-        common = (few["u"] - 3 * np.sqrt(few["u"])) / others["part"]
-        mine = np.array([share[k] for k in keys.tolist()])
-        candidates = Subwords(np.setdiff1d(candidates.keys, keys[2 * prior * mine < LEAST_PRECISION * common]))
+        met, count = few["subword"].to_numpy(np.int64), few["u"].to_numpy()
+        common = (count - 3 * np.sqrt(count)) / others["part"]
+        left = np.ones(len(candidates.keys), dtype=bool)
+        left[met[2 * prior * shares[met] < LEAST_PRECISION * common]] = False
+        candidates = Subwords(candidates.keys[left])
     both = held(sample, candidates)
     telling = (both["p"] >= least) & (prior * both["p"] / positives >= LEAST_PRECISION * both["u"] / max(others["n"], 1))
     return Subwords(candidates.keys[both["subword"][telling].to_numpy(np.int64)])
@@ -389,13 +391,15 @@ def _kinds(positives: DataFrame, unlabelled: DataFrame, known: Subwords) -> Kind
     others = kinds.where("p = 0").count()
     # Kinds that no confirmed document has: about KINDS of them stand for all.
     share = min(1.0, KINDS / max(others, 1))
-    chosen = kinds.where((F.col("p") > 0) | (F.pmod(F.xxhash64("kind"), F.lit(1 << 30)) < int(share * (1 << 30)))).toPandas()
-    chosen = chosen.sort_values("kind", ignore_index=True)
+    chosen = kinds.where((F.col("p") > 0) | (F.pmod(F.xxhash64("kind"), F.lit(1 << 30)) < int(share * (1 << 30)))).toArrow()
+    # In order, and without an object per kind.
+    chosen = chosen.take(pc.sort_indices(chosen["kind"]))
+    kind, p, u = (chosen[name].combine_chunks() for name in ("kind", "p", "u"))
     total = [max(df.count(), 1) for df in (positives, unlabelled)]
-    weight = np.where(chosen["p"] > 0, 1.0, 1 / share)
-    size = chosen["kind"].map(len).to_numpy(np.int64) // 4
-    return Kinds(size, np.frombuffer(b"".join(chosen["kind"]), np.int32).astype(np.int64),
-                 chosen["p"].to_numpy(float) / total[0], chosen["u"].to_numpy(float) * weight / total[1])
+    p, u = p.to_numpy().astype(float), u.to_numpy().astype(float)
+    size = pc.binary_length(kind).to_numpy().astype(np.int64) // 4
+    subwords = np.frombuffer(kind.buffers()[2], np.int32, int(size.sum())) if len(size) else np.zeros(0, np.int32)
+    return Kinds(size, subwords.astype(np.int64), p / total[0], u * np.where(p > 0, 1.0, 1 / share) / total[1])
 
 
 def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
