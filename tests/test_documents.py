@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from talkloom.operators import documents as D
 from talkloom.plans import jobs
+from talkloom.session import materialise_all
 from talkloom.sources import documents as S, jsonl
 from talkloom.sources.state import load_state, open_state
 
@@ -142,3 +143,23 @@ def test_changed_files_alone_are_opened_and_no_content_is_shuffled(spark, tmp_pa
     for part in parts:
         cut = D.split_documents(S.extract_text(part))
         assert "Exchange" not in cut._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_files_are_looked_up_and_read_by_few_tasks(spark, tmp_path):
+    for i in range(100):
+        write(tmp_path / f"docs/{i}.txt", f"text number {i}")
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup())
+    assert run(spark, tmp_path)[0] == 100
+    stages = [s for j in set(tracker.getJobIdsForGroup()) - before for s in tracker.getJobInfo(j).stageIds]
+    tasks = [info.numTasks for info in map(tracker.getStageInfo, stages) if info]
+    assert tasks and max(tasks) <= S.LISTERS * spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.files.openCostInBytes") != str(S.OPEN_COST)
+
+
+def test_parts_written_at_once_are_all_kept(spark):
+    parts = [lambda i=i: spark.range(i, i + 1) for i in range(11)]
+    assert sorted(r.id for r in materialise_all(spark, parts, spark.range(0).schema, "parts").collect()) == list(range(11))
+    assert materialise_all(spark, [], spark.range(0).schema, "parts").count() == 0
+    with pytest.raises(Exception, match="no such part"):
+        materialise_all(spark, [*parts, lambda: (_ for _ in ()).throw(ValueError("no such part"))], spark.range(0).schema, "parts")
