@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from talkloom.functions.text import decode_each, norm_text, norm_text_each, strip, untag
+from talkloom.functions.text import bound, decode_each, norm_text, norm_text_each, strip, tidy_untagged, untag
 
 # Message type, prompts, role names.
 MESSAGES = "array<struct<role:string,content:string>>"
@@ -114,6 +114,16 @@ def has_generic_prompt(messages: Column) -> Column:
     return F.coalesce(is_generic_prompt(last_message(user_turns(messages))["content"]), F.lit(False))
 
 
+def untagged_answer(messages: Column) -> Column:
+    """The last assistant text without tags; empty without any."""
+    return untag(bound(F.filter(messages, lambda m: is_model_role(m["role"])), lambda found: last_message(found)["content"]))
+
+
+def answer_key(untagged: Column) -> Column:
+    """``dialog_key`` of a repaired dialog from its :func:`untagged_answer`."""
+    return F.sha2(F.lower(tidy_untagged(untagged)), 256)
+
+
 def dialog_key(messages: Column, repaired: bool = False) -> Column:
     """SHA-256 of the last assistant text, normalised once more and lower-cased.
 

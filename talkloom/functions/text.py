@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
@@ -11,6 +13,8 @@ from pyspark.sql import Column, functions as F, types as T
 # re module, spelled so that Java and RE2 agree), patterns and prompts.
 WS = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 NOT_WS = r"[^\t-\r\x1c-\x20\x85\p{Z}]"
+# White space other than single blanks: only that has to be replaced.
+UNTIDY = rf"{WS}(?:{WS}++|(?<! ))"
 WS_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -27,6 +31,24 @@ TOPIC_WORD = "[A-Za-z\u0590-\u05FF][\\p{L}\\p{N}_\u2019\u05f3\u05f4'-]{2,}"
 CHARREF = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
+#: Characters of a text in which its first topic words are looked for before the whole of it.
+TOPIC_HEAD = 128
+
+
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` evaluated once, however often ``use`` refers to it; ``use`` holds no UDF."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
+def _where_any(c: Column, marks: tuple[str, ...], change: Callable[[Column], Column]) -> Column:
+    """``change`` for the texts that hold one of the marks, as a pattern costs more than a look for them."""
+
+    def changed(text: Column) -> Column:
+        return F.when(reduce(Column.__or__, [F.contains(text, F.lit(m)) for m in marks]), change(text)).otherwise(text)
+
+    return bound(c, changed)
+
+
 def _charref_decoder():
     # A closure travels to the executors by value, so they need not have this package.
     def offsets(lists):
@@ -82,14 +104,14 @@ def strip(c: Column) -> Column:
 
 
 def collapse_ws(c: Column) -> Column:
-    return F.btrim(F.regexp_replace(c, f"{WS}+", " "))
+    return F.btrim(F.regexp_replace(c, UNTIDY, " "))
 
 
 def clean_text(c: Column) -> Column:
     """Post text: decode, drop links, handles, hashtags and the edit notice, tidy spaces."""
-    text = unescape(c)
-    for pattern in (URL, HANDLE_OR_HASHTAG, EDIT_NOTICE):
-        text = F.regexp_replace(text, pattern, "")
+    text = _where_any(unescape(c), ("://",), lambda t: F.regexp_replace(t, URL, ""))
+    text = _where_any(text, ("#", "@"), lambda t: F.regexp_replace(t, HANDLE_OR_HASHTAG, ""))
+    text = F.regexp_replace(text, EDIT_NOTICE, "")
     for mark in DIRECTION_MARKS:
         text = F.replace(text, F.lit(mark), F.lit(""))
     return collapse_ws(text)
@@ -101,12 +123,17 @@ def post_dedup_key(c: Column) -> Column:
 
 
 def untag(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")), TAG, " ")
+    return _where_any(F.coalesce(c, F.lit("")), ("<",), lambda text: F.regexp_replace(text, TAG, " "))
 
 
 def norm_text(c: Column) -> Column:
     """Message text: tags to spaces, then decode, then tidy spaces (not idempotent)."""
-    return collapse_ws(unescape(untag(c)))
+    return tidy_untagged(untag(c))
+
+
+def tidy_untagged(untagged: Column) -> Column:
+    """The rest of ``norm_text`` for an untagged text."""
+    return collapse_ws(unescape(untagged))
 
 
 def decode_each(untagged: Column) -> Column:
@@ -125,8 +152,10 @@ def unix_newlines(c: Column) -> Column:
 
 def norm_ws(c: Column) -> Column:
     """Document text: one kind of newline, single blanks, at most one blank line in a row."""
-    text = F.regexp_replace(unix_newlines(c), r"[ \t\f\x0b]+", " ")
-    return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    text = _where_any(c, ("\r",), unix_newlines)
+    blanks = r"[\t\f\x0b][ \t\f\x0b]*+| [ \t\f\x0b]++"  # but for single blanks
+    text = _where_any(text, ("  ", "\t", "\f", "\x0b"), lambda t: F.regexp_replace(t, blanks, " "))
+    return strip(_where_any(text, ("\n\n\n",), lambda t: F.regexp_replace(t, r"\n{3,}", "\n\n")))
 
 
 def chunk_hash(c: Column) -> Column:
@@ -141,9 +170,22 @@ def paragraphs(c: Column, separator: str = rf"\n{WS}*\n") -> Column:
 
 def topic_words(c: Column, limit: int = 8) -> Column:
     """First ``limit`` distinct lower-cased words, or ``general``."""
-    words = F.regexp_extract_all(F.regexp_replace(c, URL, ""), F.lit(TOPIC_WORD), F.lit(0))
-    first = F.slice(F.array_distinct(F.transform(words, F.lower)), 1, limit)
-    return F.when(F.size(first) > 0, first).otherwise(F.array(F.lit("general")))
+
+    def words(text: Column) -> Column:
+        plain = _where_any(text, ("://",), lambda t: F.regexp_replace(t, URL, ""))
+        return F.regexp_extract_all(plain, F.lit(TOPIC_WORD), F.lit(0))
+
+    def first(found: Column) -> Column:
+        return F.slice(F.array_distinct(F.transform(found, F.lower)), 1, limit)
+
+    def topics(text: Column) -> Column:
+        # The last word of a text's head may be cut off. With enough words before it, the rest is not looked at.
+        whole = F.length(text) <= TOPIC_HEAD
+        head = bound(words(F.substring(text, 1, TOPIC_HEAD)), lambda found: first(
+            F.when(whole, found).otherwise(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))))))
+        return bound(head, lambda early: F.when(whole | (F.size(early) == limit), early).otherwise(first(words(text))))
+
+    return bound(bound(c, topics), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("general"))))
 
 
 def source_app(c: Column) -> Column:

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from talkloom.functions.messages import (
-    MESSAGES, PLACEHOLDER_PROMPT, REPAIRABLE, decoded_messages, dialog_key, filled_messages,
-    has_generic_prompt, is_repost, merge_runs, message, role_shape, untagged_messages,
+    MESSAGES, PLACEHOLDER_PROMPT, REPAIRABLE, answer_key, decoded_messages, filled_messages,
+    has_generic_prompt, is_repost, merge_runs, message, role_shape, untagged_answer, untagged_messages,
 )
 from talkloom.operators.lookup import keep_first
 from talkloom.operators.once import compute_once
@@ -54,7 +54,8 @@ def normalize_examples(df: DataFrame, keep: Sequence[str] = DEFAULT_KEEP) -> Dat
 
 def dedup_examples(df: DataFrame, order: str | Column = "ord") -> DataFrame:
     """First row per dialog key; adds ``dedup_key``."""
-    keyed = df.withColumn("dedup_key", dialog_key(F.col("messages"), repaired=True))
+    answered = compute_once(df, "_answer", untagged_answer(F.col("messages")))
+    keyed = answered.withColumn("dedup_key", answer_key(F.col("_answer"))).drop("_answer")
     return keep_first(keyed, "dedup_key", order)
 
 

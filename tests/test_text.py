@@ -1,6 +1,7 @@
 import datetime
 import hashlib
 import html
+import re
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -207,3 +208,26 @@ def test_week_dates_and_hour_offsets(spark, apply):
 
     found = apply(lambda c: F.unix_micros(parse_ts(c)) / 1e6, forms)
     assert dict(zip(forms, found)) == {f: plain(f) for f in forms}
+
+
+def test_texts_are_untagged_once_for_their_key(spark):
+    from talkloom.operators.examples import dedup_examples
+
+    rows = spark.createDataFrame([([("user", "a"), ("assistant", "b <i>C</i>")], 1)], "messages array<struct<role:string,content:string>>, ord long")
+    plan = dedup_examples(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 2  # tags, and blanks
+
+
+def test_topic_words_found_in_the_head_of_a_text(apply):
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    texts = [" ".join(w[: n % 5 + 3] for w in words[: n % 40]) + "x" * (n % 7) + " https://a.b/" * (n % 3) + " Kind Kind end" for n in range(0, 120, 7)]
+    texts += ["a" * 126 + " bcdef", "same " * 60 + "other words here", ""]
+    found = apply(text.topic_words, texts)
+    for whole, got in zip(texts, found):
+        every = re.findall(text.TOPIC_WORD.replace("\\p{L}\\p{N}_", "\\w"), re.sub(r"https?://\S+", "", whole))
+        assert got == (list(dict.fromkeys(w.lower() for w in every))[:8] or ["general"])
+
+
+def test_only_untidy_white_space_is_replaced(apply):
+    texts = ["a b", "a  b", " a\tb \n c ", "a　b", "a  ", "\x85a\x1c \x1fb", "a b  c d\n", ""]
+    assert apply(text.collapse_ws, texts) == [" ".join(re.split(f"[{text.WS_CHARS}]+", t)).strip(" ") for t in texts]
