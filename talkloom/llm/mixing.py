@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Sequence
+from contextlib import AbstractContextManager
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from talkloom.operators.lookup import free_name, lookup
-from talkloom.session import materialise
+from talkloom.session import materialise, settings
 
 ROUNDS = 10
 #: With a bound, raking goes on until every margin is within it of its target, relative to the target. It
@@ -28,6 +29,8 @@ ROUNDS = 10
 BOUND, MOST_ROUNDS = 0.001, 50
 #: Rounds between two stored tables.
 STORED = 2
+#: Cells to a partition of raking, at most.
+CELLS = 10_000
 #: Share of all tokens that the registered query and the pipeline keep.
 KEEP = 0.9
 #: Default target: a value's share is in proportion to its tokens to this power.
@@ -64,6 +67,18 @@ def uniform(key: Column, salt: str) -> Column:
     return F.conv(digits, 16, 10).cast("double") / float(16**13)
 
 
+def _planned_once(cells: DataFrame) -> AbstractContextManager[None]:
+    """Have what is done with ``cells``, a stored table, planned once instead of anew after each of its exchanges.
+
+    Cells are few beside documents, their exchanges many. With adaptive execution each exchange is a job with a thread
+    of its own on the driver, which also plans all that is left again. What that would gain, few
+    partitions for few rows, is known from the count of the cells.
+    """
+    spark, partitions = cells.sparkSession, 1 + cells.count() // CELLS
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return settings(spark, {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": min(partitions, most)})
+
+
 def tempered(cells: DataFrame, dimension: str, power: float = TEMPERATURE) -> DataFrame:
     """value, share: the tokens of each value to a power, scaled to a sum of 1."""
     of_value = cells.groupBy(F.col(dimension).alias("value")).agg(F.pow(F.sum("tokens"), F.lit(power)).alias("share"))
@@ -193,18 +208,20 @@ def rates(described: DataFrame, dimensions: Sequence[str] = ("source", "lang", "
     What cells kept whole lack is logged as the margins' largest error.
     """
     cells = materialise(described.groupBy(*dimensions).agg(F.sum("tokens").alias("tokens")), "cell_tokens")
-    wanted = targets or {d: tempered(cells, d) for d in dimensions}
-    raked = rake(cells, wanted, rounds, bound)
-    rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
-    rated = raked.withColumn("rate", rate)
-    if keep is None:
-        highest = rated.agg(F.max("rate")).first()[0] or 1.0
-        return rated.select(*dimensions, "rate", F.coalesce(F.col("rate") / highest, F.lit(1.0)).alias("probability"))
-    # A rate of 0 stays 0, whatever the scale.
-    scaled = F.when(F.col("rate") > 0, F.least(F.lit(1.0), F.col("rate") * scale_to(rated, keep))).otherwise(F.col("rate"))
-    chosen = rated.withColumn("probability", F.coalesce(scaled, F.lit(1.0)))
-    off = margins(chosen.where("tokens > 0"), wanted, F.col("tokens") * F.col("probability")).orderBy(
-        F.desc(F.abs("error")), "dimension", "value").first()
+    with _planned_once(cells):
+        # Stored, as raking and the margins of the sample both read them.
+        wanted = targets or {d: materialise(tempered(cells, d), "target") for d in dimensions}
+        raked = rake(cells, wanted, rounds, bound)
+        rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
+        rated = raked.withColumn("rate", rate)
+        if keep is None:
+            highest = rated.agg(F.max("rate")).first()[0] or 1.0
+            return rated.select(*dimensions, "rate", F.coalesce(F.col("rate") / highest, F.lit(1.0)).alias("probability"))
+        # A rate of 0 stays 0, whatever the scale.
+        scaled = F.when(F.col("rate") > 0, F.least(F.lit(1.0), F.col("rate") * scale_to(rated, keep))).otherwise(F.col("rate"))
+        chosen = rated.withColumn("probability", F.coalesce(scaled, F.lit(1.0)))
+        off = margins(chosen.where("tokens > 0"), wanted, F.col("tokens") * F.col("probability")).orderBy(
+            F.desc(F.abs("error")), "dimension", "value").first()
     if off is not None and off.error is not None:
         log.warning("the mix keeps %.3g of the tokens; furthest off is %s %s: share %.3g instead of %.3g",
                     keep, off.dimension, off.value, off.reached, off.share)
