@@ -21,7 +21,8 @@ have, allow no sufficient overlap. What is left is counted exactly.
 *Why not all pairs of a large group.* First every chunk is compared with itself and with one chunk
 of the largest leaf of its group, which connects near copies of one text with each other. Then only
 sets that are not connected yet, but share a key, are compared, chunk by chunk: two parts of a group that are
-connected already need no further link.
+connected already need no further link. Leaves of a small group are paired one by one. A large group first puts its
+leaves together, each in the largest group that it is in, so that chunks of many leaves are paired and not the leaves.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ from talkloom.session import materialise
 #: Sets and shingles that a chunk has at most, but for a single larger set.
 CHUNK_SETS = 64
 CHUNK_TOKENS = 200_000
+#: Leaves of a group that are paired one by one; of larger groups, leaves of at most a chunk are put together.
+PAIRED = 8
 #: Sets of a tree's lowest nodes.
 LOWEST = 8
 #: Similarity from which on sets link, in hundredths; what is compared is exact, in whole numbers.
@@ -495,7 +498,11 @@ def _links(named: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, p
 
 
 def _unconnected(classes: DataFrame, group: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes under new leaves, their connected part (below 0) or their old leaf, and pairs of new leaves that share a group."""
+    """Classes under new leaves, and pairs of new leaves that share a group.
+
+    A new leaf is a connected part (below 0), what is left of an old leaf, or, from 1 << 62 on, the leaves put together
+    in a large group; their classes are under their own leaf as well.
+    """
     part = group.select(F.col("node").alias("class"), (F.xxhash64("component").bitwiseOR(F.lit(-1 << 63))).alias("part"))
     placed = materialise(lookup(classes, part, "class").withColumn("old", F.col("leaf")).withColumn(
         "leaf", F.coalesce("part", "leaf")).drop("part"), "jaccard_parts")
@@ -503,12 +510,23 @@ def _unconnected(classes: DataFrame, group: DataFrame, groups: DataFrame) -> tup
     within = renamed.select(F.col("old").alias("group"), "leaf")
     across = groups.join(renamed.select(F.col("old"), F.col("leaf").alias("new")), groups["leaf"] == F.col("old")).select("group", F.col("new").alias("leaf"))
     met = materialise(within.unionByName(across).distinct(), "jaccard_open_groups")
-    several = met.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
-    open_groups = met.join(several, "group", "left_semi")
-    left, right = open_groups.select("group", F.col("leaf").alias("a")), open_groups.select("group", F.col("leaf").alias("b"))
+    several = met.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+    open_groups = materialise(lookup(met, several, "group", "inner"), "jaccard_sized_groups")
+    large = open_groups.where(F.col("n") > PAIRED)
+    # Parts and leaves of more than a chunk stay as they are: there are few of them, and a part needs no comparison with itself.
+    small = placed.groupBy("leaf").agg(F.count("*").alias("classes")).where(F.col("classes") <= CHUNK_SETS).select("leaf")
+    chosen = large.groupBy("leaf").agg(F.max_by("group", F.struct("n", "group")).alias("into")).join(small, "leaf", "left_semi")
+    into = materialise(chosen.select(
+        "leaf", F.col("into").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)).alias("into")), "jaccard_put_together")
+    together = lookup(large, into, "leaf").select("group", F.coalesce("into", "leaf").alias("leaf")).distinct()
+    paired = open_groups.where(F.col("n") <= PAIRED).select("group", "leaf").unionByName(together)
+    left, right = paired.select("group", F.col("leaf").alias("a")), paired.select("group", F.col("leaf").alias("b"))
     between = left.join(right, "group").where("a < b").select("a", "b").distinct()
-    alone = renamed.where("leaf >= 0 AND classes > 1").select(F.col("leaf").alias("a"), F.col("leaf").alias("b"))
-    return placed.drop("old"), between.unionByName(alone).withColumn("star", F.lit(False))
+    placed = placed.drop("old")
+    placed = placed.unionByName(lookup(placed, into, "leaf", "inner").withColumn("leaf", F.col("into")).drop("into"))
+    alone = placed.where("leaf >= 0").groupBy("leaf").agg(F.count("*").alias("classes")).where("classes > 1").select(
+        F.col("leaf").alias("a"), F.col("leaf").alias("b"))
+    return placed, between.unionByName(alone).withColumn("star", F.lit(False))
 
 
 def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
