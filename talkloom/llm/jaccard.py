@@ -61,7 +61,7 @@ COMMON, COMMON_PART, COMMON_KEYS = 6, 16, 1 << 18
 AT_ONCE = 2_000_000
 #: Bits of a key and of a leaf as they travel. Unequal ones that agree in them are compared for nothing, no more.
 KEY_BITS, LEAF_BITS = 48, 32
-#: Words of the filter of texts whose sets are compared.
+#: Words of the filter of texts whose sets are compared, at most; it has about one for each text. It passes through the driver.
 MEMBER_WORDS = 1 << 18
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -479,7 +479,8 @@ def _links(named: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, p
     members = lookup(classes, wanted, "leaf", "inner").select(
         "doc_id", "class", "leaf", F.pmod(F.xxhash64("class"), F.col("chunks")).alias("chunk"))
     members = materialise(members, f"jaccard_{name}_members")
-    texts = named.where(may_be_in(F.col("doc_id"), members, "doc_id", MEMBER_WORDS)).join(members, "doc_id").select(
+    words = min(MEMBER_WORDS, 1 << max(10, members.count().bit_length()))
+    texts = named.where(may_be_in(F.col("doc_id"), members, "doc_id", words)).join(members, "doc_id").select(
         "leaf", "chunk", "class", "text")
     sets = texts.mapInArrow(_sets(width), "leaf long, chunk long, class binary, tokens binary")
     in_order = sets.repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk")

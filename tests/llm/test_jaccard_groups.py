@@ -38,3 +38,13 @@ def test_put_together_against_all_pairs(spark, seed, sets, monkeypatch):
     monkeypatch.setattr(J, "CHUNK_SETS", sets)
     rows = corpus(seed)
     assert found(J.join(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows)
+
+
+def test_filter_of_few_texts_is_small(spark, monkeypatch):
+    """It is a literal of the plan, which the driver holds and sends several times."""
+    words, filtered = [], J.may_be_in
+    monkeypatch.setattr(J, "may_be_in", lambda *a: words.append(a[3]) or filtered(*a))
+    text = " ".join("w%d" % k for k in range(40))
+    rows = [(1, text), (2, text + " more"), (3, "another text than these")]
+    assert {r.doc_id: r.component_id for r in J.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: 1, 2: 1, 3: 3}
+    assert words and max(words) <= 1 << 12
