@@ -12,6 +12,7 @@ from talkloom.functions.messages import (
 )
 from talkloom.operators.lookup import keep_first
 from talkloom.operators.once import compute_once
+from talkloom.operators.packed import exchange_first
 
 DEFAULT_KEEP = ("messages", "created_at")
 INTERNAL = ("source_file", "ord")
@@ -52,11 +53,15 @@ def normalize_examples(df: DataFrame, keep: Sequence[str] = DEFAULT_KEEP) -> Dat
     return merge_and_trim(cleaned.where(~is_repost(F.col("messages"))))
 
 
+def keyed_examples(df: DataFrame) -> DataFrame:
+    """Adds ``dedup_key``, the dialog key."""
+    answered = compute_once(df, "_answer", untagged_answer(F.col("messages")))
+    return answered.withColumn("dedup_key", answer_key(F.col("_answer"))).drop("_answer")
+
+
 def dedup_examples(df: DataFrame, order: str | Column = "ord") -> DataFrame:
     """First row per dialog key; adds ``dedup_key``."""
-    answered = compute_once(df, "_answer", untagged_answer(F.col("messages")))
-    keyed = answered.withColumn("dedup_key", answer_key(F.col("_answer"))).drop("_answer")
-    return keep_first(keyed, "dedup_key", order)
+    return keep_first(keyed_examples(df), "dedup_key", order)
 
 
 def drop_generic(df: DataFrame) -> DataFrame:
@@ -75,11 +80,26 @@ def shuffled(df: DataFrame, seed: int, key: str) -> DataFrame:
     The rank is uniform, so partitions are cut by its leading digits: a total
     order without the sampling pass of a range sort.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    leading = F.conv(F.substring("_rank", 1, 8), 16, 10).cast("bigint")
+    parts = _shuffle_parts(df)
     ranked = df.withColumn("_rank", shuffle_rank(seed, F.col(key)))
-    return (
-        ranked.repartitionById(parts, F.floor(leading * parts / F.lit(2**32)).cast("int"))
-        .sortWithinPartitions("_rank")
-        .drop("_rank")
-    )
+    return ranked.repartitionById(parts, _rank_part(F.col("_rank"), parts)).sortWithinPartitions("_rank").drop("_rank")
+
+
+def shuffled_first(df: DataFrame, seed: int, key: str, order: str = "ord") -> DataFrame:
+    """What :func:`shuffled` makes of the first row per key, with one exchange of the rows for both.
+
+    Rows of one key have one rank, so they meet where the shuffle takes them.
+    """
+    parts = _shuffle_parts(df)
+    rank = shuffle_rank(seed, F.col(key))
+    met = exchange_first(df, key, order, _rank_part(rank, parts), parts)
+    return met.withColumn("_rank", rank).sortWithinPartitions("_rank").drop("_rank")
+
+
+def _shuffle_parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _rank_part(rank: Column, parts: int) -> Column:
+    leading = F.conv(F.substring(rank, 1, 8), 16, 10).cast("bigint")
+    return F.floor(leading * parts / F.lit(2**32)).cast("int")

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from talkloom.functions.messages import MODEL_ROLE, render_chat
 from talkloom.operators import documents as docs, posts as post_ops, sync, threads as thread_ops
-from talkloom.operators.examples import DEFAULT_KEEP, dedup_examples, drop_generic, normalize_examples, shuffled
+from talkloom.operators.examples import (
+    DEFAULT_KEEP, dedup_examples, drop_generic, keyed_examples, normalize_examples, shuffled, shuffled_first,
+)
 from talkloom.operators.quality import quality_report, source_composition
 from talkloom.operators.ranks import split, tail_split
 from talkloom.session import materialise, materialise_all
@@ -96,14 +98,18 @@ def unify(
     df: DataFrame, keep: Sequence[str] = DEFAULT_KEEP, shuffle: bool = True, seed: int = 42, drop_generic_prompts: bool = False
 ) -> DataFrame:
     """Normalised, repaired, deduplicated examples, shuffled or in input order."""
+    if shuffle:
+        return shuffled_first(keyed_examples(normalized_rows(df, keep, drop_generic_prompts)), seed, "dedup_key")
     return ordered(unified_rows(df, keep, drop_generic_prompts), shuffle, seed)
 
 
-def unified_rows(df: DataFrame, keep: Sequence[str] = DEFAULT_KEEP, drop_generic_prompts: bool = False) -> DataFrame:
+def normalized_rows(df: DataFrame, keep: Sequence[str] = DEFAULT_KEEP, drop_generic_prompts: bool = False) -> DataFrame:
     rows = normalize_examples(df, keep)
-    if drop_generic_prompts:
-        rows = drop_generic(rows)
-    return dedup_examples(rows)
+    return drop_generic(rows) if drop_generic_prompts else rows
+
+
+def unified_rows(df: DataFrame, keep: Sequence[str] = DEFAULT_KEEP, drop_generic_prompts: bool = False) -> DataFrame:
+    return dedup_examples(normalized_rows(df, keep, drop_generic_prompts))
 
 
 def ordered(rows: DataFrame, shuffle: bool = True, seed: int = 42) -> DataFrame:

@@ -89,14 +89,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{_scratch.get() or shared_folder(spark) + '/talkloom'}/{uuid.uuid4().hex}/{name}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+#: While set, the shuffle files of a job go when it has ended, not when the driver happens to collect its garbage.
+DROP_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
     Cuts the lineage like a checkpoint, survives lost executors, and stays
     columnar, so later passes read only the columns they use.
     """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
