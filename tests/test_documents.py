@@ -163,3 +163,55 @@ def test_parts_written_at_once_are_all_kept(spark):
     assert materialise_all(spark, [], spark.range(0).schema, "parts").count() == 0
     with pytest.raises(Exception, match="no such part"):
         materialise_all(spark, [*parts, lambda: (_ for _ in ()).throw(ValueError("no such part"))], spark.range(0).schema, "parts")
+
+
+def by_spark(spark, root):
+    return S._files(spark, root).select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+
+
+@pytest.mark.parametrize("folders", [1, 64])
+def test_executors_list_what_spark_lists(spark, tmp_path, monkeypatch, folders):
+    monkeypatch.setattr(S, "FOLDERS", folders)
+    names = ["a.TXT", "sp ace [1].txt", "st*r?.md", "br{a,b}ce.txt", "per%41cent+.txt", "é/ü.htm", "x#y/z.docx", "no.csv", "txt",
+             "empty.txt", "_hidden.txt", "_a=1.txt", ".dot.txt", "_dir/a.txt", "_dir=1/a.txt", ".dir/a.txt", "_metadata/a.txt", "_metadata.txt",
+             "1/2/3/4/deep.pdf", "1/2/also.markdown", "1/b.txt"]
+    for i, name in enumerate(names):
+        write(tmp_path / "docs" / name, "" if name == "empty.txt" else name * (i + 1))
+        os.utime(tmp_path / "docs" / name, ns=(1, 1_700_000_000_123_456_789 + i))
+    for root in (str(tmp_path / "docs"), f"file://{tmp_path}/docs/", f"{tmp_path}/docs/*1*", str(tmp_path / "docs/a.TXT")):
+        if root.endswith("*1*"):  # the files among them are left to Spark
+            (tmp_path / "docs/sp ace [1].txt").rename(tmp_path / "docs/1/sp.txt")
+        listed = S.list_documents(spark, root)
+        assert listed.schema.simpleString() == by_spark(spark, root).schema.simpleString()
+        got = sorted(listed.collect())
+        assert got and got == sorted(by_spark(spark, root).collect())
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        S.list_documents(spark, str(tmp_path / "none"))
+
+
+def test_the_driver_lists_no_files(spark, tmp_path, monkeypatch):
+    for i in range(30):
+        write(tmp_path / f"docs/{i % 5}/{i}.txt", f"text number {i}")
+    monkeypatch.setattr(S, "_files", lambda *a: pytest.fail("all files are listed on the driver"))
+    monkeypatch.setattr(S, "BATCH_FILES", 7)
+    assert run(spark, tmp_path)[0] == 30
+
+
+def test_the_driver_gets_few_paths_at_once(spark, monkeypatch):
+    monkeypatch.setattr(S, "ROWS", 10)
+    listed = spark.range(100).coalesce(1).selectExpr("cast(id AS string) AS path", "id AS size")
+    sizes = []
+    local = type(listed).toLocalIterator
+    monkeypatch.setattr(type(listed), "toLocalIterator", lambda df, *a: sizes.append(df.rdd.getNumPartitions()) or local(df, *a))
+    assert sorted(int(p) for batch in S.path_batches(listed) for p in batch) == list(range(100))
+    assert sizes == [11]
+
+
+def test_plans_of_parts_are_let_go(spark, monkeypatch):
+    import gc
+
+    from talkloom import session
+    collected = []
+    monkeypatch.setattr(session.gc, "collect", lambda: collected.append(1) or 0)
+    materialise_all(spark, [lambda: spark.range(1)] * 3, spark.range(0).schema, "parts")
+    assert len(collected) == 3 and gc is session.gc
